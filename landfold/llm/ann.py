@@ -24,7 +24,6 @@ from .common import cut
 
 #: Rows of a tile's two sides, and query rows multiplied at once within it.
 QUERY_BLOCK, ROW_BLOCK, STRIP, PAIRS = 2_048, 8_192, 128, 65_536
-SIZE = "tile long, query boolean, uid long, vec_id long, v array<double>"
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,11 +106,7 @@ def _merge(k: int):
         if uid is not None:
             yield done()
 
-    def flipped(batches):
-        for b in run(batches):
-            yield b.set_column(2, "vec_id", pa.array([-x for x in b.column("vec_id").to_pylist()], pa.int64()))
-
-    return flipped
+    return run
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
