@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, line_runs, media, mixing, pieces, simhash, token_counts, toxicity
+from . import ann, backoff, line_runs, media, mixing, passages, pieces, simhash, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -36,6 +36,14 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -54,5 +62,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_token_counts, op5_mixture, op8_media_columns, op9_line_dedup, op10_pieces, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_token_counts, op5_mixture, op6_passages, op7_backoff_scores, op8_media_columns, op9_line_dedup, op10_pieces, pipeline)}
 ORACLE_SQL = {"op3_nearest": ann.ORACLE, "op5_mixture": mixing.ORACLE, "op9_line_dedup": line_runs.ORACLE}
