@@ -9,14 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of every contract here: space and U+0009..U+000D.
 SEPARATORS = "\\x20\\x09-\\x0D"
+#: Of an Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is handed to Python at once by bytes, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is configured."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not base:

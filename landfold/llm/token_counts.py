@@ -14,13 +14,12 @@ import os
 from collections import Counter
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 
-SAMPLE_DOCS, FREQUENT, CACHED, TOKEN_LIMIT = 2_000, 20_000, 300_000, 512
+SAMPLE_DOCS, SAMPLE_BYTES, FREQUENT, CACHED, LONGEST, TOKEN_LIMIT = 2_000, 16_384, 20_000, 300_000, 64, 512
 #: Fixed value: the byte-level pre-token pattern that the public tokenizer file stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose classes regular-expression libraries and Unicode versions agree.
@@ -40,12 +39,23 @@ def _worker(path: str):
         tok.no_truncation()
         tok.no_padding()
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        _workers[path] = (tok, regex.compile(PATTERN).findall, regex.compile(PLAIN).fullmatch, special, {})
+        _workers[path] = (tok, regex.compile(PATTERN).findall, regex.compile(PLAIN).fullmatch, special, {}, _pieces(tok, set(special)))
     return _workers[path]
 
 
+def _pieces(tok, special: set[str]):
+    """A function from a pre-token's bytes to its ids, by the tokenizer's own vocabulary: ids of a byte-level BPE are its merge ranks."""
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    others = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
+    ranks = {bytes(byte[c] for c in t): i for t, i in tok.get_vocab().items() if t not in special}
+    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -> list[int]:
-    tok, split, plain, special, cache = _worker(path)
+    tok, split, plain, special, cache, piece = _worker(path)
     out = []
     for text in texts:
         if not text:
@@ -53,32 +63,27 @@ def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -
         elif not plain(text) or any(s in text for s in special):
             out.append(len(tok.encode(text, add_special_tokens=False).ids))
         else:
-            tokens = split(text)
-            missing = [t for t in set(tokens) - frequent.keys() if t not in cache]
-            if missing:
-                if len(cache) + len(missing) > CACHED:
-                    cache.clear()
-                    missing = list(set(tokens) - frequent.keys())
-                cache.update(zip(missing, (len(e.ids) for e in tok.encode_batch(missing, add_special_tokens=False)), strict=True))
-            out.append(sum(frequent[t] if t in frequent else cache[t] for t in tokens))
+            n = 0
+            for t in split(text):
+                if (k := frequent.get(t) or cache.get(t)) is None:
+                    k = len(piece(t.encode()))
+                    if len(t) <= LONGEST:
+                        if len(cache) >= CACHED:
+                            cache.clear()
+                        cache[t] = k
+                n += k
+            out.append(n)
     return out
 
 
 def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of the first SAMPLE_DOCS rows that Spark returns."""
-
-    def count(batches):
-        found: Counter = Counter()
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                found.update(_worker(path)[1](t or ""))
-        top = [t for t, _ in found.most_common(FREQUENT) if len(t) <= 32]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], ["token"])
-
-    rows = docs.select("text").limit(SAMPLE_DOCS).coalesce(1).mapInArrow(count, "token string").toArrow()
-    tokens = rows.column("token").to_pylist()
-    tok = _worker(path)[0]
-    return dict(zip(tokens, (len(e.ids) for e in tok.encode_batch(tokens, add_special_tokens=False)), strict=True))
+    """Lengths of the most frequent pre-tokens of SAMPLE_DOCS rows of at most SAMPLE_BYTES, the first that Spark comes to."""
+    tok, split, *_ = _worker(path)
+    found: Counter = Counter()
+    for r in docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).limit(SAMPLE_DOCS).collect():
+        found.update(split(r["text"]))
+    top = [t for t, _ in found.most_common(FREQUENT) if len(t) <= LONGEST]
+    return dict(zip(top, (len(e.ids) for e in tok.encode_batch(top, add_special_tokens=False)), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
