@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS, cut
 
-WEIGHTS, CAP, BLOCK, SHARD_WORDS, SEED = (5, 2, 1), 3, 16, 1_000_000, 42
+WEIGHTS, CAP, BLOCK, SHARD_WORDS, SALTS, SEED = (5, 2, 1), 3, 16, 1_000_000, 64, 42
 WORDS = f"[^{SEPARATORS}]+"
 
 
@@ -84,7 +84,10 @@ def mix(sized: DataFrame, base: DataFrame | None = None) -> DataFrame:
     planned = apportion(planned, "seats", "target", ["__s"], ["one"])
     planned = cut(planned.select("__s", "source_size", "target", F.col("quota").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long").alias("shards")))
     number = F.conv(F.substring(_order(), 1, 8), 16, 10).cast("long")
-    deal = lambda df: df.join(planned, "__s").withColumn("__shard", F.pmod(number, F.col("shards")))
+    # a source may hold a third of the rows: its few plan rows are repeated, and its documents dealt over them
+    salt = F.pmod(F.conv(F.substring(_order(), 9, 8), 16, 10).cast("long"), F.lit(SALTS))
+    salted = planned.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    deal = lambda df: df.withColumn("__salt", salt).join(salted, ["__s", "__salt"]).withColumn("__shard", F.pmod(number, F.col("shards"))).drop("__salt")
     shards = deal(base).groupBy("__s", "__shard", "blocks").agg(F.sum("__size").alias("length"))
     quotas = apportion(shards, "blocks", "length", ["__shard"], ["__s"]).select("__s", "__shard", "length", F.least(F.col("quota") * BLOCK, CAP * F.col("length")).alias("words"))
     quotas = cut(quotas)
