@@ -1,10 +1,9 @@
 """SentencePiece encoding and decoding.
 
 The piece file at hand is a BPE model: its scores are merge ranks, and the segmentation it stands for is the result of
-merging in rank order, which a best path through a lattice doesn't give. `encode` therefore takes the library's own
-merges, word by word: no piece has a word mark after another character, so words (marks and what follows them) are
-encoded apart and remembered by each worker. `lattice_encode` is the relational lattice, for piece tables whose scores are
-log probabilities (unigram models).
+merging in rank order, which a best path through a lattice doesn't give. `encode_pieces` therefore lets the library merge
+whole texts, a batch at a time, and decodes by the piece table. `lattice_encode` is the relational lattice, for piece
+tables whose scores are log probabilities (unigram models).
 
 Defined results: null and empty texts have no pieces and decode to the empty text; doc_ids may be null or repeat; texts
 of any length are encoded whole. Other columns are not read.
@@ -13,19 +12,16 @@ of any length are encoded whole. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8
 
-MARK, CACHED, LONGEST = "▁", 300_000, 64
+MARK, TOGETHER = "▁", 256
 _workers: dict[str, tuple] = {}
-#: A word with the spaces before it, or the spaces at the end.
-_words = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+").findall
 
 
 def _worker(path: str):
@@ -44,39 +40,22 @@ def _worker(path: str):
                 surface.append(" ⁇ ".encode())
             else:
                 surface.append(piece.replace(MARK, " ").encode())
-        _workers[path] = (sp, surface, {})
+        _workers[path] = (sp, surface)
     return _workers[path]
 
 
+def encode_all(texts: list[str | None], path: str) -> list[list[int]]:
+    """The library's ids of each whole text."""
+    return _worker(path)[0].encode([t or "" for t in texts], num_threads=1)
+
+
 def encode(text: str | None, path: str) -> list[int]:
-    """The library's ids of the whole text."""
-    if not text:
-        return []
-    sp, _, cache = _worker(path)
-    words = _words(" " + text)
-    missing = [w for w in set(words) if w not in cache]
-    if len(cache) + len(missing) > CACHED:
-        cache.clear()
-        missing = list(set(words))
-    # each word starts with a mark, which the library puts before what it is given
-    fresh = dict(zip(missing, sp.encode([w[1:] for w in missing], num_threads=1), strict=True)) if missing else {}
-    for w, ids in fresh.items():
-        if len(w) == 1:
-            fresh[w] = _lone(sp)
-        if len(w) <= LONGEST:
-            cache[w] = fresh[w]
-    return list(chain.from_iterable(fresh[w] if w in fresh else cache[w] for w in words))
-
-
-def _lone(sp) -> list[int]:
-    """A single mark with nothing after it, which the library doesn't add to an empty text."""
-    whole = sp.piece_to_id(MARK)
-    return [whole] if not sp.is_unknown(whole) else [sp.piece_to_id(f"<0x{b:02X}>") for b in MARK.encode()]
+    return encode_all([text], path)[0]
 
 
 def decode(ids: list[int], path: str) -> str:
     """The text of the ids: surfaces joined, bytes put together, without the first mark's space."""
-    _, surface, _ = _worker(path)
+    _, surface = _worker(path)
     raw = b"".join([surface[i] for i in ids])
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
@@ -86,11 +65,12 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            ids = encode(t, path)
-            back = decode(ids, path)
-            rows.append((len(ids), ids, hashlib.sha256(utf8(back)).hexdigest(), back == (t or "").replace(MARK, " ")))
+        rows, given = [], texts.tolist()
+        for i in range(0, len(given), TOGETHER):
+            part = given[i : i + TOGETHER]
+            for t, ids in zip(part, encode_all(part, path), strict=True):
+                back = decode(ids, path)
+                rows.append((len(ids), np.array(ids, np.int32), hashlib.sha256(utf8(back)).hexdigest(), back == (t or "").replace(MARK, " ")))
         return pd.DataFrame(rows, columns=["n_pieces", "ids", "decoded_sha256", "round_trip"])
 
     return docs.select("doc_id", run("text").alias("p")).select("doc_id", "p.*")
