@@ -11,21 +11,25 @@ PLATFORMS = {"xhs": "xhs", "dy": "douyin", "ks": "kuaishou", "bili": "bilibili",
 EXTENSIONS = ("json", "jsonl", "csv", "xlsx", "xls")
 
 
-def _with_corrupt(schema: T.StructType | str) -> T.StructType:
-    known = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return T.StructType([*known.fields, T.StructField("_corrupt_record", T.StringType())])
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def json_array(spark: SparkSession, path: str, schema, rejects: bool = False) -> DataFrame:
-    """Files that hold one array (or one object) each. rejects: keep _corrupt_record; else corrupt files give no rows."""
-    df = spark.read.schema(_with_corrupt(schema)).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return df if rejects else df.where("_corrupt_record is null").drop("_corrupt_record")
+    """Files that hold one array (or one object) each. rejects: a corrupt file is a row with _corrupt_record; else it gives none."""
+    known = _struct(schema)
+    raw = spark.read.option("wholetext", True).text(path).select("value", F.from_json("value", T.ArrayType(known)).alias("r"))
+    if not rejects:
+        return raw.select(F.explode("r").alias("r")).where("r is not null").select("r.*")
+    return raw.select(F.explode_outer("r").alias("r"), F.when(F.col("r").isNull(), F.col("value")).alias("_corrupt_record")).select("r.*", "_corrupt_record")
 
 
 def json_lines(spark: SparkSession, path: str, schema, rejects: bool = False) -> DataFrame:
-    """An object per line; blank lines don't count."""
-    df = spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").json(path)
-    return df if rejects else df.where("_corrupt_record is null").drop("_corrupt_record")
+    """An object per line; blank lines don't count. rejects: a corrupt line is a row with _corrupt_record; else it gives none."""
+    known = T.StructType([*_struct(schema).fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select(F.from_json("value", known, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    return rows if rejects else rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +78,7 @@ def row_counts(spark: SparkSession, path: str, kind: str) -> int:
     if kind == "csv":
         return csv(spark, path).count()
     if kind == "json":
-        return json_array(spark, path, "x string", rejects=True).where("_corrupt_record is null or x is not null").count()
+        return json_array(spark, path, "x string").count()
     return spark.read.text(path).where("trim(value) <> ''").count()
 
 
