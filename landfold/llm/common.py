@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Word separators of every contract here: space and U+0009..U+000D.
 SEPARATORS = "\\x20\\x09-\\x0D"
 #: Of an Arrow batch; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

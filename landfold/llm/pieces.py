@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-MARK, TOGETHER = "▁", 256
+MARK, TOGETHER = "▁", 64
 _workers: dict[str, tuple] = {}
 
 

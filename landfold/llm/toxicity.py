@@ -26,7 +26,7 @@ DIM, PREFIXES = 1 << 20, (3, 4, 5, 6, 7)
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 4_000
 MAX_FEATURES, LEAST_DOCS, LEAST_Z = 1_024, 5, 4.0
 #: Words that a worker remembers as carrying no selected feature.
-DULL = 400_000
+DULL = 150_000
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”’"
 
 
