@@ -56,8 +56,8 @@ def apportion(parties: DataFrame, seats: str, votes: str, key: list[str], within
     reach = F.ceil(share * F.count("*").over(group)) + 2
     ideal = share * F.col(seats)
     sized = parties.withColumn("low", F.greatest(F.lit(0), F.floor(ideal) - reach).cast("long")).withColumn("high", (F.floor(ideal) + reach).cast("long")).withColumn("rest", F.col(seats) - F.sum("low").over(group))
-    seat = sized.where(F.col(votes) > 0).select(*within, *key, votes, "rest", F.explode(F.sequence("low", "high")).alias("k"))
-    best = W.partitionBy(*within).orderBy((F.col(votes) / (2 * F.col("k") + 1)).desc(), *(F.col(c).asc_nulls_last() for c in key))
+    seat = sized.where(F.col(votes) > 0).select(*within, *key, votes, "rest", F.explode(F.sequence("low", "high")).alias("__seat"))
+    best = W.partitionBy(*within).orderBy((F.col(votes) / (2 * F.col("__seat") + 1)).desc(), *(F.col(c).asc_nulls_last() for c in key))
     won = seat.withColumn("place", F.row_number().over(best)).where("place <= rest").groupBy(*within, *key).agg(F.count("*").alias("won"))
     both = [*within, *key]
     return sized.join(won, both, "left").withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("low", "high", "rest", "won")

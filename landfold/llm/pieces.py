@@ -87,7 +87,7 @@ def lattice_encode(words: DataFrame, pieces: DataFrame, longest: int = 16) -> Da
     edges = spans.withColumn("piece", F.expr("substring(word, i, n)")).join(pieces.select("piece", "id", "score"), "piece")
     by_word = words.distinct().join(edges.groupBy("word").agg(F.collect_list(F.struct(F.expr("i + n - 1").alias("e"), "n", "id", "score")).alias("edges")), "word", "left")
     fold = (
-        "aggregate(sequence(1, length(word)), array(named_struct('score', 0D, 'n', 0, 'ids', cast(array() as array<int>))), "
+        "aggregate(sequence(1, length(word)), array(named_struct('score', if(length(word) > 0, 0D, null), 'n', if(length(word) > 0, 0, null), 'ids', if(length(word) > 0, cast(array() as array<int>), null))), "
         "(acc, e) -> concat(acc, array(coalesce("
         "array_max(transform(filter(coalesce(edges, array()), x -> x.e = e and acc[e - x.n].score is not null), "
         "x -> named_struct('score', acc[e - x.n].score + x.score, 'n', x.n, 'ids', concat(acc[e - x.n].ids, array(x.id))))), "
