@@ -219,8 +219,8 @@ def first_truthy(spark, sf_dir):
 
 @query("select user_id, arg_max(event_type, row(value, -event_id)) as url from events group by user_id")
 def largest_variant(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("value").alias("size"), F.col("event_type").alias("url")))).alias("v"))
-    return e.select("user_id", S.largest_variant(F.col("v")).alias("url"))
+    largest = F.max_by("event_type", F.struct("value", -F.col("event_id")))  # of equal ones the first
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(largest.alias("url"))
 
 
 @query("select event_id, event_type as label, 'event' as kind from events where event_type = 'click' union all select doc_id, source, 'document' from documents where lang = 'en'")
