@@ -142,9 +142,11 @@ def _search(ring: Ring, views: int, whole: int):
                 pairs.append(found.view(np.int64))
                 numbers.append(np.full(len(found), num[at]))
             pairs, numbers = np.concatenate(pairs), np.concatenate(numbers)
-            # two that share an earlier key are connected by what that key gives
-            shared = ((pairs[:, 0] ^ pairs[:, 1])[:, None] & masks) == 0
-            own = shared.argmax(axis=1) == numbers % len(masks)
+            # two that an earlier key accepts are connected by what that key gives; to share it is not enough
+            x = pairs[:, 0] ^ pairs[:, 1]
+            passed = np.stack([ring.linked(x.view(np.uint64), np.full(len(x), s)) for s in range(ring.m)], 1)
+            accepted = ((x[:, None] & masks) == 0) & passed[:, starts[: len(masks)]]
+            own = accepted.argmax(axis=1) == numbers % len(masks)
             pairs, numbers = pairs[own], numbers[own]
             if len(pairs):
                 yield emit(pairs[:, 0].view(np.uint64), pairs[:, 1].view(np.uint64), numbers, np.zeros(len(pairs)))

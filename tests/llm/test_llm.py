@@ -1,10 +1,12 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -92,6 +94,16 @@ def test_simhash_ring_finds_every_pair():
     assert all(any(simhash.RING3.linked(f, starts[i])[0] for i in np.flatnonzero(h)) for f, h in zip(flips, hit, strict=True))
 
 
+def test_simhash_emits_every_difference_once():
+    flips = [sum(1 << b for b in at) for n in (1, 2, 3) for at in itertools.combinations(range(64), n)]
+    x = np.array(flips, np.uint64).view(np.int64)
+    num, pair = np.nonzero((np.array([m for _, _, m in simhash.RING3.keys()], np.int64)[:, None] & x) == 0)
+    fp = np.stack([np.zeros(len(pair), np.int64), x[pair]], 1).reshape(-1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(num, 2)), pa.array(np.repeat(pair, 2)), pa.array(fp)], ["num", "key", "fp"])
+    got = [a ^ b for out in simhash._search(simhash.RING3, 1, 0)(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    assert sorted(got) == sorted(x.tolist())
+
+
 def test_simhash_large_keys(spark, monkeypatch):
     rng = random.Random(5)
     seed = rng.getrandbits(63)
