@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom, probe
@@ -220,6 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, ring: Ring = RING3) -> Da
 
 #: The stage on five-word shingles: how many fingerprints of a text's words are compared, and the least Jaccard similarity of its shingles.
 VIEWS, SHINGLE, LEAST_SIMILARITY, WHOLE = 4, 5, 0.8, 16
+#: Leads that a list of a shingle begins with, and times as many in each further round.
+GROWTH = 16
 _EDGE, _ODD = b".,!?;:", np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,12 +272,64 @@ def _among(pairs: DataFrame):
     return pairs.sparkSession.sparkContext.broadcast(bloom(pairs.select(hashed("cls", "id").alias("h")).select("h.a", "h.b")))
 
 
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y, near: whether the shingles of the two classes are similar enough."""
+    one = pairs.join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x")
+    two = one.join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    return two.select("x", "y", (common >= LEAST_SIMILARITY * (F.size("sx") + F.size("sy") - common)).alias("near"))
+
+
+def _named(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs x, y of classes as edges a, b of their components (cls, root)."""
+    x, y = comps.select(F.col("cls").alias("x"), F.col("root").alias("a")), comps.select(F.col("cls").alias("y"), F.col("root").alias("b"))
+    return pairs.join(x, "x").join(y, "y").where("a <> b").select("a", "b")
+
+
+def _settled(judged: DataFrame, ids: DataFrame, sets) -> DataFrame:
+    """cls, root of the near pairs' components, whatever tree the fingerprints were linked by.
+
+    Links are trees in large groups, so a refused link may part classes that are near to others of the group. Groups with
+    a refused link between components are decided by a prefix filter: two sets of this similarity share a shingle among
+    the rarest of each. In each list of a shingle, some leads meet all members of other components and leave; GROWTH times
+    as many follow, until the members left are of one component. So every pair of the group is decided or connected.
+    """
+    linked = connected_components(judged.where("near").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("cls"), "root")
+    ends = judged.select(F.col("x").alias("cls")).unionByName(judged.select(F.col("y").alias("cls"))).distinct()
+    comps = cut(ends.join(linked, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
+    groups = connected_components(_named(judged.where("not near"), comps)).select(F.col("node").alias("root"), F.col("root").alias("grp"))
+    members = cut(comps.join(groups, "root").select("cls", "root", "grp"))
+    if members.isEmpty():
+        return comps
+    settled, open_ = comps.join(members.select("cls"), "cls", "left_anti"), members.select("cls", "root")
+    held = cut(sets(members.select("cls").join(ids, "cls")).join(members.select("cls", "grp"), "cls").groupBy("cls").agg(F.first("grp").alias("grp"), F.first("s").alias("s")))
+    each = held.select("cls", "grp", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    seen = each.groupBy("grp", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    own = Window.partitionBy("cls")
+    # shingles of one text come first in the order, and are in no list
+    ranked = each.join(seen, ["grp", "shingle"]).withColumn("place", F.row_number().over(own.orderBy("times", "shingle"))).withColumn("alone", F.col("n") - F.count("*").over(own))
+    lists, leading = ranked.where("place + alone <= n - (4 * n + 4) div 5 + 1").select("grp", "shingle", "cls", "n"), GROWTH
+    while True:
+        known = cut(lists.join(open_, "cls"))
+        live = known.groupBy("grp", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp", "shingle")
+        known = cut(known.join(live, ["grp", "shingle"]))
+        if known.isEmpty():
+            return settled.unionByName(open_)
+        leads = known.groupBy("grp", "shingle", F.pmod(F.xxhash64("cls"), F.lit(leading)).alias("part")).agg(F.min(F.struct("cls", "root", "n")).alias("l")).select("grp", "shingle", "l")
+        meet = known.join(leads, ["grp", "shingle"]).where("root <> l.root and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
+        met = cut(meet.select(F.least("cls", "l.cls").alias("x"), F.greatest("cls", "l.cls").alias("y")).distinct())
+        merged = connected_components(_named(_judged(met, held).where("near"), open_)).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        open_ = cut(open_.join(merged, "root", "left").select("cls", F.coalesce("now", "root").alias("root")))
+        lists = known.join(leads.select("grp", "shingle", F.col("l.cls").alias("cls")), ["grp", "shingle", "cls"], "left_anti").select("grp", "shingle", "cls", "n")
+        leading *= GROWTH
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id (a null one is smaller than all).
 
     Texts of the same words are one class. Classes are near if their five-word shingles have a Jaccard similarity of
     LEAST_SIMILARITY; pairs to be compared come from links among VIEWS fingerprints (measured on the test tables: 96 of
-    100 pairs at or above the limit, and all where texts are equal). Groups are the components. Columns as they were.
+    100 pairs at or above the limit, and all where texts are equal). Groups are the components (see _settled). Columns as they were.
     """
 
     @F.pandas_udf("struct<cls: long, fps: array<long>>")
@@ -293,21 +347,22 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     near = edges.join(named[0], ["view", "a"]).join(named[1], ["view", "b"]).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = cut(near.unionByName(same).distinct())
     wanted = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct().join(first.select("cls", "id"), "cls")
-    compared = _among(wanted)
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            cls = np.array([text_class(t) for t in texts], np.int64)
-            ok = np.flatnonzero(probe(compared.value, _hash_pair(cls, b.column("id").to_numpy()))) if len(texts) else []
-            yield pa.RecordBatch.from_arrays([pa.array(cls[ok]), pa.array([shingle_set(texts[i]) for i in ok], pa.list_(pa.int32()))], ["cls", "s"])
+    def sets(of: DataFrame) -> DataFrame:
+        """cls and shingles s of the texts in `of` (cls, id), perhaps of others too."""
+        compared = _among(of)
 
-    sets = docs.select(number.alias("id"), "text").mapInArrow(shingled, "cls long, s array<int>")
-    one = pairs.join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x")
-    two = one.join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    true = two.where(common >= LEAST_SIMILARITY * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = connected_components(true).select(F.col("node").alias("cls"), "root")
+        def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column("text").to_pylist()
+                cls = np.array([text_class(t) for t in texts], np.int64)
+                ok = np.flatnonzero(probe(compared.value, _hash_pair(cls, b.column("id").to_numpy()))) if len(texts) else []
+                yield pa.RecordBatch.from_arrays([pa.array(cls[ok]), pa.array([shingle_set(texts[i]) for i in ok], pa.list_(pa.int32()))], ["cls", "s"])
+
+        return docs.select(number.alias("id"), "text").mapInArrow(shingled, "cls long, s array<int>")
+
+    judged = cut(_judged(pairs, sets(wanted)))
+    roots = _settled(judged, first.select("cls", "id"), sets)
     grouped = first.select("cls", "id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = grouped.groupBy("root").agg(F.min(F.struct("id", "cls")).alias("best"))
     keeper = grouped.join(best, "root").select("cls", F.col("best.id").alias("keep_id"), F.col("best.cls").alias("keep_cls"))

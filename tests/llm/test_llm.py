@@ -127,6 +127,23 @@ def test_near_duplicate_stage(spark, docs, empty):
     assert 0 in ids and 40 not in ids and 41 not in ids and 42 not in ids and 3 in ids and 1 in ids
 
 
+def test_near_duplicates_around_a_refused_lead(spark):
+    base = [f"v{i}" for i in range(200)]
+    texts = [base]
+    for c in range(6):  # the same words, so equal fingerprints; 0.83 like the original, 0.69 like each other
+        texts.append(base[:])
+        for at in range(10 + 30 * c, 31 + 30 * c, 10):
+            texts[-1][at : at + 2] = texts[-1][at : at + 2][::-1]
+    sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[0], s) >= 0.8 for s in sets) and all(like(a, b) < 0.8 for a, b in itertools.combinations(sets[1:], 2))
+    said = [" ".join(t) for t in texts]
+    assert min(said, key=simhash.text_class) != said[0]
+    other = " ".join(base[::-1])  # the same words, and like none
+    docs = spark.createDataFrame([*enumerate(said), (9, other)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 9]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).astype(np.float32).tolist()
