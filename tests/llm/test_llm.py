@@ -250,6 +250,18 @@ def test_passages(spark, docs, empty):
             assert later == any(d == i for d, _ in found) or i == 44
 
 
+@pytest.mark.parametrize("length, gap", [(60, 31), (60, 45), (60, 59), (60, 75), (100, 60), (200, 150)])
+def test_two_passages_with_a_gap(length, gap):
+    rng = np.random.default_rng(length + gap)
+    word = lambda n: rng.integers(1, 1 << 63, n).astype(np.uint64)
+    one, two = word(length), word(length)
+    a, b = (np.concatenate([word(70), one, word(gap), two, word(70)]) for _ in "ab")
+    places = [70, 70 + length + gap]
+    got = passages.shared([(a, b, 0, 0)], [(70, 70 + 2 * length + gap)])[0]
+    assert all(min(n, m) >= 50 and e >= 0.8 * max(n, m) for _, n, _, m, e in got)
+    assert all(any(s <= p and s + n >= p + length and s2 <= p and s2 + m >= p + length for s, n, s2, m, _ in got) for p in places)
+
+
 def test_alignment_and_chain():
     a = np.arange(1, 201, dtype=np.uint64)
     b = np.concatenate([a[:90], a[93:150], np.arange(900, 905, dtype=np.uint64), a[150:]])
