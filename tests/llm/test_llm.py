@@ -243,11 +243,46 @@ def test_passages(spark, docs, empty):
     for r in got:
         assert r.source_doc_id < r.doc_id and min(r.n_words, r.source_n_words) >= 50
         assert len(text[r.doc_id][r.start_word : r.start_word + r.n_words]) == r.n_words
-    words = {i: tuple(t) for i, t in text.items()}
-    for i, t in words.items():
-        later = any(t[a : a + 50] == u[b : b + 50] for j, u in words.items() if i is not None and j is not None and j < i for a in range(len(t) - 49) for b in range(len(u) - 49)) if i in (40, 41, 42, 43, 44) else None
-        if later is not None:
-            assert later == any(d == i for d, _ in found) or i == 44
+    runs = lambda t: {tuple(t[a : a + 50]) for a in range(len(t) - 49)}
+    held = {i: runs(t) for i, t in text.items() if i is not None}
+    for i, own in held.items():
+        if any(own & held[j] for j in held if j < i):
+            assert any(d == i for d, _ in found)
+
+
+@pytest.mark.parametrize("length, share", [(60, 0.82), (60, 0.87), (60, 0.92), (120, 0.82), (120, 0.87)])
+def test_planted_fuzzy_passages_are_found(spark, length, share):
+    rng = random.Random(length + int(100 * share))
+    word = lambda: f"w{rng.randrange(5000)}"
+    data, pairs = [], 60
+    for i in range(pairs):
+        passage = [word() for _ in range(length)]
+        edited = passage[:]
+        for at in rng.sample(range(2, length - 2), round(length * (1 - share))):
+            edited[at] = "x" + word()
+        for j, p in ((i, passage), (1000 + i, edited)):
+            data.append((j, " ".join([*(word() for _ in range(40)), *p, *(word() for _ in range(40))])))
+    got = passages.fuzzy_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    hits = {r.doc_id for r in got if r.source_doc_id == r.doc_id - 1000 and r.n_words >= 0.8 * length}
+    assert len(hits) >= 0.9 * pairs and all(r.n_equal >= 0.8 * max(r.n_words, r.source_n_words) for r in got)
+
+
+def test_passages_of_repeated_ids_long_drift_and_frequent_seeds(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(50000)}"
+    a, b = [word() for _ in range(120)], [word() for _ in range(120)]
+    long = [word() for _ in range(3000)]
+    drifting = [w for i, x in enumerate(long) for w in ([x, word()] if i % 25 == 0 else [x])]
+    shared = [word() for _ in range(60)]
+    bits = [(100 + i, " ".join([*(word() for _ in range(9)), *shared[i : i + 12], *(word() for _ in range(9))])) for i in range(0, 49)]
+    data = [(5, " ".join(a)), (5, "zz " + " ".join(b)), (9, " ".join(a)), (10, " ".join(b)), (20, " ".join(long)), (21, " ".join(drifting)), *bits, (300, " ".join(shared)), (301, " ".join([word(), *shared]))]
+    got = passages.fuzzy_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    kept = min(" ".join(a), "zz " + " ".join(b)).split()[0] == a[0]
+    assert ((9 if kept else 10), 5) in {(r.doc_id, r.source_doc_id) for r in got}
+    assert ((10 if kept else 9), 5) not in {(r.doc_id, r.source_doc_id) for r in got}
+    covered = {w for r in got if (r.doc_id, r.source_doc_id) == (21, 20) for w in range(r.start_word, r.start_word + r.n_words)}
+    assert len(covered) >= 0.98 * len(drifting)
+    assert (301, 300) in {(r.doc_id, r.source_doc_id) for r in got}
 
 
 @pytest.mark.parametrize("length, gap", [(60, 31), (60, 45), (60, 59), (60, 75), (100, 60), (200, 150)])
@@ -267,8 +302,19 @@ def test_alignment_and_chain():
     b = np.concatenate([a[:90], a[93:150], np.arange(900, 905, dtype=np.uint64), a[150:]])
     (start, n, start_b, n_b, equal), = passages._banded([(a, b, 0, 8)])
     assert (start, n, start_b, n_b, equal) == (0, 200, 0, 202, 197)
-    chains = passages.chains(np.array([0, 5, 10, 60]), np.array([100, 105, 110, 3]))
-    assert chains[0] == (0, 10, 100, 110, 3) and len(chains) == 2
+    k = np.full(4, 5)
+    assert passages.chains(np.array([0, 5, 10, 60]), np.array([100, 105, 110, 3]), k) == [(0, 15, 100, 115, 0, 15)]
+    assert passages.chains(np.array([0, 5, 10, 400]), np.array([100, 105, 110, 500]), np.array([5, 5, 5, 20])) == [(0, 15, 100, 115, 0, 15), (400, 420, 500, 520, 0, 20)]
+    rng = np.random.default_rng(2)
+    p = np.sort(rng.choice(300, 40, replace=False))
+    q = np.where(rng.random(40) < 0.7, p + 20, rng.integers(0, 300, 40))
+    best = []  # of chains that end at each match, by trying all matches before
+    for i in range(40):
+        steps = [best[j] - passages.GAP / 2 * (p[i] + q[i] - p[j] - q[j]) for j in range(i) if p[j] < p[i] and q[j] < q[i]]
+        best.append(5 + max([0.0, *steps]))
+    first = passages.chains(p, q, np.full(40, 5))[0]
+    at = int(np.argmax(best))
+    assert (first[1], first[3]) == (p[at] + 5, q[at] + 5)
 
 
 @pytest.mark.parametrize("order", [2, 3])
@@ -332,13 +378,27 @@ def test_line_dedup(spark, docs, empty):
 
 
 def test_line_runs_by_batches(spark, docs):
-    store = line_runs.LineRuns(spark)
+    store = line_runs.LineRuns(spark, 3)
     for i in range(5):
-        store.add(docs.where(f"coalesce(doc_id, 0) % 5 = {i}"))
-    assert max(level for level, _ in store.runs) == 2
-    assert store.keys().exceptAll(line_runs._merged(line_runs.line_counts(docs))).count() == 0
-    fresh = spark.createDataFrame([(900, "a line that nobody has had so far"), (901, "a long line that comes again and again")], "doc_id long, text string")
-    assert store.unseen(fresh).count() == 1
+        store.add(line_runs.lines_of(docs.where(f"coalesce(doc_id, 0) % 5 = {i}")))
+    assert sorted(level for level, _ in store.runs) == [0, 2]
+    assert store.keys().exceptAll(line_runs.line_counts(line_runs.lines_of(docs))).count() == 0
+    own = store._union([name for _, name in store.runs])
+    assert own.count() == own.select("h1", "h2").distinct().count() == store.keys().count()
+    new = spark.createDataFrame([(900, "a line that nobody has had so far"), (901, "a long line that comes again and again")], "doc_id long, text string")
+    assert store.unseen(line_runs.line_counts(line_runs.lines_of(new))).count() == 1
+    store.drop()
+    assert not spark.catalog.listTables()
+
+
+def test_line_dedup_keeps_any_columns(spark):
+    line = "a line of twenty characters or more"
+    data = [(i, f"{line}\nown {i}", i, "g", 1.5, [i]) for i in range(5)] + [(None, line, 9, "n", None, None), (4, f"{line}\nown 4", 4, "g", 1.5, [4]), (4, line, 5, "h", 2.5, None)]
+    df = spark.createDataFrame(data, "doc_id int, text string, id int, gone string, row double, h1 array<int>")
+    got = sorted(map(repr, line_runs.drop_repeated(df).collect()))
+    keep = lambda i, t: t if i == 4 else "\n".join(x for x in t.split("\n") if x != line)
+    want = spark.createDataFrame([(d[0], keep(d[0], d[1]), *d[2:]) for d in data], df.schema).collect()
+    assert got == sorted(map(repr, want))
 
 
 def test_toxicity(spark, empty):
