@@ -1,97 +1,463 @@
-"""SentencePiece encoding and decoding.
+"""SentencePiece encoding and decoding through a relational lattice.
 
-The piece file at hand is a BPE model: its scores are merge ranks, and the segmentation it stands for is the result of
-merging in rank order, which a best path through a lattice doesn't give. `encode_pieces` therefore lets the library merge
-whole texts, a batch at a time, and decodes by the piece table. `lattice_encode` is the relational lattice, for piece
-tables whose scores are log probabilities (unigram models).
+Texts are split into units that no piece spans (runs of one kind of character, with the spaces before them). Each distinct
+unit is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, the edges of a unit
+come together, and a fold over its end positions (Spark's `aggregate`) keeps the best path to each. The table of encoded
+units then answers every text: it is broadcast up to TABLE_UNITS entries, the most frequent ones; units beyond are joined.
+
+For unigram models the best path is the one with the highest sum of scores (ties: the longer last piece). For BPE models,
+whose scores are merge ranks, that would be another segmentation than merging gives. There the lattice also carries which
+pieces may follow each other: a segmentation is what merging gives just if each two neighbours would be left apart by it
+(none of the pieces that they were merged from, at a time when both were there, would rather have merged across the
+border). So a single path remains, and ids equal the library's. Characters without a piece become byte pieces.
+
+Units that start with several spaces (their merges tie) or are longer than LONGEST are merged by the library, which gives
+the same ids as a lattice would; no such unit is dropped or cut.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; doc_ids may be null or repeat; texts
-of any length are encoded whole. Other columns are not read.
+of any length are encoded whole; an empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import cut, small_batches, utf8
+
+MARK = "▁"
+#: Characters of a unit that goes through the lattice, at most; units that a worker counts at once; the broadcast table's entries; a worker's cache.
+LONGEST, COUNTED, TABLE_UNITS, CACHED = 64, 200_000, 4_000_000, 200_000
+#: Ways to split, the finest first: the first that no piece of a model crosses is taken. (A raised two goes with points.)
+SPLITS = [rf"{MARK}*[^\W\d_²]+|{MARK}*(?:(?!{MARK})[\W_²])+|{MARK}+|\d", rf"{MARK}*[^{MARK}]+|{MARK}+"]
+
+
+class Model(NamedTuple):
+    """What is needed of a model file; its size is that of the vocabulary."""
 
-MARK, TOGETHER = "▁", 64
-_workers: dict[str, tuple] = {}
+    path: str
+    split: str
+    pieces: list[tuple[str, int, float]]  # those that can be the result of encoding
+    surface: list[bytes]
+    bytes_at: list[int] | None  # the byte pieces' ids
+    #: Of a BPE model: each id's rank, and the ids of its left and right part (itself, if it is a character).
+    rank: np.ndarray | None
+    left: np.ndarray | None
+    right: np.ndarray | None
 
 
-def _worker(path: str):
-    if path not in _workers:
+_models: dict[str, Model] = {}
+_library: dict[str, object] = {}
+
+
+def _processor(path: str):
+    if path not in _library:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        surface = []
-        for i in range(sp.get_piece_size()):
-            piece = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                surface.append(bytes([int(piece[3:5], 16)]))
-            elif sp.is_control(i):
-                surface.append(b"")
-            elif sp.is_unknown(i):
-                surface.append(" ⁇ ".encode())
+        _library[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _library[path]
+
+
+def _is_bpe(path: str) -> bool:
+    """From the model file's trainer settings: field 2, and in it field 3, which is 2 for BPE."""
+    with open(path, "rb") as f:
+        raw = f.read()
+
+    def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def varint() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                x = b[at]
+                at += 1
+                out |= (x & 127) << shift
+                shift += 7
+                if x < 128:
+                    return out
+
+        while at < len(b):
+            key = varint()
+            if key & 7 == 0:
+                yield key >> 3, varint()
             else:
-                surface.append(piece.replace(MARK, " ").encode())
-        _workers[path] = (sp, surface)
-    return _workers[path]
+                n = varint() if key & 7 == 2 else 4 if key & 7 == 5 else 8
+                yield key >> 3, b[at : at + n]
+                at += n
+
+    return any(kind == 2 for n, trainer in fields(raw) if n == 2 for m, kind in fields(trainer) if m == 3)
+
+
+def load(path: str) -> Model:
+    """The model, once for each process."""
+    if path in _models:
+        return _models[path]
+    sp = _processor(path)
+    surface, normal, by_byte = [], [], {}
+    for i in range(sp.get_piece_size()):
+        piece = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            by_byte[int(piece[3:5], 16)] = i
+            surface.append(bytes([int(piece[3:5], 16)]))
+        elif sp.is_control(i):
+            surface.append(b"")
+        elif sp.is_unknown(i):
+            surface.append(" ⁇ ".encode())
+        else:
+            surface.append(piece.replace(MARK, " ").encode())
+            if not sp.is_unused(i):
+                normal.append((piece, i, sp.get_score(i)))
+    split = next((s for s in SPLITS if all(re.fullmatch(s, p) for p, _, _ in normal)), None)
+    if split is None:
+        raise ValueError(f"{path}: pieces go beyond words")
+    rank = left = right = None
+    if _is_bpe(path):
+        rank = np.zeros(len(surface), np.int64)
+        for place, (_, i, _) in enumerate(sorted(normal, key=lambda x: (-x[2], x[1]))):
+            rank[i] = place
+        ids = {p: i for p, i, _ in normal}
+        left, right = np.arange(len(surface)), np.arange(len(surface))
+        whole = set()
+        for p, i, _ in normal:
+            last = _last_merge(p, ids, rank)
+            if last is not None:
+                whole.add(i)
+                left[i], right[i] = last if last else (i, i)
+        normal = [x for x in normal if x[1] in whole]
+    _models[path] = Model(path, split, normal, surface, [by_byte[i] for i in range(256)] if len(by_byte) == 256 else None, rank, left, right)
+    return _models[path]
+
+
+def _last_merge(piece: str, ids: dict[str, int], rank: np.ndarray) -> tuple[int, int] | tuple[()] | None:
+    """The two pieces that merging joins last to give this one; () for a character, None if merging doesn't give it."""
+    parts = list(piece)
+    while len(parts) > 1:
+        options = [(rank[ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids]
+        if not options:
+            return None
+        i = min(options)[1]
+        if len(parts) == 2:
+            return (ids[parts[0]], ids[parts[1]]) if parts[0] in ids and parts[1] in ids else None
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return ()
+
+
+class Follows:
+    """Which pieces of a BPE model stay apart when they meet; answers are remembered, in bounded number."""
+
+    MOST = 2_000_000
+
+    def __init__(self, model: Model):
+        self.rank, self.left, self.right = (x.tolist() for x in (model.rank, model.left, model.right))
+        by_text = {model.surface[i]: i for _, i, _ in model.pieces}
+        # every way in which two pieces make a third: as many as pieces have characters
+        self.merged = {}
+        for _, i, _ in model.pieces:
+            s = model.surface[i]
+            for at in range(1, len(s)):
+                a, b = by_text.get(s[:at]), by_text.get(s[at:])
+                if a is not None and b is not None:
+                    self.merged[a, b] = self.rank[i]
+        self.known: dict[int, bool] = {}
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Undo the merges of both pieces, the latest first: whatever meets at the border must not have merged before that."""
+        rank, limit, strict = self.rank, 1 << 62, False
+        while True:
+            joined = self.merged.get((a, b))
+            if joined is not None and (joined < limit or (joined == limit and not strict)):
+                return False
+            inner_a, inner_b = self.right[a], self.left[b]
+            if inner_a == a and inner_b == b:
+                return True
+            # of equal merges the one further left comes first
+            if inner_b == b or (inner_a != a and rank[a] > rank[b]):
+                limit, strict, a = rank[a], True, inner_a
+            else:
+                limit, strict, b = rank[b], False, inner_b
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For arrays of neighbours (-1: a character without a piece)."""
+        keys, at = np.unique((a.astype(np.int64) + 1) << 32 | (b.astype(np.int64) + 1), return_inverse=True)
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        known, out = self.known, np.empty(len(keys), bool)
+        for n, key in enumerate(keys.tolist()):
+            ok = known.get(key)
+            if ok is None:
+                x, y = (key >> 32) - 1, (key & 0xFFFFFFFF) - 1
+                ok = known[key] = x < 0 or y < 0 or self._apart(x, y)
+            out[n] = ok
+        return out[at]
+
+
+#: All edges of a unit by end position: length and id of the piece (-1: byte pieces, in raw), score, pieces that may stand before it (null: any).
+ENDS = "array<array<struct<n: int, id: int, score: double, raw: array<int>, before: array<int>>>>"
+
+
+def _grouped(model: Model | None, scores: dict[int, float]):
+    """From edges (uid, unit, s, n, id), in order, to (unit, ends ENDS)."""
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("id", pa.int32()), ("score", pa.float64()), ("raw", pa.list_(pa.int32())), ("before", pa.list_(pa.int32()))]))
+    table = np.zeros(max([0, *scores]) + 2)
+    for i, v in scores.items():
+        table[i] = v
+    table[-1] = -1e9
+
+    def made(uid: np.ndarray, unit: pa.Array, s: np.ndarray, n: np.ndarray, piece: np.ndarray, follows: Follows | None) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]]))
+        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(uid))))
+        begin, end = word * (LONGEST + 1) + s, word * (LONGEST + 1) + s + n
+        order = np.lexsort((n, end))
+        begin, end, n, piece, word = begin[order], end[order], n[order], piece[order], word[order]
+        units = unit.take(pa.array(first))
+        if follows is None:
+            before = pa.nulls(len(end), pa.list_(pa.int32()))
+        else:
+            lo, hi = np.searchsorted(end, begin, "left"), np.searchsorted(end, begin, "right")
+            count = hi - lo
+            right = np.repeat(np.arange(len(end)), count)
+            left = np.arange(len(right)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            ok = follows.allowed(piece[left], piece[right])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(right[ok], minlength=len(end)))]).astype(np.int32)
+            opening = pa.array(begin == word * (LONGEST + 1))
+            before = pa.ListArray.from_arrays(ends, piece[left[ok]].astype(np.int32), mask=opening)
+        raw = pa.nulls(len(end), pa.list_(pa.int32()))
+        bare = np.flatnonzero(piece < 0)
+        if len(bare) and model is not None and model.bytes_at:
+            texts, lists = units.to_pylist(), [None] * len(end)
+            for i in bare.tolist():
+                at = int(begin[i] - word[i] * (LONGEST + 1))
+                lists[i] = [model.bytes_at[x] for x in utf8(texts[word[i]][at])]
+            raw = pa.array(lists, pa.list_(pa.int32()))
+        keep = np.ones(len(end), bool) if model is not None and model.bytes_at else piece >= 0
+        edges = pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(table[piece]), raw, before], fields=list(kind.value_type))
+        length = np.maximum.reduceat(end, np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))) - np.arange(len(first)) * (LONGEST + 1)
+        at = np.concatenate([[0], np.cumsum(length)])  # where each unit's end positions start
+        slot = at[word] + end - word * (LONGEST + 1) - 1
+        inner = np.concatenate([[0], np.cumsum(np.bincount(slot[keep], minlength=at[-1]))]).astype(np.int32)
+        ends = pa.ListArray.from_arrays(at.astype(np.int32), pa.ListArray.from_arrays(inner, edges.filter(pa.array(keep))))
+        return pa.RecordBatch.from_arrays([units, ends.cast(pa.list_(kind))], ["unit", "ends"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        follows = None if model is None or model.rank is None else Follows(model)
+        held: pa.Table | None = None
+
+        def arrays(t: pa.Table):
+            t = t.combine_chunks()
+            ids = t.column("id").fill_null(-1).to_numpy()
+            return t.column("uid").to_numpy(), t.column("unit").combine_chunks(), t.column("s").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64), ids.astype(np.int64)
+
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            now = now if held is None else pa.concat_tables([held, now])
+            uid = now.column("uid").to_numpy()
+            if not len(uid):
+                continue
+            last = len(uid) - int(np.argmin((uid == uid[-1])[::-1])) if uid[0] != uid[-1] else 0
+            if last:
+                yield made(*arrays(now.slice(0, last)), follows)
+            held = now.slice(last)
+        if held is not None and len(held):
+            yield made(*arrays(held), follows)
+
+    return run
 
 
-def encode_all(texts: list[str | None], path: str) -> list[list[int]]:
-    """The library's ids of each whole text."""
-    return _worker(path)[0].encode([t or "" for t in texts], num_threads=1)
+#: The fold: the state after each end position is the best path to it, or null.
+FOLD = """
+aggregate(ends, array(named_struct('score', cast(0 as double), 'n', 0, 'id', -1, 'ids', cast(array() as array<int>))),
+  (acc, edges) -> concat(acc, array(array_max(transform(
+    filter(edges, x -> acc[size(acc) - x.n] is not null and (x.before is null or array_contains(x.before, acc[size(acc) - x.n].id))),
+    x -> named_struct('score', acc[size(acc) - x.n].score + x.score, 'n', x.n, 'id', x.id,
+                      'ids', concat(acc[size(acc) - x.n].ids, coalesce(x.raw, array(x.id)))))))),
+  acc -> element_at(acc, -1))"""
 
 
-def encode(text: str | None, path: str) -> list[int]:
-    return encode_all([text], path)[0]
+def lattice_encode(units: DataFrame, pieces: DataFrame, scores: dict[int, float], longest: int = 16, model: Model | None = None) -> DataFrame:
+    """From distinct units (unit string, of 1 to LONGEST characters) and pieces (piece string, id int) to (unit, ids, score).
 
+    scores: of the ids. Units that no path covers have null ids. model: gives byte pieces and, if it is BPE, what may follow.
+    """
+    numbered = units.select("unit", F.monotonically_increasing_id().alias("uid"))
+    spans = numbered.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    spans = spans.select("uid", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))).alias("n"))
+    edges = spans.withColumn("piece", F.expr("substring(unit, s + 1, n)")).join(F.broadcast(pieces.select("piece", "id")), "piece", "left")  # a vocabulary has a fixed size
+    edges = edges.where("id is not null or n = 1").select("uid", "unit", "s", "n", "id")
+    grouped = edges.mapInArrow(_grouped(model, scores), f"unit string, ends {ENDS}")
+    return grouped.withColumn("best", F.expr(FOLD)).select("unit", "best.ids", "best.score")
+
+
+def units_of(text: str | None, split) -> list[str]:
+    return split((MARK + text).replace(" ", MARK)) if text else []
+
+
+def unit_counts(docs: DataFrame, model: Model) -> DataFrame:
+    """unit, n: all distinct units that go through the lattice, counted within a task first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, found = re.compile(model.split).findall, Counter()
+
+        def done() -> pa.RecordBatch:
+            keep = {u: n for u, n in found.items() if len(u) <= LONGEST and not u.startswith(2 * MARK)}
+            return pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array(keep.values(), pa.int64())], ["unit", "n"])
+
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                found.update(units_of(t, split))
+                if len(found) > COUNTED:
+                    yield done()
+                    found.clear()
+        yield done()
+
+    return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def encoded_units(docs: DataFrame, model: Model) -> DataFrame:
+    """unit, n, ids of every distinct unit of docs, through the lattice."""
+    spark = docs.sparkSession
+    counted = cut(unit_counts(docs, model))
+    pieces = spark.createDataFrame([(p, i) for p, i, _ in model.pieces], "piece string, id int")
+    longest = max(len(p) for p, _, _ in model.pieces)
+    got = lattice_encode(counted, pieces, {i: v for _, i, v in model.pieces}, longest, model)
+    return cut(got.select("unit", "ids").join(counted, "unit"))
+
+
+def _hash(unit: str) -> int:
+    return xxhash.xxh3_64_intdigest(utf8(unit)) - (1 << 63)
+
+
+class Table:
+    """Packed ids by a unit's hash: sorted hashes, where each one's ids begin, and all ids."""
+
+    def __init__(self, rows: pa.Table):
+        lists = rows.column("ids").combine_chunks()
+        order = np.argsort(h := rows.column("h").to_numpy())
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)[order]
+        self.hashes, self.ends = h[order], np.cumsum(sizes).astype(np.int64)
+        self.ids = lists.take(pa.array(order)).flatten().to_numpy().astype(np.int32)
+
+    def get(self, units: list[str]) -> list[bytes | None]:
+        h = np.fromiter((_hash(u) for u in units), np.int64, len(units))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1) if len(self.hashes) else h
+        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        return [self.ids[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes() if ok else None for i, ok in zip(at.tolist(), hit.tolist(), strict=True)]
 
-def decode(ids: list[int], path: str) -> str:
+
+class Encoder:
+    """Encodes texts by the table, with a bounded cache of what was looked up."""
+
+    def __init__(self, model: Model, table: Table):
+        self.model, self.table, self.split = model, table, re.compile(model.split).findall
+        self.cache: dict[str, bytes] = {}
+
+    def _direct(self, unit: str) -> bytes:
+        """By the library; a line feed is never merged and keeps the unit from the mark that the library puts first."""
+        return np.array(_processor(self.model.path).encode("\n" + unit)[2:], np.int32).tobytes()
+
+    def look_up(self, texts: list[list[str]]) -> set[str]:
+        """Fill the cache for these units; gives those that the table lacks."""
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        new = [u for u in {u for t in texts for u in t} if u not in self.cache]
+        lacking = set()
+        for u, ids in zip(new, self.table.get(new), strict=True):
+            if ids is None and (len(u) > LONGEST or u.startswith(2 * MARK)):
+                ids = self._direct(u)
+            if ids is None:
+                lacking.add(u)
+            else:
+                self.cache[u] = ids
+        return lacking
+
+    def encode(self, units: list[str], more: dict[str, bytes]) -> np.ndarray:
+        cache = self.cache
+        return np.frombuffer(b"".join([cache.get(u) or more[u] for u in units]), np.int32)
+
+
+def decode(ids: list[int], surface: list[bytes]) -> str:
     """The text of the ids: surfaces joined, bytes put together, without the first mark's space."""
-    _, surface = _worker(path)
     raw = b"".join([surface[i] for i in ids])
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
+OUT = "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean"
+
+
+def _rows(encoder: Encoder, doc_ids: list, texts: list[str | None], each: list[list[str]], more: list[dict[str, bytes]]) -> pa.RecordBatch:
+    ids = [encoder.encode(units, m) for units, m in zip(each, more, strict=True)]
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    back = [decode(i.tolist(), encoder.model.surface) for i in ids]
+    digest = [hashlib.sha256(utf8(t)).hexdigest() for t in back]
+    same = [x == (t or "").replace(MARK, " ") for x, t in zip(back, texts, strict=True)]
+    flat = np.concatenate([np.empty(0, np.int32), *ids])
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(ends, flat), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], [c.split()[0] for c in OUT.split(", ")])
+
+
+def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) -> DataFrame:
     """doc_id, n_pieces, ids, decoded_sha256 (of the decoded text), round_trip (it equals the text) for every row."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    model = load(path)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    units = encoded_units(docs, model)
 
-    @F.pandas_udf("n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows, given = [], texts.tolist()
-        for i in range(0, len(given), TOGETHER):
-            part = given[i : i + TOGETHER]
-            for t, ids in zip(part, encode_all(part, path), strict=True):
-                back = decode(ids, path)
-                rows.append((len(ids), np.array(ids, np.int32), hashlib.sha256(utf8(back)).hexdigest(), back == (t or "").replace(MARK, " ")))
-        return pd.DataFrame(rows, columns=["n_pieces", "ids", "decoded_sha256", "round_trip"])
+    @F.pandas_udf("long")
+    def hashed(u: pd.Series) -> pd.Series:
+        return u.map(_hash)
 
-    return docs.select("doc_id", run("text").alias("p")).select("doc_id", "p.*")
+    rest = units.count() > table_units
+    kept = units.orderBy(F.desc("n"), "unit").limit(table_units) if rest else units
+    table = spark.sparkContext.broadcast(Table(kept.select(hashed("unit").alias("h"), "ids").toArrow()))
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of texts whose units are all in the table."""
+        encoder = Encoder(load(path), table.value)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            each = [units_of(t, encoder.split) for t in texts]
+            lacking = encoder.look_up(each)
+            ok = [i for i, u in enumerate(each) if not lacking or lacking.isdisjoint(u)]
+            ids = b.column("doc_id").to_pylist()
+            yield _rows(encoder, [ids[i] for i in ok], [texts[i] for i in ok], [each[i] for i in ok], [{}] * len(ok))
 
-def lattice_encode(words: DataFrame, pieces: DataFrame, longest: int = 16) -> DataFrame:
-    """From words (word string) and a unigram piece table (piece string, id int, score double) to (word, ids, score).
+    done = docs.mapInArrow(whole, OUT)
+    if not rest:
+        return done
+    keyed = "id long, t1 long, t2 long, text string, unit array<string>"
 
-    Substrings of up to `longest` characters are exploded and joined to the piece table; a word's edges come together and
-    a fold over its end positions keeps the best path to each (ties: the longer last piece). Words that no path covers have null ids.
-    """
-    spans = words.distinct().select("word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("i"))
-    spans = spans.select("word", "i", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where("i + n - 1 <= length(word)")
-    edges = spans.withColumn("piece", F.expr("substring(word, i, n)")).join(pieces.select("piece", "id", "score"), "piece")
-    by_word = words.distinct().join(edges.groupBy("word").agg(F.collect_list(F.struct(F.expr("i + n - 1").alias("e"), "n", "id", "score")).alias("edges")), "word", "left")
-    fold = (
-        "aggregate(sequence(1, length(word)), array(named_struct('score', if(length(word) > 0, 0D, null), 'n', if(length(word) > 0, 0, null), 'ids', if(length(word) > 0, cast(array() as array<int>), null))), "
-        "(acc, e) -> concat(acc, array(coalesce("
-        "array_max(transform(filter(coalesce(edges, array()), x -> x.e = e and acc[e - x.n].score is not null), "
-        "x -> named_struct('score', acc[e - x.n].score + x.score, 'n', x.n, 'ids', concat(acc[e - x.n].ids, array(x.id))))), "
-        "named_struct('score', cast(null as double), 'n', 0, 'ids', cast(null as array<int>))))), "
-        "acc -> element_at(acc, -1))"
-    )
-    return by_word.where("length(word) > 0").withColumn("best", F.expr(fold)).select("word", "best.ids", "best.score")
+    def lacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other texts, with the units that they need besides; rows alike in doc_id and text need the same."""
+        encoder = Encoder(load(path), table.value)
+        for b in batches:
+            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
+            each = [set(units_of(t, encoder.split)) for t in texts]
+            lacking = encoder.look_up([list(u) for u in each])
+            rows = [(ids[i], *np.frombuffer(xxhash.xxh3_128_digest(utf8(texts[i])), ">i8").tolist(), texts[i], sorted(u & lacking)) for i, u in enumerate(each) if not u.isdisjoint(lacking)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("id", "t1", "t2", "text", "unit"), r, strict=True)) for r in rows], pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("text", pa.string()), ("unit", pa.list_(pa.string()))]))
+
+    key = ["t1", "t2"]  # equal texts need the same
+    lacking = docs.mapInArrow(lacks, keyed)
+    asked = lacking.select(*key, "unit").dropDuplicates(key).select(*key, F.explode("unit").alias("unit"))
+    told = asked.join(units.select("unit", "ids"), "unit").groupBy(*key).agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(load(path), table.value)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            each = [units_of(t, encoder.split) for t in texts]
+            encoder.look_up(each)
+            more = [{x["unit"]: np.array(x["ids"], np.int32).tobytes() for x in row} for row in b.column("more").to_pylist()]
+            yield _rows(encoder, b.column("id").to_pylist(), texts, each, more)
+
+    return done.unionByName(lacking.select("id", *key, "text").join(told, key).select("id", "text", "more").mapInArrow(finish, OUT))
