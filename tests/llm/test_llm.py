@@ -189,7 +189,7 @@ def test_token_counts_and_pieces(spark, docs, empty):
 
 def test_lattice_finds_the_best_path(spark):
     score = {"a": -2.0, "b": -2.0, "ab": -3.0, "abc": -9.0, "c": -1.0, "bc": -2.5}
-    table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(score.items())], "piece string, id int, score double")
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(score)], "piece string, id int")
     names = list(score)
 
     def best(w):
@@ -199,31 +199,69 @@ def test_lattice_finds_the_best_path(spark):
                 paths.append((s + rest[0], [p, *rest[1]]))
         return max(paths, default=None)
 
-    words = ["abc", "aabbc", "cab", "x", "abx", "abc"]
-    got = {r.word: r for r in pieces.lattice_encode(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
-    for w in set(words):
+    words = ["abc", "aabbc", "cab", "x", "abx", "xab"]
+    got = {r.unit: r for r in pieces.lattice_encode(spark.createDataFrame([(w,) for w in words], "unit string"), table, dict(enumerate(score.values()))).collect()}
+    assert len(got) == len(words)
+    for w in words:
         want = best(w)
         assert (got[w].ids is None) == (want is None)
         if want:
             assert math.isclose(got[w].score, want[0]) and [names[i] for i in got[w].ids] == want[1]
 
 
-def test_mixture(spark, docs, empty):
+@pytest.mark.parametrize("table_units", [pieces.TABLE_UNITS, 30])
+def test_pieces_equal_the_library(spark, docs, table_units):
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    rng = random.Random(4)
+    marks = ["▁", " ", "  ", "   ", "\n", "x²", "².", "_", "%%", "é", "é", "漢", "🙂", "7", "12", "'s", "http://", "\t", "ß"]
+    odd = ["".join(rng.choice([*marks, "the", "ing", "zzzz", "Ünter"]) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    odd += [" lead", "trail ", "z" * 70, "word " * 500, "a  b" + " " * 40 + "c", None, None, "same", "same"]
+    df = spark.createDataFrame([(None if i % 50 == 0 else i % 140, t, i, "n") for i, t in enumerate(odd)], "doc_id long, text string, unit int, t1 string")
+    got = sorted((repr(r.doc_id), list(r.ids), r.n_pieces, r.decoded_sha256, r.round_trip) for r in pieces.encode_pieces(df, model, table_units).collect())
+    want = []
+    for r in df.collect():
+        ids = sp.encode(r.text or "")
+        want.append((repr(r.doc_id), ids, len(ids), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), sp.decode(ids) == (r.text or "").replace("▁", " ")))
+    assert got == sorted(want)
+
+
+def test_mixture(spark, docs, empty, monkeypatch):
     every(mixing.mixture, empty)
-    got = mixing.mixture(docs).collect()
-    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixture(docs).collect()))
-    source = {r.doc_id: r.source for r in docs.collect()}
-    text = dict(rows(docs))
-    by = collections.defaultdict(lambda: [0, 0, 0.0, 0])
-    for r in got:
-        assert r.size == len((text[r.doc_id] or "").encode().split()) and 0 <= r.taken <= 3 * r.size
-        b = by[source[r.doc_id]]
-        b[0], b[1], b[2], b[3] = b[0] + r.size, r.source_size, r.target, b[3] + r.taken
-    assert all(b[0] == b[1] and b[2] <= 3 * b[1] and abs(b[3] - b[2]) <= mixing.BLOCK + 1 for b in by.values())
-    assert math.isclose(sum(b[2] for b in by.values()), sum(b[0] for b in by.values()))
-    mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns
-    assert sum(len(r.text.split()) for r in mixed.collect()) == sum(r.taken for r in got)
+    every(mixing.mixed_documents, empty)
+    for words, bale in ((mixing.SHARD_WORDS, mixing.BALE), (1000, 64)):
+        monkeypatch.setattr(mixing, "SHARD_WORDS", words)
+        monkeypatch.setattr(mixing, "BALE", bale)
+        got = mixing.mixture(docs).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixture(docs.repartition(7)).collect()))
+        source = {r.doc_id: r.source for r in docs.collect()}
+        text = dict(rows(docs))
+        by = collections.defaultdict(lambda: [0, 0, 0.0, 0])
+        for r in got:
+            assert r.size == len((text[r.doc_id] or "").encode().split()) and 0 <= r.taken <= 3 * r.size
+            b = by[source[r.doc_id]]
+            b[0], b[1], b[2], b[3] = b[0] + r.size, r.source_size, r.target, b[3] + r.taken
+        alike = len(got) - len({r.doc_id for r in got})
+        assert all(b[0] == b[1] and b[2] <= 3 * b[1] and abs(b[3] - b[2]) <= mixing.BLOCK + 1 + alike for b in by.values())
+        assert math.isclose(sum(b[2] for b in by.values()), sum(b[0] for b in by.values()))
+        clashing = docs.withColumns({c: docs["extra"] for c in ("target", "taken", "size", "source_size", "words", "length", "blocks", "shards", "t", "n", "o", "shard", "quota", "start", "end")})
+        mixed = mixing.mixed_documents(clashing)
+        assert mixed.columns == clashing.columns
+        out = mixed.collect()
+        assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in got) and {r.taken for r in out} <= {"e", None}
+
+
+def test_mixture_equals_its_sql_with_many_shards(spark, docs, monkeypatch):
+    import duckdb
+
+    pd = docs.toPandas()  # noqa: F841
+    db = duckdb.connect()
+    db.sql("create table documents as select doc_id::bigint as doc_id, text, source from pd")
+    got = sorted(repr(tuple(r)) for r in mixing.mixture(docs).collect())
+    assert got == sorted(repr(r) for r in db.sql(mixing.ORACLE).fetchall())
 
 
 def test_apportion_is_highest_quotients(spark):
