@@ -167,6 +167,33 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_wide_codes_stay_within_their_bounds():
+    rng = np.random.default_rng(6)
+    for width in (3, 2048, 4096):
+        v = np.sign(rng.normal(size=(40, width))) * rng.choice([1.0, 0.999, 1e-3], (40, width))
+        code, step, error, length = ann.quantise(v)
+        whole = code.astype(np.int64) @ code.astype(np.int64).T
+        assert (ann.products(code, code) == whole).all()
+        true = v @ v.T
+        slack = error[:, None] * (length + error)[None] + length[:, None] * error[None] + 1e-9 * (1 + np.abs(true))
+        assert (np.abs(true - whole * step[:, None] * step[None]) <= slack).all()
+
+
+def test_nearest_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann, "ROW_BLOCK", 40)
+    monkeypatch.setattr(ann, "STRIP", 2)
+    v = np.random.default_rng(8).normal(size=(400, 6)).round(1)
+    v[30:130:2] = v[40]  # more copies than are asked for
+    v[:300:60] = 3 * v[40]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()]
+    want = []
+    for i in range(0, 400, 20):
+        best = sorted((-float(ann.inner(v[i : i + 1], v[j : j + 1])[0]), j) for j in range(400) if j != i)[:20]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(got) == want
+
+
 def test_token_counts_and_pieces(spark, docs, empty):
     import public_tokenizers
     import sentencepiece
