@@ -92,7 +92,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray,
 
 def select_features(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The features whose document rates differ most between the classes, and their z values."""
-    flat = np.concatenate([*rows, np.empty(0, np.int64)])
+    flat = np.concatenate([*rows, np.empty(0, np.int32)])
     owner = np.repeat(toxic, [len(r) for r in rows]) if rows else np.empty(0, bool)
     n, pos = np.bincount(flat, minlength=DIM), np.bincount(flat[owner.astype(bool)], minlength=DIM)
     a, b = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     The labels are 0 or 1. Grade 0 is not toxic; toxic documents are graded 1 or 2 by how many distinct toxic features
     they have, below or from their median.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(cond).orderBy(*order).limit(n) for cond, n in (("toxic > 0", SAMPLE_TOXIC), ("toxic <= 0", SAMPLE_CLEAN))]
     totals = {int(r["t"]): int(r["n"]) for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("t")).agg(F.count("*").alias("n")).collect()}
@@ -118,13 +118,15 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
 
     def extract(batches):
         for b in batches:
-            found = [np.fromiter(text_features(t), np.int32) for t in b.column("text").to_pylist()]
+            found = [np.fromiter(sorted(text_features(t)), np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
 
     sample = picked[0].unionByName(picked[1])  # its size is bounded by the two limits
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(extract, "toxic int, features array<int>").toArrow()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # a doc_id that repeats counts once, by the text that is first in order; each text passes its distinct features only
+    got = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).mapInArrow(extract, "toxic int, features array<int>").toArrow()
     toxic = got.column("toxic").to_numpy() > 0
-    rows = [np.asarray(r, np.int64) for r in got.column("features").to_pylist()]
+    rows = [r for c in got.column("features").chunks for r in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])] if len(got) else []
     if toxic.all() or not toxic.any():
         return OrdinalModel()
     features, z = select_features(rows, toxic)
