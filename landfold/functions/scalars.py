@@ -107,6 +107,17 @@ def wallclock_epoch(c: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(F.concat(F.regexp_replace(F.regexp_replace(c, r"^\w+ ", ""), r" [+-]\d{4} ", " "), F.lit(" +0000")), F.lit("MMM d HH:mm:ss yyyy xx")))
 
 
+#: What a run calls now, by name; as_of is passed in, so that a run can be repeated.
+NOW = {"ms": None, "s": None, "datetime": "yyyy-MM-dd HH:mm:ss", "hour": "yyyy-MM-dd-HH", "date": "yyyy-MM-dd"}
+
+
+def as_of_text(as_of: Column, kind: str = "datetime") -> Column:
+    """A timestamp as epoch (ms, s: numbers) or text in the session's time zone."""
+    if kind in ("ms", "s"):
+        return F.unix_millis(as_of) if kind == "ms" else F.unix_seconds(as_of)
+    return F.date_format(as_of, NOW[kind])
+
+
 def china_datetime(c: Column) -> Column:
     """The instant at +08:00, as text with the offset."""
     return F.concat(F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(F.timestamp_seconds(instant_epoch(c)), F.current_timezone()), "+08:00"), "yyyy-MM-dd HH:mm:ss"), F.lit("+08:00"))
@@ -144,12 +155,89 @@ ID_PATTERNS = {
 }
 
 
-def url_id(c: Column, platform: str, kind: str) -> Column:
-    """The id in a URL, or the id itself; null where there is none."""
+def url_id(c: Column, platform: str, kind: str, strict: bool = False) -> Column:
+    """The id in a URL, or the id itself; null where there is none, or an error if strict."""
     raw, within = ID_PATTERNS[platform, kind]
-    return F.when(c.rlike(raw), c).otherwise(F.nullif(F.regexp_extract(c, within, 1), F.lit("")))
+    found = F.when(c.rlike(raw), c).otherwise(F.nullif(F.regexp_extract(c, within, 1), F.lit("")))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no id in "), F.coalesce(c, F.lit("null"))))) if strict else found
+
+
+def url_join(base: Column, c: Column) -> Column:
+    """A link found on a page as an absolute URL: whole ones as they are, then //host/path, /path, and names beside the base; '' stays."""
+    site = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_replace(base, "[?#].*$", "")
+    beside = F.when(path == site, F.concat(site, F.lit("/"), c)).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), c))
+    return F.when(F.coalesce(c, F.lit("")) == "", "").when(c.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), c).when(c.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), c)).when(c.startswith("/"), F.concat(site, c)).otherwise(beside)
+
+
+#: Hosts that serve images.
+IMAGE_HOSTS = ("https://sns-img-qc.xhscdn.com", "https://sns-img-hw.xhscdn.com", "https://sns-img-bd.xhscdn.com", "https://sns-img-qn.xhscdn.com")
+
+
+def trace_id(c: Column) -> Column:
+    """The last part of an image URL, below spectrum/ if the URL has that."""
+    last = F.element_at(F.split(c, "/"), -1)
+    return F.when(c.contains("spectrum"), F.concat(F.lit("spectrum/"), last)).otherwise(last)
+
+
+def image_urls(trace: Column, form: str = "png") -> Column:
+    """Where an image may be had, one URL per host."""
+    return F.array(*(F.concat(F.lit(f"{h}/"), trace, F.lit(f"?imageView2/format/{form}")) for h in IMAGE_HOSTS))
+
+
+def js_string(c: Column) -> Column:
+    """The inside of a JavaScript string literal, decoded; '' for null, '' and 'null'; what can't be decoded stays."""
+    decoded = F.from_json(F.concat(F.lit('{"x":"'), c, F.lit('"}')), "x string", {"mode": "PERMISSIVE"})["x"]
+    return F.when(F.coalesce(c, F.lit("")).isin("", "null"), "").otherwise(F.coalesce(decoded, c))
+
+
+#: Fields of a forum page, by name, and what a page without one gives.
+PAGE_FIELDS = {
+    "ip_location": (r"IP属地:(\S+?)</span>", ""),
+    "publish_time": (r'<span class="tail-info">(\d{4}-\d{2}-\d{2} \d{2}:\d{2})</span>', ""),
+    "registration_duration": (r"<span>吧龄:(\S+?)</span>", ""),
+    "concern": (r'<span class="concern_num">\(<a[^>]*>(\d+)</a>\)</span>', "0"),
+}
+
+
+def page_field(c: Column, name: str) -> Column:
+    """A field of a page's HTML, the first there is."""
+    pattern, none = PAGE_FIELDS[name]
+    return F.coalesce(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), F.lit(none))
+
+
+def follows_and_fans(c: Column) -> Column:
+    """The first two concern numbers of a profile page, '0' where there is none."""
+    found = F.regexp_extract_all(c, F.lit(PAGE_FIELDS["concern"][0]))
+    return F.struct(*(F.coalesce(F.get(found, F.lit(i)), F.lit("0")).alias(n) for i, n in enumerate(("follows", "fans"))))
 
 
+def page_gender(c: Column) -> Column:
+    return F.when(c.contains("userinfo_sex_male"), "Male").when(c.contains("userinfo_sex_female"), "Female").otherwise("Unknown")
+
+
+def snake_keys():
+    """A pandas UDF: JSON text with all its keys, at any depth, from camelCase to snake_case; null where it is no JSON."""
+    import json
+    import re
+
+    def snake(x):
+        if isinstance(x, dict):
+            return {re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", k).lower(): snake(v) for k, v in x.items()}
+        return [snake(v) for v in x] if isinstance(x, list) else x
+
+    def one(t):
+        try:
+            return None if t is None else json.dumps(snake(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run
+
 def zhihu_kind(c: Column) -> Column:
     """Of a URL: answer, article or zvideo; '' for others."""
     return F.when(c.contains("/answer/"), "answer").when(c.contains("/p/"), "article").when(c.contains("/zvideo/"), "zvideo").otherwise("")
@@ -173,9 +261,17 @@ def clean_title(c: Column, forum: Column) -> Column:
     return strip(F.replace(F.regexp_replace(c, r"_百度贴吧$|-百度贴吧$", ""), F.concat(F.lit("【"), forum, F.lit("】")), F.lit("")))
 
 
-def fragments_text(c: Column, field: str = "text") -> Column:
-    """The text fields of an array of structs, joined."""
-    return F.array_join(F.transform(c, lambda x: F.coalesce(x[field], F.lit(""))), "")
+def fragments_text(c: Column, *fields: str) -> Column:
+    """Of an array of structs, the first field of each that is neither null nor '', joined."""
+    pick = lambda x: F.coalesce(*(F.nullif(x[f], F.lit("")) for f in fields or ("text",)), F.lit(""))
+    return F.array_join(F.transform(F.coalesce(c, F.array()), pick), "")
+
+
+def content_text(json: Column) -> Column:
+    """Content that is a JSON string, or an array of fragments with text or c; white space squeezed, '' for anything else."""
+    parts = F.from_json(json, "array<struct<text: string, c: string>>")
+    single = F.from_json(F.concat(F.lit('{"x":'), json, F.lit("}")), "x string")["x"]
+    return F.when(F.trim(json).startswith("["), squeeze(fragments_text(parts, "text", "c"))).when(F.trim(json).startswith('"'), squeeze(single)).otherwise("")
 
 
 def next_offset(c: Column) -> Column:
@@ -189,12 +285,28 @@ def log_level(c: Column) -> Column:
 
 
 def base36_decode(c: Column) -> Column:
-    """Up to 64 bits, with a sign; null beyond."""
+    """Up to 12 digits, with a sign; null beyond (see base36_text)."""
     digits = F.regexp_replace(F.lower(c), "^-", "")
     number = F.conv(digits, 36, 10).try_cast("bigint")
     return F.when(F.length(digits) <= 12, F.when(c.startswith("-"), -number).otherwise(number))
 
 
+def base36_text():
+    """A pandas UDF: base 36 of any length to decimal digits; null where it is no number."""
+
+    def one(t):
+        try:
+            return None if t is None else str(int(t, 36))
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run
+
+
 def base36_encode(c: Column) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), F.lower(F.conv(F.abs(c).cast("string"), 10, 36)))
 

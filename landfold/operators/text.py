@@ -38,18 +38,19 @@ def segments(custom: dict[str, str] | None = None):
 
 def word_freq(df: DataFrame, tokens: Column, stop: DataFrame | None = None) -> DataFrame:
     """word, n. stop (word) is joined out; Spark broadcasts it if it is small."""
-    one = df.select(F.explode(tokens).alias("word")).where("trim(word) <> ''")
-    if stop is not None:
-        one = one.join(stop.select("word"), "word", "left_anti")
-    return one.groupBy("word").agg(F.count("*").alias("n"))
+    counted = df.select(F.explode(tokens).alias("word")).where("trim(word) <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return counted if stop is None else counted.join(stop.select("word"), "word", "left_anti")
 
 
 def top_words(df: DataFrame, tokens: Column, seq: str, k: int = 20, stop: DataFrame | None = None) -> DataFrame:
     """The k most frequent words; of equal ones those that came first."""
     one = df.select(seq, F.posexplode(tokens).alias("pos", "word")).where("trim(word) <> ''")
+    whole = dict(df.dtypes)[seq] in ("tinyint", "smallint", "int", "bigint")
+    # as one number, first places are aggregated by hash; a struct would be sorted by
+    first = F.col(seq).cast("decimal(20,0)") * F.lit(1 << 32) + F.col("pos") if whole else F.struct(seq, "pos")
+    counted = one.groupBy("word").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     if stop is not None:
-        one = one.join(stop.select("word"), "word", "left_anti")
-    counted = one.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct(seq, "pos")).alias("first"))
+        counted = counted.join(stop.select("word"), "word", "left_anti")
     return counted.orderBy(F.desc("n"), "first").limit(k).select("word", "n")
 
 
@@ -62,6 +63,11 @@ def preview(df: DataFrame, seq: list[str], n: int, offset: int = 0) -> DataFrame
     return df.orderBy(*seq).offset(offset).limit(n).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
 
 
+def log_tail(df: DataFrame, seq: str, n: int) -> DataFrame:
+    """The last n rows in order of seq; all of them for n of 0 or less."""
+    return (df.orderBy(F.desc(seq)).limit(n) if n > 0 else df).orderBy(seq)
+
+
 def widths(df: DataFrame, low: int = 10, high: int = 50) -> DataFrame:
     """Column widths of a sheet: the longest value or name and 2, within bounds."""
     one = [F.least(F.greatest(F.greatest(F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)), F.lit(len(c))) + 2, F.lit(low)), F.lit(high)).alias(c) for c in df.columns]

@@ -82,6 +82,13 @@ def row_counts(spark: SparkSession, path: str, kind: str) -> int:
     return spark.read.text(path).where("trim(value) <> ''").count()
 
 
+def next_file_number(files: DataFrame) -> int:
+    """Of a catalogue: one more than the largest number that a name begins with (before its first _). 1 for no files, or if a name begins with none."""
+    number = F.split("name", "_")[0].try_cast("int")
+    top, odd = files.agg(F.max(number), F.count(F.when(number.isNull(), 1))).first()
+    return 1 if top is None or odd else top + 1
+
+
 def keywords(spark: SparkSession, listed: str) -> DataFrame:
     """Comma-separated keywords, not trimmed."""
     return spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("seq", "keyword"))

@@ -46,6 +46,10 @@ class Node:
     def raw(self) -> str:
         return "".join(p if isinstance(p, str) else p.raw() for p in self.parts)
 
+    def apart(self) -> str:
+        """The texts of all elements, a space between each two."""
+        return " ".join(p if isinstance(p, str) else p.apart() for p in self.parts)
+
     def text(self) -> str:
         return re.sub(r"\s+", " ", self.raw()).strip()
 
@@ -135,7 +139,7 @@ def comment_rows(page: str | None) -> list[dict]:
     for div in tree(page).all("div", "l_post", "j_l_post"):
         f = data_field(div)
         content, author = f.get("content") or {}, f.get("author") or {}
-        user, tail = div.one("a", "p_author_name"), div.one("div", "post-tail-wrap").text()
+        user, tail = div.one("a", "p_author_name"), div.one("div", "post-tail-wrap").apart()
         comment_id = str(content.get("post_id") or div.get("data-pid"))
         if comment_id:
             out.append({"comment_id": comment_id, "content": re.sub(r"\s+", " ", re.sub("<[^>]+>", "", content.get("content") or "")).strip() or div.one("div", "d_post_content").text(), "user_link": _url(user.get("href")), "user_nickname": author.get("user_nickname") or author.get("user_name") or user.text(), "user_avatar": div.one("img").get("src") or author.get("portrait") or "", "ip_location": _found(r"IP属地:(\S+)", tail), "publish_time": _found(r"(\d{4}-\d\d-\d\d \d\d:\d\d)", tail), "sub_comment_count": int(content.get("comment_num") or 0), "parent_comment_id": ""})
@@ -167,10 +171,37 @@ def creator_row(page: str | None) -> list[dict]:
     return [{"user_id": query.get("id", ""), "user_name": query.get("un", ""), "nickname": root.one("span", "userinfo_username").text(), "avatar": root.one("div", "userinfo_left_head").one("img").get("src"), "gender": sex, "ip_location": _found(r"IP属地:(\S+)", data.text()), "follows": str(counts[0]), "fans": str(counts[1]), "registration_duration": _found(r"吧龄:(\S+)", data.text())}]
 
 
+def note_row(page: str | None) -> list[dict]:
+    """The first floor of a thread page and what the page says of the thread."""
+    root = tree(page)
+    floor = root.one("div", "l_post", "j_l_post")
+    f, tail = data_field(floor).get("author") or {}, floor.one("div", "post-tail-wrap").apart()
+    only = next((n.get("href") for n in root.walk() if n.get("id") == "lzonly_cntn"), "")
+    note_id = only.split("?")[0].split("/")[-1] or _found(r'"thread_id"\s*:\s*"?(\d+)"?', page or "")
+    theme = next((n for n in root.all("div") if n.get("id") == "thread_theme_5"), Node())
+    counts = [n.text() for li in theme.all("li", "l_reply_num") for n in li.all("span", "red")][:2] + ["0", "0"]
+    forum = next((a for a in root.all("a") if a.has("card_title_fname")), root.link("/f?kw="))
+    name = forum.text()
+    name = name if not name or name.endswith("吧") else name + "吧"
+    title = re.sub("_百度贴吧$|-百度贴吧$", "", root.one("title").text())
+    face, user = floor.one("a", "p_author_face"), floor.one("a", "p_author_name")
+    link = next((a.get("href") for a in floor.all("a") if a.has("p_author_face") or a.has("p_author_name")), "")
+    desc = next((n.get("content") for n in root.all("meta") if n.get("name") == "description"), "")
+    return [{"note_id": note_id, "title": title.replace(f"【{name}】", "").strip(), "desc": desc, "note_url": f"{SITE}/p/{note_id}", "publish_time": _found(r"(\d{4}-\d\d-\d\d \d\d:\d\d)", tail), "user_link": _url(link), "user_nickname": user.text() or f.get("user_nickname") or f.get("user_name") or "", "user_avatar": face.one("img").get("src"), "tieba_name": name, "tieba_link": _url(forum.get("href")), "ip_location": _found(r"IP属地:(\S+)", tail), "total_replay_num": int(_found(r"(\d+)", counts[0], "0")), "total_replay_page": int(_found(r"(\d+)", counts[1], "0"))}]
+
+
+def creator_threads(page: str | None) -> list[dict]:
+    """Ids of the threads that a profile page lists."""
+    lists = [u for u in tree(page).all("ul", "new_list", "clearfix")]
+    links = [d.all("a")[0].get("href") for u in lists for d in u.all("div", "thread_name") if d.all("a")]
+    return [{"thread_id": x.split("?")[0].split("/")[-1]} for x in links]
+
+
 NOTE = "note_id string, title string, desc string, note_url string, publish_time string, user_link string, user_nickname string, tieba_name string, tieba_link string"
 COMMENT = "comment_id string, content string, user_link string, user_nickname string, user_avatar string, ip_location string, publish_time string, sub_comment_count int, parent_comment_id string"
 CREATOR = "user_id string, user_name string, nickname string, avatar string, gender string, ip_location string, follows string, fans string, registration_duration string"
-KINDS = {"search": (search_rows, NOTE), "threads": (thread_rows, NOTE), "comments": (comment_rows, COMMENT), "replies": (reply_rows, COMMENT), "creator": (creator_row, CREATOR)}
+DETAIL = f"{NOTE}, user_avatar string, ip_location string, total_replay_num int, total_replay_page int"
+KINDS = {"note": (note_row, DETAIL), "creator_threads": (creator_threads, "thread_id string"), "search": (search_rows, NOTE), "threads": (thread_rows, NOTE), "comments": (comment_rows, COMMENT), "replies": (reply_rows, COMMENT), "creator": (creator_row, CREATOR)}
 
 
 def extract(df: DataFrame, kind: str, column: str = "html") -> DataFrame:

@@ -13,10 +13,22 @@ from ..operators import keyed
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landfold-")
+    """A new folder below the cluster's shared one. Only a local master may do without a configured one."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="landfold-")
     return f"{base}/landfold/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def replay(spark: SparkSession, landed: str, schema: str, project: Callable[[DataFrame], DataFrame], store: keyed.Store, checkpoint: str, fmt: str = "json", files: int = 100) -> None:
     """Read the landed files that are new since the checkpoint, project them and upsert each micro-batch into the store.
 
@@ -27,14 +39,18 @@ def replay(spark: SparkSession, landed: str, schema: str, project: Callable[[Dat
     q.awaitTermination()
 
 
-def replay_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The events table landed as files and replayed into a store keyed by user."""
-    landed = shared(spark, "landed")
-    spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "event_type", "value", "props", "event_id as last_modify_ts", "event_id as add_ts", "event_id as seq").repartitionByRange(parts, "seq").write.parquet(landed)
+EVENTS = "user_id long, event_type string, value double, props string, last_modify_ts long, add_ts long, seq long"
+
+
+def replay_events(spark: SparkSession, sf_dir: str, parts: int = 5) -> DataFrame:
+    """The events table landed as files, not in order, and replayed one file a micro-batch into a store keyed by user."""
+    landed, offsets = shared(spark, "landed"), shared(spark, "offsets")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "event_type", "value", "props", "event_id as last_modify_ts", "event_id as add_ts", "event_id as seq")
+    rows.repartition(parts, F.xxhash64("seq")).write.parquet(landed)
     store = keyed.Store(spark, shared(spark, "store"), ["user_id"], ["seq"])
-    ddl = "user_id long, event_type string, value double, props string, last_modify_ts long, add_ts long, seq long"
-    # files of a stream have no order among them, so the first add_ts is the smallest and the last row the one of the largest seq
-    replay(spark, landed, ddl, lambda df: df, store, shared(spark, "offsets"), "parquet", files=parts)
+    replay(spark, landed, EVENTS, lambda df: df, store, offsets, "parquet", files=1)
+    for path in (landed, offsets):
+        remove(spark, path)
     return store.read().drop("seq")
 
 
@@ -59,6 +75,10 @@ class TtlTable:
         rows = self.spark.createDataFrame([], self.DDL) if rows is None else rows.select("key", "value", "expire_at")
         return rows.where(F.col("expire_at") >= now_ms)
 
+    def clear(self, now_ms: int) -> None:
+        """Remove what has expired from the table itself."""
+        self.store.clear(F.col("expire_at") < now_ms)
+
     def get(self, key: str, now_ms: int) -> DataFrame:
         return self.alive(now_ms).where(F.col("key") == key)
 
