@@ -10,8 +10,9 @@ S(w | context) is count(context w) / count(context) for the longest context whos
 ALPHA times the next shorter one's score otherwise; single words score count(w) / (all words).
 
 Defined results: words are parted by U+0020 and U+0009..U+000D, with A-Z in lower case; null and empty texts have no words
-and score 0; doc_ids may be null or repeat; other columns are not read. The table is read twice and must give the same rows
-in the same order both times (files do); chunks carry a checksum and the query fails if they don't.
+and score 0; doc_ids may be null or repeat; an empty table gives no rows; other columns, whatever their names, are not read.
+A chunk's texts and what it asks come from one reading, so rows may come in any order; chunks carry a checksum, and the query
+fails if one is made again from other rows (after a lost executor, where the rows' order is not fixed).
 """
 
 from __future__ import annotations
@@ -106,35 +107,47 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list
         yield named()
 
 
+def _packed_texts(ids: list, texts: list[str | None]) -> bytes:
+    sink = pa.BufferOutputStream()
+    t = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 3)
+
+
+PART = "bucket int, chunk string, keys binary, counts binary, data binary"
+
+
 def _ask(order: int, buckets: int):
+    """PART rows: for each chunk its texts (keys null), which travel by way of any bucket, and what it asks of each bucket."""
+
     def run(batches):
-        for name, _, texts in _chunks(batches):
+        for name, ids, texts in _chunks(batches):
             keys, counts = np.unique(keys_of(*grams(texts, order)), return_counts=True)
             at = _bounds(keys, buckets)
             full = np.flatnonzero(np.diff(at))
             parts = [(keys[at[i] : at[i + 1]], counts[at[i] : at[i + 1]].astype(np.uint32)) for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([name] * len(full), pa.string()), pa.array([_pack(np.diff(k, prepend=np.uint64(0))) for k, _ in parts], pa.binary()), pa.array([_pack(c) for _, c in parts], pa.binary())], ["bucket", "chunk", "keys", "counts"])
+            own = xxhash.xxh32_intdigest(name) % buckets
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([name]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([_packed_texts(ids, texts)], pa.binary())], ["bucket", "chunk", "keys", "counts", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([name] * len(full), pa.string()), pa.array([_pack(np.diff(k, prepend=np.uint64(0))) for k, _ in parts], pa.binary()), pa.array([_pack(c) for _, c in parts], pa.binary()), pa.nulls(len(full), pa.binary())], ["bucket", "chunk", "keys", "counts", "data"])
 
     return run
 
 
 def _total(group: pa.Table) -> pa.Table:
-    """One bucket: all chunks' keys and counts to the totals of those keys, for each chunk in its order."""
+    """One bucket: all chunks' keys and counts to the totals of those keys, for each chunk in its order; texts go on as bucket -1."""
+    texts = group.filter(group.column("data").is_valid())
+    group = group.filter(group.column("keys").is_valid())
+    through = pa.table({"chunk": texts.column("chunk"), "bucket": pa.array([-1] * len(texts), pa.int32()), "data": texts.column("data")})
+    if not len(group):
+        return through
     keys = [np.cumsum(_unpack(b, np.uint64), dtype=np.uint64) for b in group.column("keys").to_pylist()]
     counts = [_unpack(b, np.uint32) for b in group.column("counts").to_pylist()]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(at, weights=np.concatenate(counts)).astype(np.uint64)[at]
     ends = np.cumsum([len(k) for k in keys])
-    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "data": pa.array([_pack(s) for s in np.split(sums, ends[:-1])], pa.binary())})
-
-
-def _texts(batches):
-    for name, ids, texts in _chunks(batches):
-        sink = pa.BufferOutputStream()
-        t = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-        with pa.ipc.new_stream(sink, t.schema) as w:
-            w.write_table(t)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())], ["chunk", "bucket", "data"])
+    told = pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "data": pa.array([_pack(s) for s in np.split(sums, ends[:-1])], pa.binary())})
+    return pa.concat_tables([through, told])
 
 
 def word_scores(found: list[np.ndarray], place: np.ndarray, totals: list[np.ndarray], words: int) -> np.ndarray:
@@ -151,14 +164,14 @@ def _score(order: int, words: int):
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist(), strict=True))
         if not rows or rows[0][0] != -1 or (len(rows) > 1 and rows[1][0] == -1):
-            raise RuntimeError("the table changed between its two readings")
+            raise RuntimeError("a chunk was read again with other rows")
         docs = pa.ipc.open_stream(zstandard.decompress(rows[0][1])).read_all()
         texts = docs.column("text").to_pylist()
         found, place = grams(texts, order)
         keys = np.unique(keys_of(found, place))
         totals = np.concatenate([_unpack(b, np.uint64) for _, b in rows[1:]]) if len(rows) > 1 else np.empty(0, np.uint64)
         if len(totals) != len(keys):
-            raise RuntimeError("the table changed between its two readings")
+            raise RuntimeError("a chunk was read again with other rows")
         each = [np.where(place >= n, totals[np.minimum(np.searchsorted(keys, g), len(keys) - 1)], 0).astype(float) for n, g in enumerate(found)] if len(keys) else []
         score = word_scores(found, place, each, words) if len(keys) else np.empty(0)
         starts = np.flatnonzero(place == 0)
@@ -178,7 +191,5 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = docs.agg(F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()[0]
     buckets = max(8, -(-order * words // BUCKET_GRAMS))
-    asked = docs.mapInArrow(_ask(order, buckets), "bucket int, chunk string, keys binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(_total, "chunk string, bucket int, data binary")
-    both = docs.mapInArrow(_texts, "chunk string, bucket int, data binary").unionByName(told)
-    return both.groupBy("chunk").applyInArrow(_score(order, words), "doc_id long, n_words long, log_score double, mean_log_score double")
+    told = docs.mapInArrow(_ask(order, buckets), PART).groupBy("bucket").applyInArrow(_total, "chunk string, bucket int, data binary")
+    return told.groupBy("chunk").applyInArrow(_score(order, words), "doc_id long, n_words long, log_score double, mean_log_score double")
