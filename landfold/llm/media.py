@@ -1,4 +1,4 @@
-"""Media columns: what a stored blob really is, found by signature.
+"""Media columns: what a stored blob really is and what media lie in it, found by signature.
 
 One Aho-Corasick automaton locates every known magic in the bytes; a validator per format then confirms structure and
 length at that place, so a magic inside other data is not mistaken for a file. `sniff` names the media a blob starts
@@ -8,7 +8,8 @@ Payloads are stored losslessly in one of four formats, chosen by content: WAV (8
 and PNG (8-bit RGB, stored rows). Payload lengths are positive multiples of 192, a row of 64 pixels.
 
 Defined results: a null text is an empty payload of 192 spaces; equal texts give equal values; doc_ids may be null or
-repeat; a null or unknown blob has no media. Other columns are not read.
+repeat; an empty table gives no rows; a null blob has null media, an unknown one none. `media_columns` reads doc_id and text
+only, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import struct
 import zlib
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,15 +161,27 @@ def sniff(blob: bytes | None) -> list[Media]:
     return out
 
 
+def enclose(media: bytes, seed: int) -> bytes:
+    """Media as an attachment in a larger blob: up to 63 bytes before it and after it, none of which start a format."""
+    lead = bytes((seed + 7 * i) % 10 + 48 for i in range(seed % 64))
+    return lead + media + lead[::-1]
+
+
+def carve(blob: bytes, media: Media) -> bytes:
+    return blob[media.start : media.start + media.length]
+
+
 def describe(text: str | None) -> tuple:
+    """The payload of a text goes into a blob as an attachment of one kind, under the label of perhaps another; what is
+    said about it comes from sniffing the blob and carving the attachment out."""
     payload, n_bytes = pad(text)
     code = zlib.crc32(payload)
     kind, declared = KINDS[code % 4], KINDS[code // 4 % 4]
-    blob = store(payload, kind)
+    blob = enclose(store(payload, kind), code // 16)
     found = sniff(blob)[0]  # what was declared is not trusted
-    back = found.payload
-    feature = f"{found.kind};{'as declared' if declared == found.kind else 'declared ' + declared};rows={len(back) // ROW};sum={sum(back)};distinct={len(set(back))}"
-    return n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), found.length, hashlib.sha256(blob[found.start : found.start + found.length]).hexdigest(), feature
+    stored, back = carve(blob, found), found.payload
+    feature = f"{found.kind};{'as declared' if declared == found.kind else 'declared ' + declared};at={found.start};rows={len(back) // ROW};sum={int(np.frombuffer(back, np.uint8).sum(dtype=np.int64))};distinct={len(set(back))}"
+    return n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
 COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -183,12 +197,18 @@ def media_columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", described("text").alias("m")).select("doc_id", "m.*")
 
 
+FOUND = "array<struct<kind: string, start: long, length: long, content: binary>>"
+
+
 def sniff_column(df: DataFrame, blob: str, declared: str | None = None) -> DataFrame:
-    """df with media, an array of (kind, start, length) confirmed in the blob column, and corrected_type: the first one's kind, else what was declared."""
+    """df with media, an array of (kind, start, length, content) carved from the blob column, and corrected_type: the first
+    one's kind if it begins the blob, else what was declared. Columns of these names are replaced."""
 
-    @F.pandas_udf("array<struct<kind string, start long, length long>>")
+    @F.pandas_udf(FOUND)
     def run(blobs: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else [{"kind": m.kind, "start": m.start, "length": m.length} for m in sniff(bytes(b))] for b in blobs], dtype=object)
+        return pd.Series([None if b is None else [{"kind": m.kind, "start": m.start, "length": m.length, "content": carve(bytes(b), m)} for m in sniff(bytes(b))] for b in blobs], dtype=object)
 
-    found = df.withColumn("media", run(F.col(blob)))
-    return found.withColumn("corrected_type", F.coalesce(F.get("media", F.lit(0))["kind"], F.col(declared) if declared else F.lit(None).cast("string")))
+    given = F.col(declared) if declared else F.lit(None).cast("string")
+    found = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("media", "corrected_type")), run(F.col(blob)).alias("media"), given.alias("corrected_type"))
+    first = F.get("media", F.lit(0))
+    return found.withColumn("corrected_type", F.coalesce(F.when(first["start"] == 0, first["kind"]), F.col("corrected_type")))
