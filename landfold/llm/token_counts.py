@@ -5,7 +5,8 @@ frequent pre-tokens, broadcast (at most FREQUENT entries, from a bounded sample;
 worker's own cache, filled by encoding what it misses. Texts that the fast split may not reproduce (special tokens,
 characters outside well-known ranges) go whole through the library.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); doc_ids may be null or repeat; other columns are not read.
+Defined results: a null text counts as empty (0 bytes, 0 tokens); doc_ids may be null or repeat; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-
 SAMPLE_DOCS, SAMPLE_BYTES, FREQUENT, CACHED, LONGEST, TOKEN_LIMIT = 2_000, 16_384, 20_000, 300_000, 64, 512
 #: Fixed value: the byte-level pre-token pattern that the public tokenizer file stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,10 +76,10 @@ def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -
 
 
 def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of SAMPLE_DOCS rows of at most SAMPLE_BYTES, the first that Spark comes to."""
+    """Lengths of the most frequent pre-tokens of SAMPLE_DOCS rows of at most SAMPLE_BYTES, drawn by hash from all files."""
     tok, split, *_ = _worker(path)
     found: Counter = Counter()
-    for r in docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).limit(SAMPLE_DOCS).collect():
+    for r in docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).toLocalIterator():
         found.update(split(r["text"]))
     top = [t for t, _ in found.most_common(FREQUENT) if len(t) <= LONGEST]
     return dict(zip(top, (len(e.ids) for e in tok.encode_batch(top, add_special_tokens=False)), strict=True))
@@ -97,6 +96,3 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     n = F.col("n_tokens")
     counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n_tokens("text").alias("n_tokens"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (n > limit).alias("over_limit"))
-
-
-
