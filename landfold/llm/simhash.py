@@ -329,7 +329,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts of the same words are one class. Classes are near if their five-word shingles have a Jaccard similarity of
     LEAST_SIMILARITY; pairs to be compared come from links among VIEWS fingerprints (measured on the test tables: 96 of
-    100 pairs at or above the limit, and all where texts are equal). Groups are the components (see _settled). Columns as they were.
+    100 pairs at or above the limit, and all where texts are equal). Groups are the components (see _settled). Of rows that
+    are alike in doc_id and words one stays. Columns as they were, whatever their names (other than "__dup_" ones).
     """
 
     @F.pandas_udf("struct<cls: long, fps: array<long>>")
@@ -369,15 +370,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = light.groupBy("cls", "id").agg(F.count("*").alias("n")).join(keeper, "cls")
     gone = cut(rows.withColumn("gone", (F.col("id") != F.col("keep_id")) | (F.col("cls") != F.col("keep_cls"))).where("gone or n > 1").select("cls", "id", "gone"))
     # most rows are surely not among those that go or repeat, and are not shuffled
-    going = _among(gone)
+    leaving = _among(gone)
 
     @F.pandas_udf("struct<cls: long, maybe: boolean>")
     def judge(texts: pd.Series, ids: pd.Series) -> pd.DataFrame:
         cls = np.array([text_class(t) for t in texts], np.int64)
-        return pd.DataFrame({"cls": cls, "maybe": probe(going.value, _hash_pair(cls, ids.to_numpy()))})
-
-    judged = docs.withColumn("__id", number).withColumn("__m", judge("text", number)).withColumn("__cls", F.col("__m.cls"))
-    doubtful = judged.where("__m.maybe").join(gone.select(F.col("cls").alias("__cls"), F.col("id").alias("__id"), "gone"), ["__cls", "__id"], "left")
-    sure = doubtful.where("gone is null").select(*docs.columns)
-    once = doubtful.where("not gone").dropDuplicates(["__cls", "__id"]).select(*docs.columns)
-    return judged.where("not __m.maybe").select(*docs.columns).unionByName(sure).unionByName(once)
+        return pd.DataFrame({"cls": cls, "maybe": probe(leaving.value, _hash_pair(cls, ids.to_numpy()))})
+
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    judged = docs.select(*kept, number.alias("__dup_id"), judge("text", number).alias("__dup_m"))
+    going = gone.select(F.col("cls").alias("__dup_cls"), F.col("id").alias("__dup_id"), F.col("gone").alias("__dup_gone"))
+    doubtful = judged.where("__dup_m.maybe").withColumn("__dup_cls", F.col("__dup_m.cls")).join(going, ["__dup_cls", "__dup_id"], "left")
+    sure = doubtful.where("__dup_gone is null").select(*kept)
+    once = doubtful.where("not __dup_gone").dropDuplicates(["__dup_cls", "__dup_id"]).select(*kept)
+    return judged.where("not __dup_m.maybe").select(*kept).unionByName(sure).unionByName(once)

@@ -120,8 +120,9 @@ def test_simhash_large_keys(spark, monkeypatch):
 
 def test_near_duplicate_stage(spark, docs, empty):
     every(simhash.drop_near_duplicates, empty)
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
+    clashing = docs.withColumns({c: docs["extra"] for c in ("gone", "cls", "id", "m", "root", "best")})
+    kept = simhash.drop_near_duplicates(clashing)
+    assert kept.columns == clashing.columns
     ids = collections.Counter(r.doc_id for r in kept.collect())
     assert set(ids.values()) == {1}
     assert 0 in ids and 40 not in ids and 41 not in ids and 42 not in ids and 3 in ids and 1 in ids
@@ -404,6 +405,13 @@ def test_backoff(spark, docs, empty, monkeypatch, order):
     assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, want, strict=True))
 
 
+def test_backoff_takes_rows_in_any_order(spark, docs, monkeypatch):
+    monkeypatch.setattr(backoff, "CHUNK_BYTES", 500)
+    whole = {r.doc_id: r.log_score for r in backoff.backoff_scores(docs.dropDuplicates(["doc_id"])).collect()}
+    again = {r.doc_id: r.log_score for r in backoff.backoff_scores(docs.dropDuplicates(["doc_id"]).withColumn("n_words", docs["extra"]).repartition(5, "source")).collect()}
+    assert whole.keys() == again.keys() and all(math.isclose(v, again[k], abs_tol=1e-6) for k, v in whole.items())
+
+
 def test_media(spark, docs, empty):
     every(media.media_columns, empty)
     text = dict(rows(docs))
@@ -417,8 +425,17 @@ def test_media(spark, docs, empty):
         both = media.sniff(b"junk BM RIFF" + blob + b"P6 1 1 " + tail)
         assert [(m.kind, m.length) for m in both] == [(kind, len(blob)), ("bmp", len(tail))]
         assert media.sniff(blob[:-1]) == []
-    df = spark.createDataFrame([(bytearray(media.store(b"x" * 192, "png")), "image/bmp"), (bytearray(b"none"), "t"), (None, None)], "b binary, d string")
-    assert [r.corrected_type for r in media.sniff_column(df, "b", "d").collect()] == ["png", "t", None]
+    for r in media.media_columns(docs).collect():
+        payload = media.pad(text[r.doc_id])[0]
+        kind = r.feature.split(";")[0]
+        stored = media.store(payload, kind)
+        assert kind == media.KINDS[zlib.crc32(payload) % 4] and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature.endswith(f"rows={len(payload) // 192};sum={sum(payload)};distinct={len(set(payload))}")
+    one = media.store(b"x" * 192, "png")
+    df = spark.createDataFrame([(bytearray(one), "image/bmp", 1), (bytearray(b"none"), "t", 2), (None, None, 3), (bytearray(b"12 " + one + one), "text", 4)], "b binary, d string, media int")
+    found = media.sniff_column(df, "b", "d").collect()
+    assert [r.corrected_type for r in found] == ["png", "t", None, "text"]
+    assert [r.media and [(m.start, bytes(m.content) == one) for m in r.media] for r in found] == [[(0, True)], [], None, [(3, True), (3 + len(one), True)]]
 
 
 def test_line_dedup(spark, docs, empty):
