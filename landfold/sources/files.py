@@ -18,7 +18,7 @@ def _struct(schema: T.StructType | str) -> T.StructType:
 def json_array(spark: SparkSession, path: str, schema, rejects: bool = False) -> DataFrame:
     """Files that hold one array (or one object) each. rejects: a corrupt file is a row with _corrupt_record; else it gives none."""
     known = _struct(schema)
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.from_json("value", T.ArrayType(known)).alias("r"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.from_json("value", T.ArrayType(known)).alias("r"))
     if not rejects:
         return raw.select(F.explode("r").alias("r")).where("r is not null").select("r.*")
     return raw.select(F.explode_outer("r").alias("r"), F.when(F.col("r").isNull(), F.col("value")).alias("_corrupt_record")).select("r.*", "_corrupt_record")
