@@ -3,12 +3,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import keyed, text
+from ..operators import joins, keyed, text
 from ..session import prepare
+from ..sources import files
+from . import projections as P
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,25 +113,24 @@ def daily_cap(spark, sf_dir):
 
 @query("select event_id from (select event_id, row_number() over (order by event_id desc) as rn from events) where rn <= 500")
 def last_500(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id").orderBy(F.desc("event_id")).limit(500)
+    return text.log_tail(table(spark, sf_dir, "events").select("event_id"), "event_id", 500)
 
 
 @query("select d.doc_id, d.source, coalesce(l.quality, -1) as quality, coalesce(l.toxic, -1) as toxic from documents d left join labels l on d.doc_id = l.doc_id")
 def author_left_join(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    joined = joins.with_author(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
     return joined.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 @query("select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def orphan_comments(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return joins.missing(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("select c.conv_id, c.turn, p.turn as parent_turn, p.role as parent_role from conversations c left join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1")
 def reply_tree(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    p = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("parent_turn"), F.col("role").alias("parent_role"))
-    return c.select("conv_id", "turn").join(p, ["conv_id", "turn"], "left")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return joins.to_parent(c, ["conv_id"], "turn", F.col("turn") - 1, ["turn", "role"]).drop("role")
 
 
 @query("""
@@ -136,24 +139,26 @@ with recursive t as (
   union all select c.conv_id, c.turn, t.depth + 1 from conversations c join t on c.conv_id = t.conv_id and c.turn = t.turn + 1)
 select conv_id, max(depth) as depth, count(*) as n from t group by conv_id""")
 def reply_depth(spark, sf_dir):
-    table(spark, sf_dir, "conversations").select("conv_id", "turn").createOrReplaceTempView("landfold_replies")
-    return spark.sql("""
+    view = f"landfold_replies_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "conversations").select("conv_id", "turn").createOrReplaceTempView(view)
+    out = spark.sql(f"""
         with recursive t as (
-          select conv_id, turn, 0 as depth from landfold_replies where turn = 0
-          union all select c.conv_id, c.turn, t.depth + 1 from landfold_replies c join t on c.conv_id = t.conv_id and c.turn = t.turn + 1)
+          select conv_id, turn, 0 as depth from {view} where turn = 0
+          union all select c.conv_id, c.turn, t.depth + 1 from {view} c join t on c.conv_id = t.conv_id and c.turn = t.turn + 1)
         select conv_id, max(depth) as depth, count(*) as n from t group by conv_id""")
+    spark.catalog.dropTempView(view)
+    return out
 
 
 @query("select d.doc_id, coalesce(b.text, d.text) as text from documents d left join benchmark b on b.item_id = d.doc_id and d.n_chars > 1000")
 def longtext_coalesce(spark, sf_dir):
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("whole"))
-    long, short = d.where("n_chars > 1000"), d.where("not (n_chars > 1000) or n_chars is null")
-    return long.join(b, "doc_id", "left").select("doc_id", F.coalesce("whole", "text").alias("text")).unionByName(short.select("doc_id", "text"))
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return joins.with_full_text(d, b, "doc_id", "text", F.col("n_chars") > 1000).select("doc_id", "text")
 
 
 @query("select d.doc_id, d.lang, l.quality from documents d join labels l on d.doc_id = l.doc_id where l.toxic = 0")
 def search_detail_join(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").where("toxic = 0"), "doc_id").select("doc_id", "lang", "quality")
+    return joins.with_details(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").where("toxic = 0"), "doc_id").select("doc_id", "lang", "quality")
 
 
 @query(r"select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gs'), '<[^>]+>', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as text from pages")
@@ -161,9 +166,10 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.html_text(F.col("html")).alias("text"))
 
 
-@query("select page_id, regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) as id, string_split(string_split(regexp_replace(url, '#.*$', ''), '?')[1], '/')[-1] as segment from pages")
+@query("select page_id, cast(page_id as varchar) as id, string_split(string_split(regexp_replace(url, '#.*$', ''), '?')[1], '/')[-1] as segment from pages")
 def url_id(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).alias("id"), S.last_segment(F.col("url")).alias("segment"))
+    landed = F.concat(F.lit("https://tieba.baidu.com/p/"), F.col("page_id").cast("string"), F.lit("?pn=2"))
+    return table(spark, sf_dir, "pages").select("page_id", S.url_id(landed, "tieba", "note").alias("id"), S.last_segment(F.col("url")).alias("segment"))
 
 
 @query(r"select page_id, nullif(regexp_extract(url, '[?&]page=([^&#]+)', 1), '') as page, nullif(regexp_extract(url, '[?&]ref=([^&#]+)', 1), '') as ref from pages")
@@ -192,10 +198,10 @@ def log_level(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.log_level(F.col("event_type")).alias("level"))
 
 
-@query("select source, lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by grouping sets ((source), (lang), ())")
+@query("select source as type, lang as platform, count(*) as files, cast(sum(n_chars) as bigint) as bytes from documents group by grouping sets ((source), (lang), ())")
 def file_stats(spark, sf_dir):
-    table(spark, sf_dir, "documents").select("source", "lang", "n_chars").createOrReplaceTempView("landfold_stats")
-    return spark.sql("select source, lang, count(*) as n, sum(n_chars) as chars from landfold_stats group by grouping sets ((source), (lang), ())")
+    listed = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("type"), F.col("lang").alias("platform"), F.col("n_chars").alias("size"))
+    return files.file_stats(listed)
 
 
 @query("select doc_id, lang, (select count(*) from documents) as total from documents order by doc_id limit 50")
@@ -212,9 +218,10 @@ def gender_decode(spark, sf_dir):
     return prepare(spark).createDataFrame(CODES, "platform string, code string").select("platform", "code", S.gender(F.col("platform"), F.col("code")).alias("gender"))
 
 
-@query("select doc_id, case when length(substr(text, 1, doc_id % 3)) > 0 then substr(text, 1, doc_id % 3) else source end as label from documents")
+@query("select d.doc_id, coalesce(nullif(b.text, ''), nullif(d.text, ''), d.source) as label from documents d left join benchmark b on b.item_id = d.doc_id")
 def first_truthy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.first_truthy(F.expr("substring(text, 1, cast(doc_id % 3 as int))"), F.col("source")).alias("label"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("whole"))
+    return table(spark, sf_dir, "documents").join(b, "doc_id", "left").select("doc_id", S.first_truthy(F.col("whole"), F.col("text"), F.col("source")).alias("label"))
 
 
 @query("select user_id, arg_max(event_type, row(value, -event_id)) as url from events group by user_id")
@@ -242,8 +249,9 @@ def schema_diff(spark, sf_dir):
 
 @query("select doc_id, keyword from documents, (select unnest(['idiot', ' the ', 'licence', 'de ']) as keyword) where contains(text, keyword)")
 def keyword_match(spark, sf_dir):
-    keywords = F.split(F.lit("idiot, the ,licence,de "), ",")  # a keyword list isn't trimmed
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(keywords, lambda k: F.col("text").contains(k))).alias("keyword"))
+    keywords = files.keywords(prepare(spark), "idiot, the ,licence,de ")  # a keyword list isn't trimmed
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.join(F.broadcast(keywords), F.contains(d["text"], keywords["keyword"])).select("doc_id", "keyword")
 
 
 @query("""
@@ -251,21 +259,19 @@ select distinct user_id as up_id, cast(json_extract_string(props, '$.k') as bigi
 union all select distinct cast(json_extract_string(props, '$.k') as bigint), user_id from events where event_type = 'view'""")
 def contact_edges(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
-    fans = e.where("event_type = 'click'").select(F.col("user_id").alias("up_id"), F.col("k").alias("fan_id")).distinct()
-    return fans.unionByName(e.where("event_type = 'view'").select(F.col("k").alias("up_id"), F.col("user_id").alias("fan_id")).distinct())
+    edges = lambda kind, way: P.contacts(e.where(F.col("event_type") == kind).select(F.to_json(F.struct(F.col("k").alias("mid"))).alias("raw"), F.col("user_id").cast("string").alias("parent_id")), way).select("up_id", "fan_id").distinct()
+    return edges("click", "fans").unionByName(edges("view", "followings"))
 
 
 @query("select unnest(range(date '2024-01-30', date '2024-03-03', interval 1 day))::date as day")
 def calendar(spark, sf_dir):
-    from ..sources import files
-
     return files.calendar(prepare(spark), "2024-01-30", "2024-03-02")
 
 
-@query("select doc_id, substr(text, 1, 500) as text, regexp_replace(text, '<.*?>', '', 'g') = text as plain from documents")
+@query("select doc_id, substr(text, 1, 500) as text, source || text as plain from documents")
 def truncated(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring("text", 1, 500).alias("text"), (S.strip_tags(F.col("text")) == F.col("text")).alias("plain"))
+    return d.select("doc_id", F.substring("text", 1, 500).alias("text"), S.strip_tags(F.concat(F.lit("<b class='x'>"), "source", F.lit("</b>"), "text")).alias("plain"))
 
 
 @query("select least(greatest(a + 2, 10), 50)::integer as doc_id, least(greatest(b + 2, 10), 50)::integer as source from (select greatest(max(length(doc_id::varchar)), 6) as a, greatest(max(length(source)), 6) as b from documents)")
