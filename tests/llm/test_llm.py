@@ -333,6 +333,16 @@ def test_planted_fuzzy_passages_are_found(spark, length, share):
     assert len(hits) >= 0.9 * pairs and all(r.n_equal >= 0.8 * max(r.n_words, r.source_n_words) for r in got)
 
 
+def test_seeds_of_repeated_words_and_of_shared_runs():
+    rng = np.random.default_rng(5)
+    assert len(passages.seeds(np.full(5000, 7, np.uint64))[0]) == 4  # first and last of either length
+    for _ in range(50):
+        run = rng.integers(0, 1 << 63, 43).astype(np.uint64)
+        a, b = (passages.seeds(np.concatenate([rng.integers(0, 1 << 63, 600).astype(np.uint64), run, rng.integers(0, 1 << 63, 9).astype(np.uint64)]))[1] for _ in "ab")
+        both = np.intersect1d(a, b)
+        assert (both & np.uint64(1)).any() and (~both & np.uint64(1)).sum() >= 4
+
+
 def test_passages_of_repeated_ids_long_drift_and_frequent_seeds(spark):
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(50000)}"
