@@ -37,7 +37,7 @@ from .common import cut, small_batches, utf8
 
 MARK = "▁"
 #: Characters of a unit that goes through the lattice, at most; units that a worker counts at once; the broadcast table's entries; a worker's cache.
-LONGEST, COUNTED, TABLE_UNITS, CACHED = 64, 200_000, 4_000_000, 200_000
+LONGEST, COUNTED, TABLE_UNITS, CACHED = 64, 400_000, 4_000_000, 150_000
 #: Ways to split, the finest first: the first that no piece of a model crosses is taken. (A raised two goes with points.)
 SPLITS = [rf"{MARK}*[^\W\d_²]+|{MARK}*(?:(?!{MARK})[\W_²])+|{MARK}+|\d", rf"{MARK}*[^{MARK}]+|{MARK}+"]
 
@@ -206,8 +206,12 @@ class Follows:
 ENDS = "array<array<struct<n: int, id: int, score: double, raw: array<int>, before: array<int>>>>"
 
 
+#: An edge as one number: where it begins, its length, and the piece's id and 1 (0: none).
+START, LENGTH = 1 << 40, 1 << 32
+
+
 def _grouped(model: Model | None, scores: dict[int, float]):
-    """From edges (uid, unit, s, n, id), in order, to (unit, ends ENDS)."""
+    """From edges (uid, unit, edge), in order, to (unit, ends ENDS). The unit stands in the first row of each only."""
     kind = pa.list_(pa.struct([("n", pa.int32()), ("id", pa.int32()), ("score", pa.float64()), ("raw", pa.list_(pa.int32())), ("before", pa.list_(pa.int32()))]))
     table = np.zeros(max([0, *scores]) + 2)
     for i, v in scores.items():
@@ -220,7 +224,7 @@ def _grouped(model: Model | None, scores: dict[int, float]):
         begin, end = word * (LONGEST + 1) + s, word * (LONGEST + 1) + s + n
         order = np.lexsort((n, end))
         begin, end, n, piece, word = begin[order], end[order], n[order], piece[order], word[order]
-        units = unit.take(pa.array(first))
+        units = unit.drop_null()
         if follows is None:
             before = pa.nulls(len(end), pa.list_(pa.int32()))
         else:
@@ -255,8 +259,8 @@ def _grouped(model: Model | None, scores: dict[int, float]):
 
         def arrays(t: pa.Table):
             t = t.combine_chunks()
-            ids = t.column("id").fill_null(-1).to_numpy()
-            return t.column("uid").to_numpy(), t.column("unit").combine_chunks(), t.column("s").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64), ids.astype(np.int64)
+            edge = t.column("edge").to_numpy()
+            return t.column("uid").to_numpy(), t.column("unit").combine_chunks(), edge // START, edge % START // LENGTH, edge % LENGTH - 1
 
         for b in batches:
             now = pa.Table.from_batches([b])
@@ -290,10 +294,12 @@ def lattice_encode(units: DataFrame, pieces: DataFrame, scores: dict[int, float]
     scores: of the ids. Units that no path covers have null ids. model: gives byte pieces and, if it is BPE, what may follow.
     """
     numbered = units.select("unit", F.monotonically_increasing_id().alias("uid"))
-    spans = numbered.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = spans.select("uid", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))).alias("n"))
-    edges = spans.withColumn("piece", F.expr("substring(unit, s + 1, n)")).join(F.broadcast(pieces.select("piece", "id")), "piece", "left")  # a vocabulary has a fixed size
-    edges = edges.where("id is not null or n = 1").select("uid", "unit", "s", "n", "id")
+    starts = numbered.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    starts = starts.select("uid", F.when(F.col("s") == 0, F.col("unit")).alias("unit"), "s", F.expr(f"substring(unit, s + 1, {longest})").alias("rest"))
+    spans = starts.select("uid", "unit", "s", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("n"))
+    spans = spans.select("uid", F.when(F.col("n") == 1, F.col("unit")).alias("unit"), "s", "n", F.expr("substring(rest, 1, n)").alias("piece"))
+    edges = spans.join(F.broadcast(pieces.select("piece", "id")), "piece", "left").where("id is not null or n = 1")  # a vocabulary has a fixed size
+    edges = edges.select("uid", "unit", F.expr(f"s * {START}L + n * {LENGTH}L + coalesce(id, -1) + 1").alias("edge"))
     grouped = edges.mapInArrow(_grouped(model, scores), f"unit string, ends {ENDS}")
     return grouped.withColumn("best", F.expr(FOLD)).select("unit", "best.ids", "best.score")
 
@@ -355,21 +361,26 @@ class Table:
 
 
 class Encoder:
-    """Encodes texts by the table, with a bounded cache of what was looked up."""
+    """Encodes texts by the table, with a bounded cache of what was looked up: each unit's ids, and the bytes they decode to."""
 
     def __init__(self, model: Model, table: Table):
         self.model, self.table, self.split = model, table, re.compile(model.split).findall
-        self.cache: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
 
     def _direct(self, unit: str) -> bytes:
         """By the library; a line feed is never merged and keeps the unit from the mark that the library puts first."""
         return np.array(_processor(self.model.path).encode("\n" + unit)[2:], np.int32).tobytes()
 
-    def look_up(self, texts: list[list[str]]) -> set[str]:
+    def keep(self, unit: str, ids: bytes) -> None:
+        self.ids[unit], self.raw[unit] = ids, b"".join([self.model.surface[i] for i in np.frombuffer(ids, np.int32).tolist()])
+
+    def look_up(self, each: list[list[str]]) -> set[str]:
         """Fill the cache for these units; gives those that the table lacks."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        new = [u for u in {u for t in texts for u in t} if u not in self.cache]
+        if len(self.ids) > CACHED:
+            self.ids.clear()
+            self.raw.clear()
+        new = list(set().union(*each) - self.ids.keys())
         lacking = set()
         for u, ids in zip(new, self.table.get(new), strict=True):
             if ids is None and (len(u) > LONGEST or u.startswith(2 * MARK)):
@@ -377,27 +388,25 @@ class Encoder:
             if ids is None:
                 lacking.add(u)
             else:
-                self.cache[u] = ids
+                self.keep(u, ids)
         return lacking
 
-    def encode(self, units: list[str], more: dict[str, bytes]) -> np.ndarray:
-        cache = self.cache
-        return np.frombuffer(b"".join([cache.get(u) or more[u] for u in units]), np.int32)
-
+    def encode(self, units: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join([self.ids[u] for u in units]), np.int32)
 
-def decode(ids: list[int], surface: list[bytes]) -> str:
-    """The text of the ids: surfaces joined, bytes put together, without the first mark's space."""
-    raw = b"".join([surface[i] for i in ids])
-    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+    def decode(self, units: list[str]) -> str:
+        """The text that the units' ids stand for: surfaces joined, bytes put together, without the first mark's space."""
+        raw = b"".join([self.raw[u] for u in units])
+        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 OUT = "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean"
 
 
-def _rows(encoder: Encoder, doc_ids: list, texts: list[str | None], each: list[list[str]], more: list[dict[str, bytes]]) -> pa.RecordBatch:
-    ids = [encoder.encode(units, m) for units, m in zip(each, more, strict=True)]
+def _rows(encoder: Encoder, doc_ids: list, texts: list[str | None], each: list[list[str]]) -> pa.RecordBatch:
+    ids = [encoder.encode(units) for units in each]
     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    back = [decode(i.tolist(), encoder.model.surface) for i in ids]
+    back = [encoder.decode(units) for units in each]
     digest = [hashlib.sha256(utf8(t)).hexdigest() for t in back]
     same = [x == (t or "").replace(MARK, " ") for x, t in zip(back, texts, strict=True)]
     flat = np.concatenate([np.empty(0, np.int32), *ids])
@@ -429,7 +438,7 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
             lacking = encoder.look_up(each)
             ok = [i for i, u in enumerate(each) if not lacking or lacking.isdisjoint(u)]
             ids = b.column("doc_id").to_pylist()
-            yield _rows(encoder, [ids[i] for i in ok], [texts[i] for i in ok], [each[i] for i in ok], [{}] * len(ok))
+            yield _rows(encoder, [ids[i] for i in ok], [texts[i] for i in ok], [each[i] for i in ok])
 
     done = docs.mapInArrow(whole, OUT)
     if not rest:
@@ -457,7 +466,9 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
             texts = b.column("text").to_pylist()
             each = [units_of(t, encoder.split) for t in texts]
             encoder.look_up(each)
-            more = [{x["unit"]: np.array(x["ids"], np.int32).tobytes() for x in row} for row in b.column("more").to_pylist()]
-            yield _rows(encoder, b.column("id").to_pylist(), texts, each, more)
+            for row in b.column("more").to_pylist():
+                for x in row:
+                    encoder.keep(x["unit"], np.array(x["ids"], np.int32).tobytes())
+            yield _rows(encoder, b.column("id").to_pylist(), texts, each)
 
     return done.unionByName(lacking.select("id", *key, "text").join(told, key).select("id", "text", "more").mapInArrow(finish, OUT))
