@@ -102,6 +102,8 @@ def mix(sized: DataFrame) -> DataFrame:
     quotas = apportion(shards.drop("blocks").join(wards, ["__s", "ward"]), "seats", "length", ["shard"], ["__s", "ward"])
     quotas = quotas.where("length > 0").withColumn("quota", F.least(F.col("quota") * BLOCK, CAP * F.col("length")))
     quotas = quotas.select("__s", "shard", "length", F.expr("quota div length").alias("whole"), F.expr("quota % length").alias("rest"), F.ceil(F.col("length") / BALE).cast("int").alias("bales"))
+    # few bytes, but a sort of bales for each: dealt by number, not by size
+    quotas = quotas.repartition(max(1, -(-shards.count() // 32)), "__s", "shard")
     name = F.concat(F.lit(f"{SEED}:"), "__s", F.lit(":"), F.col("shard").cast("string"), F.lit(":"))
     ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("bales") - 1), lambda i: F.struct(F.md5(F.concat(name, i.cast("string"))).alias("h"), i.alias("b"))))
     quotas = quotas.withColumn("ranked", ranked).withColumn("last_place", F.expr("array_position(transform(ranked, x -> x.b), bales - 1) - 1"))
