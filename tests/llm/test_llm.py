@@ -333,6 +333,25 @@ def test_planted_fuzzy_passages_are_found(spark, length, share):
     assert len(hits) >= 0.9 * pairs and all(r.n_equal >= 0.8 * max(r.n_words, r.source_n_words) for r in got)
 
 
+def test_quick_answers_equal_the_alignment(monkeypatch):
+    rng = np.random.default_rng(9)
+    jobs = []
+    for i in range(300):
+        a = rng.integers(0, 40 if i % 3 else 4000, rng.integers(40, 190)).astype(np.uint64)
+        b = a.copy()
+        at = rng.random(len(a)) < rng.choice([0.02, 0.1, 0.2, 0.5])
+        b[at] = rng.integers(0, 40, int(at.sum()))
+        for _ in range(rng.integers(0, 3)):
+            cut = int(rng.integers(0, len(b)))
+            b = np.concatenate([b[:cut], rng.integers(0, 40, 2).astype(np.uint64), b[cut + int(rng.integers(0, 3)) :]])
+        jobs.append((a, b, 0, int(rng.integers(0, 3))))
+    quick, slow = passages.align(jobs), passages._banded(jobs)
+    score = lambda g, j: 0 if g is None else sum(2 * x - 1 for x in [True] * g[4] + [False] * (max(g[1], g[3]) - g[4]))
+    for q, s, j in zip(quick, slow, jobs, strict=True):
+        if s and min(s[1], s[3]) >= 50 and s[4] >= 0.8 * max(s[1], s[3]):
+            assert q is not None and (score(q, j) >= score(s, j) - 2 or passages._one_diagonal(j))
+
+
 def test_seeds_of_repeated_words_and_of_shared_runs():
     rng = np.random.default_rng(5)
     assert len(passages.seeds(np.full(5000, 7, np.uint64))[0]) == 4  # first and last of either length
