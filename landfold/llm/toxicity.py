@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     """Fit on at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents, taken in hash order of doc_id.
 
     The labels are 0 or 1. Grade 0 is not toxic; toxic documents are graded 1 or 2 by how many distinct toxic features
-    they have, below or from their median.
+    they have, below or from their median. What counts as a toxic feature is learnt from the half of the sample that the
+    document is not in, so that no grade follows from the document's own label.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -129,9 +130,13 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     rows = [r for c in got.column("features").chunks for r in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])] if len(got) else []
     if toxic.all() or not toxic.any():
         return OrdinalModel()
-    features, z = select_features(rows, toxic)
-    bad = set(features[z > 0].tolist())
-    found = np.array([len(bad.intersection(r.tolist())) for r in rows])
+    features, _ = select_features(rows, toxic)
+    half, found = np.arange(len(rows)) % 2, np.zeros(len(rows), np.int64)
+    for side in (0, 1):
+        other = np.flatnonzero(half != side)
+        names, z = select_features([rows[i] for i in other], toxic[other])
+        bad = np.sort(names[z > 0])
+        found[half == side] = [np.isin(rows[i], bad).sum() for i in np.flatnonzero(half == side)]
     grades = np.where(toxic, 1 + (found >= max(1.0, float(np.median(found[toxic])))), 0).astype(np.int64)
     grades[toxic & (found == 0)] = 1
     if grades.max() < 2:
