@@ -24,16 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is configured."""
+    """The cluster's shared folder; one of our own only where none is configured and the master is local."""
     small_batches(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not base:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="landfold-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not held.isDefined():
         sc.setCheckpointDir(base)
     return base
 
@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: no recomputing, and lost executors cost nothing.
 
-    The files go when the JVM drops the frame (spark.cleaner.referenceTracking.cleanCheckpoints).
+    With spark.cleaner.referenceTracking.cleanCheckpoints the files go when the JVM drops the frame; else with the folder.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
