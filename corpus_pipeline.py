@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from landfold.llm import line_runs, mixing, pieces, simhash, toxicity
-from landfold.llm.common import scratch, table
+from landfold.llm.common import remove, scratch, table
 from landfold.llm.queries import PIECES, tokenizer_path
 
 
@@ -33,14 +33,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("SimHash near-dedup", drop_near_duplicates), ("mixing sources to target weights", mix_sources), ("SentencePiece encoding and decoding", encode)]
-#: The toxicity model is fitted, and pieces are merged, in ways that SQL can't express.
+#: The toxicity model is fitted, and pieces follow each other, in ways that SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written goes as soon as the next one has read it; the last stage's stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, name.split()[0])
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
