@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, utf8
-from .mixing import n_words
+from .mixing import WORDS, n_words
 
 ORDER, ALPHA, LEAST = 2, 0.4, 2
 #: Text of a chunk, and n-grams of a bucket, about.
@@ -180,16 +180,38 @@ def _score(order: int, words: int):
         if len(starts):
             sums[holds] = np.add.reduceat(score, starts)
             sizes[holds] = np.diff(np.append(starts, len(score)))
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": sizes, "log_score": sums, "mean_log_score": sums / np.maximum(sizes, 1)})
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": sizes, "log_score": sums.round(6), "mean_log_score": (sums / np.maximum(sizes, 1)).round(6)})
 
     return run
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_words, log_score (natural logarithm, summed over words), mean_log_score for every row of docs."""
+    """doc_id, n_words, log_score (natural logarithm, summed over words), mean_log_score for every row of docs, scores to six places."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = docs.agg(F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()[0]
     buckets = max(8, -(-order * words // BUCKET_GRAMS))
     told = docs.mapInArrow(_ask(order, buckets), PART).groupBy("bucket").applyInArrow(_total, "chunk string, bucket int, data binary")
     return told.groupBy("chunk").applyInArrow(_score(order, words), "doc_id long, n_words long, log_score double, mean_log_score double")
+
+
+ORACLE = f"""
+with split as (
+  select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}'), []) as words from documents
+), word as (
+  select rid, unnest(words) as w, unnest(range(len(words))) as pos from split
+), pair as (
+  select *, lag(w) over (partition by rid order by pos) as before from word
+), ones as (
+  select w, count(*)::double as n from word group by w
+), twos as (
+  select before, w, count(*)::double as n from pair where before is not null group by before, w
+), scored as (
+  select p.rid, case when t.n >= {LEAST} then ln(t.n / c.n) else ln(o.n / (select count(*) from word)) + case when p.before is null then 0 else ln({ALPHA}) end end as s
+  from pair p join ones o on o.w = p.w left join ones c on c.w = p.before left join twos t on t.before = p.before and t.w = p.w
+), summed as (
+  select rid, sum(s) as s from scored group by rid
+)
+select doc_id, len(words)::bigint as n_words, round(coalesce(s, 0), 6) as log_score, round(coalesce(s, 0) / greatest(len(words), 1), 6) as mean_log_score
+from split left join summed using (rid)
+"""

@@ -63,4 +63,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_token_counts, op5_mixture, op6_passages, op7_backoff_scores, op8_media_columns, op9_line_dedup, op10_pieces, pipeline)}
-ORACLE_SQL = {"op3_nearest": ann.ORACLE, "op5_mixture": mixing.ORACLE, "op9_line_dedup": line_runs.ORACLE}
+ORACLE_SQL = {"op3_nearest": ann.ORACLE, "op5_mixture": mixing.ORACLE, "op7_backoff_scores": backoff.ORACLE, "op9_line_dedup": line_runs.ORACLE}
