@@ -95,11 +95,10 @@ class LineRuns:
         self.runs: list[tuple[int, str]] = []
         self.again: list[str] = []
 
-    def _write(self, rows: DataFrame, aligned: bool = False) -> str:
-        """A sorted, bucketed table of rows. aligned: they are dealt by key already, into as many partitions as there are buckets."""
+    def _write(self, rows: DataFrame) -> str:
+        """A sorted, bucketed table of rows, a file for each bucket."""
         name = f"landfold_run_{uuid.uuid4().hex}"
-        dealt = rows if aligned else rows.repartition(self.buckets, *KEY)
-        dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
+        rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -114,11 +113,10 @@ class LineRuns:
 
     def add(self, light: DataFrame) -> None:
         """Add a batch of documents (LIGHT rows): its new keys as a run, the known ones to the second table; then merge levels that are full."""
-        batch = self._write(line_counts(light))
-        fresh = self._write(self.unseen(self.spark.table(batch)), aligned=bool(self.runs))
+        batch = line_counts(light)
+        fresh = self._write(self.unseen(batch))
         if self.runs:
-            self.again.append(self._write(self.spark.table(batch).join(self.spark.table(fresh).select(*KEY), KEY, "left_anti"), aligned=True))
-        self._drop(batch)
+            self.again.append(self._write(batch.join(self.spark.table(fresh).select(*KEY), KEY, "left_anti")))
         self.runs.append((0, fresh))
         level = 0
         while len(full := [name for l, name in self.runs if l == level]) >= self.fanout:
