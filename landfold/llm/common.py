@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 SEPARATORS = "\\x20\\x09-\\x0D"
 #: Of an Arrow batch; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
+#: Of a part of a shuffle, about, and how many parts a size may ask for.
+PART_BYTES, MOST_PARTS = 256 << 20, 20_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -47,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions(df: DataFrame, times: float = 1.0) -> int:
+    """How many parts a shuffle of `times` the planned size of df should have: as the session says, or more, so that a part
+    has about PART_BYTES. A size that the planner doesn't know (it then says an absurd one) asks for no more."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    planned = planned if planned < 1 << 55 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, int(planned * times) // PART_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/landfold/{name}-{uuid.uuid4().hex}"
 

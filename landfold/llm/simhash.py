@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom, probe
-from .common import cut, utf8
+from .common import cut, partitions, utf8
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -201,7 +201,7 @@ def links(fps: DataFrame, ring: Ring = RING3, views: int = 1, whole: int = 0) ->
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("num"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, _, m in each)))
     view = F.col("view") if views > 1 else F.lit(0)
     keyed = fps.select("fp", view.alias("view"), keys.alias("k")).select((F.col("k.num") + F.col("view") * len(each)).alias("num"), "k.key", "fp")
-    n = max(keyed.sparkSession.sparkContext.defaultParallelism, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(keyed.sparkSession.sparkContext.defaultParallelism, partitions(fps, 2 * len(each)))
     sorted_keys = keyed.repartition(n, "key", "num").sortWithinPartitions("num", "key", "fp")
     found = cut(sorted_keys.mapInArrow(_search(ring, views, whole), "a long, b long, c long, hot boolean"))
     both = found.where("not hot").select("a", "b", F.col("c").alias("num")).unionByName(_stars(found.where("hot"), ring))

@@ -537,8 +537,48 @@ def test_toxicity(spark, empty):
 
 
 def test_pipeline(spark):
+    import public_tokenizers
+    import sentencepiece
+
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 50 and out.where("not round_trip").count() == 0
     assert len(corpus_pipeline.STAGES) == 5
+    sf = "/root/testdata/sf0.001"
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    kept, given = [], raw
+    for _, stage in corpus_pipeline.STAGES:
+        given = spark.createDataFrame(stage(spark, given, sf).collect(), given.schema if len(kept) < 4 else None)
+        kept.append(given.collect())
+    toxic = {r.doc_id for r in toxicity.toxicity(raw, spark.read.parquet(f"{sf}/labels.parquet")).where("toxic").collect()}
+    texts = {r.doc_id: r.text for r in raw.collect()}
+    assert {r.doc_id for r in kept[0]} == set(texts) - toxic and toxic
+    # line dedup
+    key = lambda line: line.strip(" \t\n\r\x0b\x0c").lower() if line.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\r\x0b\x0c"))
+    holders = collections.defaultdict(set)
+    for r in kept[0]:
+        for line in r.text.split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(r.doc_id)
+    want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == r.doc_id) for r in kept[0]}
+    assert {r.doc_id: r.text for r in kept[1]} == want
+    # near-duplicates
+    shingles = {r.doc_id: (w := r.text.lower().split()) and {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in kept[1]}
+    first = {i: i for i in shingles}
+    for _ in shingles:
+        for a, b in itertools.combinations(sorted(shingles), 2):
+            x, y = shingles[a] or {()}, shingles[b] or {()}
+            if len(x & y) >= 0.8 * len(x | y):
+                first[a] = first[b] = min(first[a], first[b])
+        if all(first[first[i]] == first[i] for i in first):
+            break
+    left = {r.doc_id for r in kept[2]}
+    assert left >= set(first.values()) and len(left) <= len(set(first.values())) + 1
+    # the mix, and pieces
+    taken = {r.doc_id: r.taken for r in mixing.mixture(spark.createDataFrame(kept[2], raw.schema)).collect()}
+    words = collections.Counter()
+    for r in kept[3]:
+        words[r.doc_id] += len(r.text.split())
+    assert {i: n for i, n in taken.items() if n} == dict(words)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted((r.doc_id, list(r.ids)) for r in kept[4]) == sorted((r.doc_id, sp.encode(r.text)) for r in kept[3]) and all(r.round_trip for r in kept[4])
+    assert corpus_pipeline.run(spark, sf).count() == len(kept[4])
