@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import text
+
 LAYOUT = ["platform", "crawler_type", "item_type", "crawl_date"]
 
 
@@ -53,10 +55,11 @@ def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **optio
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 100_000) -> None:
-    """A sheet per frame that has rows, nulls as ''. Bounded: a frame beyond most_rows is refused, not cut."""
+    """A sheet per frame that has rows, nulls as '', columns as wide as their longest value within bounds. Bounded: a frame
+    beyond most_rows is refused, not cut."""
     try:
-        import openpyxl  # noqa: F401
         import pandas as pd
+        from openpyxl.utils import get_column_letter
     except ImportError as e:
         raise RuntimeError("writing workbooks needs openpyxl, which isn't installed") from e
     with pd.ExcelWriter(path) as book:
@@ -64,7 +67,10 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 100
             if (n := df.count()) > most_rows:
                 raise ValueError(f"{name} has {n} rows; a workbook takes {most_rows}")
             if n:
-                _flat(df).toPandas().fillna("").to_excel(book, sheet_name=name, index=False)
+                flat = _flat(df)
+                flat.toPandas().fillna("").to_excel(book, sheet_name=name, index=False)
+                for i, width in enumerate(text.widths(flat).first(), 1):
+                    book.sheets[name].column_dimensions[get_column_letter(i)].width = width
 
 
 def write_media(df: DataFrame, root: str, put: Callable[[str, bytes], None] | None = None) -> None:
