@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,7 +36,7 @@ from .common import cut, small_batches, utf8
 
 MARK = "▁"
 #: Characters of a unit that goes through the lattice, at most; units that a worker counts at once; the broadcast table's entries; a worker's cache.
-LONGEST, COUNTED, TABLE_UNITS, CACHED = 64, 400_000, 4_000_000, 150_000
+LONGEST, COUNTED, TABLE_UNITS, CACHED = 64, 200_000, 4_000_000, 100_000
 #: Ways to split, the finest first: the first that no piece of a model crosses is taken. (A raised two goes with points.)
 SPLITS = [rf"{MARK}*[^\W\d_²]+|{MARK}*(?:(?!{MARK})[\W_²])+|{MARK}+|\d", rf"{MARK}*[^{MARK}]+|{MARK}+"]
 
@@ -343,43 +342,66 @@ def _hash(unit: str) -> int:
     return xxhash.xxh3_64_intdigest(utf8(unit)) - (1 << 63)
 
 
+def _packed(units: DataFrame, kind: str) -> DataFrame:
+    """h, ids (packed) in order of h."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, ids = [_hash(u) for u in b.column("unit").to_pylist()], b.column("ids")
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([np.asarray(x.values).astype(kind).tobytes() for x in ids], pa.binary())], ["h", "ids"])
+
+    return units.select("unit", "ids").mapInArrow(pack, "h long, ids binary").orderBy("h")
+
+
 class Table:
-    """Packed ids by a unit's hash: sorted hashes, where each one's ids begin, and all ids."""
+    """Packed ids by a unit's hash: sorted hashes, where each one's ids begin, and all ids, as plain bytes that workers read in place."""
+
+    def __init__(self, rows: pa.Table, kind: str):
+        self.kind, self.hashes = kind, rows.column("h").to_numpy().tobytes()
+        parts = rows.column("ids").chunks
+        sizes = np.concatenate([np.empty(0, np.int64), *(np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in parts if len(c))])
+        self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes()
+        self.ids = b"".join(self._data(c) for c in parts if len(c))
 
-    def __init__(self, rows: pa.Table):
-        lists = rows.column("ids").combine_chunks()
-        order = np.argsort(h := rows.column("h").to_numpy())
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)[order]
-        self.hashes, self.ends = h[order], np.cumsum(sizes).astype(np.int64)
-        self.ids = lists.take(pa.array(order)).flatten().to_numpy().astype(np.int32)
+    @staticmethod
+    def _data(c: pa.BinaryArray) -> bytes:
+        at = np.frombuffer(c.buffers()[1], np.int32)
+        return c.buffers()[2][int(at[c.offset]) : int(at[c.offset + len(c)])].to_pybytes()
 
     def get(self, units: list[str]) -> list[bytes | None]:
+        """Each unit's ids as 32-bit numbers; None where there is no entry."""
+        hashes, ends = np.frombuffer(self.hashes, np.int64), np.frombuffer(self.ends, np.int32)
+        if not len(hashes) or not units:
+            return [None] * len(units)
         h = np.fromiter((_hash(u) for u in units), np.int64, len(units))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1) if len(self.hashes) else h
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        return [self.ids[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes() if ok else None for i, ok in zip(at.tolist(), hit.tolist(), strict=True)]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        cut_out = zip(ends[at].tolist(), ends[at + 1].tolist(), (hashes[at] == h).tolist(), strict=True)
+        return [np.frombuffer(self.ids[x:y], self.kind).astype(np.int32).tobytes() if ok else None for x, y, ok in cut_out]
 
 
 class Encoder:
-    """Encodes texts by the table, with a bounded cache of what was looked up: each unit's ids, and the bytes they decode to."""
+    """Encodes texts by the table, with a bounded cache of what was looked up. A unit's ids are decoded when they are first seen."""
 
     def __init__(self, model: Model, table: Table):
         self.model, self.table, self.split = model, table, re.compile(model.split).findall
         self.ids: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # units that their ids don't decode to, with what they do decode to
 
     def _direct(self, unit: str) -> bytes:
         """By the library; a line feed is never merged and keeps the unit from the mark that the library puts first."""
         return np.array(_processor(self.model.path).encode("\n" + unit)[2:], np.int32).tobytes()
 
     def keep(self, unit: str, ids: bytes) -> None:
-        self.ids[unit], self.raw[unit] = ids, b"".join([self.model.surface[i] for i in np.frombuffer(ids, np.int32).tolist()])
+        self.ids[unit] = ids
+        raw = b"".join([self.model.surface[i] for i in np.frombuffer(ids, np.int32).tolist()])
+        if raw != utf8(unit.replace(MARK, " ")):
+            self.odd[unit] = raw
 
     def look_up(self, each: list[list[str]]) -> set[str]:
         """Fill the cache for these units; gives those that the table lacks."""
         if len(self.ids) > CACHED:
             self.ids.clear()
-            self.raw.clear()
+            self.odd.clear()
         new = list(set().union(*each) - self.ids.keys())
         lacking = set()
         for u, ids in zip(new, self.table.get(new), strict=True):
@@ -395,9 +417,12 @@ class Encoder:
         return np.frombuffer(b"".join([self.ids[u] for u in units]), np.int32)
 
     def decode(self, units: list[str]) -> str:
-        """The text that the units' ids stand for: surfaces joined, bytes put together, without the first mark's space."""
-        raw = b"".join([self.raw[u] for u in units])
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        """The text that the units' ids stand for: what each decodes to, joined, without the first mark's space."""
+        if self.odd and not self.odd.keys().isdisjoint(units):
+            raw = b"".join([self.odd[u] if u in self.odd else utf8(u.replace(MARK, " ")) for u in units])
+            return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        text = "".join(units).replace(MARK, " ")
+        return text[1:] if text[:1] == " " else text
 
 
 OUT = "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean"
@@ -421,13 +446,10 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     units = encoded_units(docs, model)
 
-    @F.pandas_udf("long")
-    def hashed(u: pd.Series) -> pd.Series:
-        return u.map(_hash)
-
     rest = units.count() > table_units
     kept = units.orderBy(F.desc("n"), "unit").limit(table_units) if rest else units
-    table = spark.sparkContext.broadcast(Table(kept.select(hashed("unit").alias("h"), "ids").toArrow()))
+    kind = "uint16" if len(model.surface) <= 1 << 16 else "int32"
+    table = spark.sparkContext.broadcast(Table(_packed(kept, kind).toArrow(), kind))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of texts whose units are all in the table."""
