@@ -380,11 +380,12 @@ class Table:
 
 
 class Encoder:
-    """Encodes texts by the table, with a bounded cache of what was looked up. A unit's ids are decoded when they are first seen."""
+    """Encodes texts by the table, with what was looked up first kept, in bounded number. A unit's ids are decoded when they are first seen."""
 
     def __init__(self, model: Model, table: Table):
         self.model, self.table, self.split = model, table, re.compile(model.split).findall
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}  # the units that came first, CACHED of them
+        self.extra: dict[str, bytes] = {}  # others of the texts at hand
         self.odd: dict[str, bytes] = {}  # units that their ids don't decode to, with what they do decode to
 
     def _direct(self, unit: str) -> bytes:
@@ -392,16 +393,16 @@ class Encoder:
         return np.array(_processor(self.model.path).encode("\n" + unit)[2:], np.int32).tobytes()
 
     def keep(self, unit: str, ids: bytes) -> None:
-        self.ids[unit] = ids
+        (self.ids if len(self.ids) < CACHED else self.extra)[unit] = ids
         raw = b"".join([self.model.surface[i] for i in np.frombuffer(ids, np.int32).tolist()])
         if raw != utf8(unit.replace(MARK, " ")):
             self.odd[unit] = raw
 
     def look_up(self, each: list[list[str]]) -> set[str]:
         """Fill the cache for these units; gives those that the table lacks."""
-        if len(self.ids) > CACHED:
-            self.ids.clear()
-            self.odd.clear()
+        self.extra.clear()
+        if len(self.odd) > CACHED:
+            self.odd = {u: raw for u, raw in self.odd.items() if u in self.ids}
         new = list(set().union(*each) - self.ids.keys())
         lacking = set()
         for u, ids in zip(new, self.table.get(new), strict=True):
@@ -414,7 +415,8 @@ class Encoder:
         return lacking
 
     def encode(self, units: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join([self.ids[u] for u in units]), np.int32)
+        first, extra = self.ids, self.extra
+        return np.frombuffer(b"".join([first[u] if u in first else extra[u] for u in units]), np.int32)
 
     def decode(self, units: list[str]) -> str:
         """The text that the units' ids stand for: what each decodes to, joined, without the first mark's space."""
