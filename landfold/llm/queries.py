@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, backoff, line_runs, media, mixing, passages, pieces, simhash, token_counts, toxicity
+from . import ann, backoff, line_runs, media, mixing, passages, pieces, ranking, simhash, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -56,11 +56,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_token_counts, op5_mixture, op6_passages, op7_backoff_scores, op8_media_columns, op9_line_dedup, op10_pieces, pipeline)}
-ORACLE_SQL = {"op3_nearest": ann.ORACLE, "op5_mixture": mixing.ORACLE, "op7_backoff_scores": backoff.ORACLE, "op9_line_dedup": line_runs.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_token_counts, op5_mixture, op6_passages, op7_backoff_scores, op8_media_columns, op9_line_dedup, op10_pieces, op13_ranked_search, pipeline)}
+ORACLE_SQL = {"op3_nearest": ann.ORACLE, "op5_mixture": mixing.ORACLE, "op7_backoff_scores": backoff.ORACLE, "op9_line_dedup": line_runs.ORACLE, "op13_ranked_search": ranking.ORACLE}
