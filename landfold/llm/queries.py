@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, backoff, language, line_runs, media, mixing, passages, pieces, ranking, simhash, token_counts, toxicity
+from . import ann, backoff, language, line_runs, media, mixing, passages, pieces, ranking, repair, simhash, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -60,6 +60,10 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,5 +74,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_token_counts, op5_mixture, op6_passages, op7_backoff_scores, op8_media_columns, op9_line_dedup, op10_pieces, op11_language, op13_ranked_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_token_counts, op5_mixture, op6_passages, op7_backoff_scores, op8_media_columns, op9_line_dedup, op10_pieces, op11_language, op12_conversation_repair, op13_ranked_search, pipeline)}
 ORACLE_SQL = {"op3_nearest": ann.ORACLE, "op5_mixture": mixing.ORACLE, "op7_backoff_scores": backoff.ORACLE, "op9_line_dedup": line_runs.ORACLE, "op13_ranked_search": ranking.ORACLE}
