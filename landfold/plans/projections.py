@@ -1,17 +1,21 @@
 """From raw payloads to flat rows, for every platform and entity: a schema and a list of SQL expressions each.
 
 `project(platform, entity, df)` takes df with a JSON string column `raw`, and the context as columns: source_keyword,
-parent_id (the post of a comment, or the creator's id), now_ms. Missing context columns are null. Counts are null where
-the payload has none; `parity=True` writes the text 'None' instead. Rows without an id give no row.
+parent_id (the post of a comment, or the creator's id), now_ms. Missing context columns are null. Rows without an id give
+no row. An absent field and a null one both take the default, and counts are null where the payload has none. With
+`parity=True` they differ (see LOOKUPS): the default stands for an absent field only, a null one stays null, and as text
+it is 'None'.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import payload
 from ..functions import scalars as S
 
 CONTEXT = {"source_keyword": "string", "parent_id": "string", "now_ms": "bigint"}
@@ -326,6 +330,65 @@ PROJECTIONS: dict[tuple[str, str], Projection] = {
         "r.data.user is not null"),
 }
 
+
+@dataclass(frozen=True)
+class Lookup:
+    """What a dictionary lookup with a default gives; the path is of keys joined by dots."""
+
+    path: str
+    default: str | int | None = None
+    #: The value as text, whatever it is.
+    text: bool = False
+    #: What is made of it.
+    then: Callable[[Column], Column] = lambda x: x
+
+    def column(self, kind: str):
+        v, plain = F.col("__payload"), None if self.default is None else F.lit(self.default)
+        x = payload.said(v, self.path, None if plain is None else str(self.default)) if self.text else payload.get(v, self.path, kind, plain)
+        return self.then(x)
+
+
+def _lookups(text: bool = False, default: str | int | None = "", prefix: str = "", then: Callable[[Column], Column] = lambda x: x, **paths: str) -> dict[str, Lookup]:
+    return {c: Lookup(prefix + p, default, text, then) for c, p in paths.items()}
+
+
+WB_PERSON = dict(nickname="screen_name", gender="gender", profile_url="profile_url", avatar="profile_image_url")
+
+
+def _first_500(x: Column) -> Column:
+    return F.substring(x, 1, 500)
+
+
+def _without(part: str) -> Callable[[Column], Column]:
+    return lambda x: F.replace(x, F.lit(part), F.lit(""))
+
+
+#: Fields that are looked up with a default, which an absent field takes and a null one doesn't.
+LOOKUPS: dict[tuple[str, str], dict[str, Lookup]] = {
+    ("xhs", "content"): _lookups(desc="desc", ip_location="ip_location") | _lookups(default=0, last_update_time="last_update_time"),
+    ("xhs", "comment"): _lookups(default=None, ip_location="ip_location") | _lookups(default=0, sub_comment_count="sub_comment_count", parent_comment_id="target_comment.id", like_count="like_count"),
+    ("bili", "content"): _lookups(prefix="View.", then=_first_500, title="title", desc="desc")
+    | _lookups(prefix="View.", avatar="owner.face", video_cover_url="pic")
+    | _lookups(True, prefix="View.stat.", disliked_count="dislike", video_play_count="view", video_favorite_count="favorite", video_share_count="share", video_coin_count="coin", video_danmaku="danmaku", video_comment="reply"),
+    ("bili", "comment"): _lookups(True, 0, parent_comment_id="parent", sub_comment_count="rcount") | _lookups(default=0, like_count="like"),
+    ("dy", "content"): _lookups(title="desc", desc="desc", ip_location="ip_label", music_download_url="music.play_url.uri")
+    | _lookups(True, None, "statistics.", liked_count="digg_count", collected_count="collect_count", comment_count="comment_count", share_count="share_count"),
+    ("dy", "comment"): _lookups(ip_location="ip_label") | _lookups(True, 0, sub_comment_count="reply_comment_total") | _lookups(default="0", parent_comment_id="reply_id"),
+    ("dy", "creator"): _lookups(default=0, prefix="user.", follows="following_count", fans="max_follower_count", interaction="total_favorited", videos_count="aweme_count"),
+    ("ks", "content"): _lookups(prefix="photo.", then=_first_500, title="caption", desc="caption")
+    | _lookups(avatar="author.headerUrl", video_cover_url="photo.coverUrl", video_play_url="photo.photoUrl")
+    | _lookups(True, None, "photo.", liked_count="realLikeCount", viewd_count="viewCount"),
+    ("wb", "content"): _lookups(True, 0, "mblog.", liked_count="attitudes_count", comments_count="comments_count", shared_count="reposts_count")
+    | _lookups(then=_without("发布于 "), ip_location="mblog.region_name")
+    | _lookups(prefix="mblog.user.", **WB_PERSON),
+    ("wb", "comment"): _lookups(True, 0, sub_comment_count="total_number", comment_like_count="like_count")
+    | _lookups(then=_without("来自"), ip_location="source")
+    | _lookups(parent_comment_id="rootid") | _lookups(prefix="user.", **WB_PERSON),
+    ("wb", "creator"): _lookups(then=_without("来自"), ip_location="source") | _lookups(follows="follow_count", fans="followers_count"),
+    ("zhihu", "content"): _lookups(default=0, voteup_count="voteup_count", comment_count="comment_count"),
+    ("tieba", "creator"): _lookups(True, prefix="data.user.", user_id="id", user_name="name", ip_location="ip_address", registration_duration="tb_age"),
+}
+
 DETAIL = f"thread struct<id: string, title: string, reply_num: int, create_time: bigint>, forum struct<id: string, name: string>, page struct<total_page: int>, first_floor struct<id: string, author_id: bigint, time: bigint, title: string, content: {TIEBA_CONTENT}>, post_list array<struct<id: string, author_id: bigint, time: bigint, content: {TIEBA_CONTENT}, sub_post_number: int>>, user_list array<{TIEBA_USER}>"
 _user = "try_element_at(users, {})"
 _name = lambda u: _text(_or(f"{u}.name_show", f"{u}.name"))
@@ -350,6 +413,9 @@ def project(platform: str, entity: str, df: DataFrame, parity: bool = False) ->
     if p is None:
         raise ValueError(f"no projection for {platform} {entity}")
     got = _context(df, parity).withColumn("r", F.from_json("raw", p.schema))
+    lookups = LOOKUPS.get((platform, entity), {}) if parity else {}
+    if lookups:
+        got = got.withColumn("__payload", payload.parsed(F.col("raw")))
     if p.rows:
         got = got.withColumn("r", F.explode(F.expr(p.rows)))
     cols = []
@@ -360,7 +426,9 @@ def project(platform: str, entity: str, df: DataFrame, parity: bool = False) ->
         x = F.expr(e)
         if (kind := p.after.get(c)) is not None:
             x = S.wallclock_epoch(x) if parity and kind == "epoch" else AFTER[kind](x)
-        if parity and c in p.counts:
+        if c in lookups:
+            x = lookups[c].column(got.select(x).dtypes[0][1])
+        elif parity and c in p.counts:
             x = F.coalesce(x, F.lit("None"))
         cols.append(x.alias(c))
     return got.where(p.where).select(*cols, F.col("now_ms").alias("last_modify_ts"))

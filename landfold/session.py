@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Time zone, ANSI mode and duplicate map keys change results; the rest is for scale.
+#: Time zone, ANSI mode and duplicate keys change results; the rest is for scale.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
