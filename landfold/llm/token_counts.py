@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +77,28 @@ def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -
     return out
 
 
+def sampled_words(docs: DataFrame, path: str) -> DataFrame:
+    """word, n: pre-tokens of about SAMPLE_DOCS rows of at most SAMPLE_BYTES, one row in so many by hash from all files.
+
+    They are counted where they are and summed by word; no text leaves its task.
+    """
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    sample = docs.where((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, split = Counter(), _worker(path)[1]
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                found.update(x for x in split(t) if len(x) <= LONGEST)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+    return sample.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of SAMPLE_DOCS rows of at most SAMPLE_BYTES, drawn by hash from all files."""
-    tok, split, *_ = _worker(path)
-    found: Counter = Counter()
-    for r in docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).toLocalIterator():
-        found.update(split(r["text"]))
-    top = [t for t, _ in found.most_common(FREQUENT) if len(t) <= LONGEST]
+    """Lengths in tokens of the FREQUENT most frequent pre-tokens of the sample."""
+    tok = _worker(path)[0]
+    top = [r["word"] for r in sampled_words(docs, path).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     return dict(zip(top, (len(e.ids) for e in tok.encode_batch(top, add_special_tokens=False)), strict=True))
 
 
