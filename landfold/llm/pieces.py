@@ -3,7 +3,8 @@
 Texts are split into units that no piece spans (runs of one kind of character, with the spaces before them). Each distinct
 unit is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, the edges of a unit
 come together, and a fold over its end positions (Spark's `aggregate`) keeps the best path to each. The table of encoded
-units then answers every text: it is broadcast up to TABLE_UNITS entries, the most frequent ones; units beyond are joined.
+units then answers every text: it is broadcast up to about TABLE_UNITS entries, the most frequent ones by a histogram of
+counts; units beyond are joined.
 
 For unigram models the best path is the one with the highest sum of scores (ties: the longer last piece). For BPE models,
 whose scores are merge ranks, that would be another segmentation than merging gives. There the lattice also carries which
@@ -440,6 +441,28 @@ def _rows(encoder: Encoder, doc_ids: list, texts: list[str | None], each: list[l
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(ends, flat), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], [c.split()[0] for c in OUT.split(", ")])
 
 
+#: Of the scale of counts, steps to a doubling; parts of the step that the table takes in part.
+STEPS, SHARES = 4, 4096
+
+
+def most_frequent(units: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """About `most` of the units at most, those with the largest n, and whether others are left.
+
+    A histogram of n on a scale of doublings, a few hundred rows, gives the step from which all are taken; of the step
+    below, units are taken by hash. So nothing is sorted, and no task holds more than its own rows.
+    """
+    step = F.floor(F.log2(F.greatest("n", F.lit(1))) * STEPS).cast("int")
+    counts = {r["step"]: r["count"] for r in units.groupBy(step.alias("step")).count().collect()}
+    room, above = most, None
+    for s in sorted(counts, reverse=True):
+        if counts[s] > room:
+            share = SHARES * max(0, room) // counts[s]
+            part = (step == s) & (F.pmod(F.xxhash64("unit"), F.lit(SHARES)) < share)
+            return units.where(part if above is None else part | (step >= above)), True
+        room, above = room - counts[s], s
+    return units, False
+
+
 def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) -> DataFrame:
     """doc_id, n_pieces, ids, decoded_sha256 (of the decoded text), round_trip (it equals the text) for every row."""
     spark = docs.sparkSession
@@ -448,8 +471,7 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     units = encoded_units(docs, model)
 
-    rest = units.count() > table_units
-    kept = units.orderBy(F.desc("n"), "unit").limit(table_units) if rest else units
+    kept, rest = most_frequent(units, table_units)
     kind = "uint16" if len(model.surface) <= 1 << 16 else "int32"
     table = spark.sparkContext.broadcast(Table(_packed(kept, kind).toArrow(), kind))
 

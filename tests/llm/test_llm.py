@@ -582,3 +582,21 @@ def test_pipeline(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert sorted((r.doc_id, list(r.ids)) for r in kept[4]) == sorted((r.doc_id, sp.encode(r.text)) for r in kept[3]) and all(r.round_trip for r in kept[4])
     assert corpus_pipeline.run(spark, sf).count() == len(kept[4])
+
+
+def test_tables_of_frequent_words_need_no_funnel(spark, docs):
+    """What is broadcast is found by hash and by histogram: no texts and no units are sorted in one place."""
+    from landfold.llm.queries import BYTE_BPE, tokenizer_path
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    words = token_counts.sampled_words(docs, tokenizer_path(BYTE_BPE))
+    assert "Limit" not in plan(words) and "Sort" not in plan(words) and words.count() > 60
+    units = spark.createDataFrame([(f"u{i}", 1 + 1000 // (i + 1)) for i in range(900)], "unit string, n long")
+    for most in (0, 1, 10, 120, 899, 900, 5000):
+        kept, rest = pieces.most_frequent(units, most)
+        assert "Limit" not in plan(kept) and "Sort" not in plan(kept)
+        got = [r.n for r in kept.collect()]
+        assert len(got) <= most * 1.2 + 5 and rest == (most < 900)
+        # all above the step that is taken in part
+        assert all(n in got for n in [1 + 1000 // (i + 1) for i in range(900)] if got and n > 1.2 * min(got))
+    assert pieces.most_frequent(units.limit(0), 5)[1] is False
