@@ -29,16 +29,21 @@ class Paging:
     fits: bool = True
     #: Zero as a cap is none.
     zero_is_all: bool = False
+    #: The first page's number: 0 where a stream begins with items that came beside their parent, which count as a page.
+    first: int = 1
+
+    def caps(self, most: int) -> bool:
+        return self.cap in ("items", "replies") and not (self.zero_is_all and most == 0)
 
 
 HAS_MORE = "coalesce(more, false)"
 RULES: dict[tuple[str, str], Paging] = {
     ("xhs", "comments"): Paging(HAS_MORE, "items is not null", "replies"),
-    ("xhs", "replies"): Paging(HAS_MORE, "items is not null", "none"),
+    ("xhs", "replies"): Paging(HAS_MORE, "page = 0 or items is not null", "none", first=0),
     ("xhs", "creator"): Paging(HAS_MORE, "items is not null"),
     ("xhs", "search"): Paging("true", HAS_MORE, "pages", 20),
-    ("bili", "comments"): Paging(HAS_MORE),
-    ("bili", "comments with replies"): Paging(HAS_MORE, cap="page"),
+    ("bili", "comments"): Paging(HAS_MORE, "cursor is not null"),
+    ("bili", "comments with replies"): Paging(HAS_MORE, "cursor is not null", "page"),
     ("bili", "replies"): Paging("total > page * 10", cap="none"),
     ("bili", "contacts"): Paging("n > 0"),
     ("bili", "dynamics"): Paging(HAS_MORE),
@@ -59,6 +64,8 @@ RULES: dict[tuple[str, str], Paging] = {
     ("tieba", "comments"): Paging("page < total", "n > 0 and page <= total"),
     ("tieba", "replies"): Paging("page < total div 10 + 1", "n > 0", "none"),
     ("tieba", "creator"): Paging(HAS_MORE, cap="pages", size=20, fits=False, zero_is_all=True),
+    ("tieba", "creator by url"): Paging(HAS_MORE, "n > 0", zero_is_all=True),
+    ("tieba", "search"): Paging("n > 0", "n > 0", "pages", 10),
     ("tieba", "forum"): Paging("n > 0", "n > 0", "pages", 30, fits=False),
     ("zhihu", "comments"): Paging(HAS_MORE, "n > 0 and coalesce(cursor, '') <> before", "none"),
     ("zhihu", "replies"): Paging(HAS_MORE, "n > 0 and coalesce(cursor, '') <> before", "none"),
@@ -72,18 +79,19 @@ def raised(most: int, rule: Paging) -> int:
     return max(most, rule.size) if rule.cap == "pages" and rule.fits else most
 
 
-def replay(pages: DataFrame, rule: Paging, most: int = 0, start: int = 1) -> DataFrame:
+def replay(pages: DataFrame, rule: Paging, most: int = 0, start: int | None = None) -> DataFrame:
     """stream, page, pos (from 0 in its page), item: what a loop with this rule and cap keeps, from page `start` on.
 
     One window over a stream's pages; items are exploded last. A repeated page counts as one more.
     """
+    start = rule.first if start is None else start
     line = W.partitionBy("stream").orderBy("page")
     earlier = line.rowsBetween(W.unboundedPreceding, -1)
     seen = pages.where(F.col("page") >= start).withColumns({"n": F.coalesce(F.size("items"), F.lit(0)), "before": F.coalesce(F.lag("cursor").over(line), F.lit(""))})
     seen = seen.withColumns({"__used": F.coalesce(F.expr(rule.used), F.lit(False)), "__on": F.coalesce(F.expr(rule.goes_on), F.lit(False))})
     reached = F.coalesce(F.min((F.col("__used") & F.col("__on")).cast("int")).over(earlier), F.lit(1)) == 1
     take = F.col("n")
-    if rule.cap in ("items", "replies"):
+    if rule.caps(most):
         counted = F.col("n") + (F.coalesce("replies", F.lit(0)) if rule.cap == "replies" else 0)
         take = F.least("n", F.lit(most) - F.coalesce(F.sum(counted).over(earlier), F.lit(0)))
     elif rule.cap == "page":

@@ -375,7 +375,7 @@ put(
 )
 
 
-PAGES = """select cast(conv_id as varchar) as stream, cast(turn + 1 as int) as page, case when length(text) % 13 = 0 then null else range(length(text) % 9) end as items,
+PAGES = """select cast(conv_id as varchar) as stream, cast(turn + {first} as int) as page, case when length(text) % 13 = 0 then null else range(length(text) % 9) end as items,
   cast(length(text) % 3 as int) as replies, length(text) % 7 <> 0 as more, case when length(text) % 11 = 0 then 'no_more' when length(text) % 10 = 0 then '0' else cast(length(text) % 5 as varchar) end as cursor,
   cast(length(text) % 60 as bigint) as total from conversations"""
 
@@ -391,9 +391,9 @@ def _paged(name: tuple[str, str], rule: paging.Paging, most: int) -> None:
     sql = f"""
 with recursive p as (
   select *, coalesce({used}, false) as used, coalesce({on}, false) as goes_on
-  from (select *, coalesce(len(items), 0) as n, coalesce(lag(cursor) over (partition by stream order by page), '') as before from ({PAGES}))
+  from (select *, coalesce(len(items), 0) as n, coalesce(lag(cursor) over (partition by stream order by page), '') as before from ({PAGES.format(first=rule.first)}))
 ), l as (
-  select stream, 0 as page, null::bigint[] as items, 0::bigint as got, 0::bigint as taken, true as goes_on from p where page = 1
+  select stream, {rule.first - 1} as page, null::bigint[] as items, 0::bigint as got, 0::bigint as taken, true as goes_on from p where page = {rule.first}
   union all
   select stream, page, items, got + {count} as got, taken, goes_on from (
     select p.stream, p.page, p.items, l.got, {take} as taken, p.replies, p.goes_on
@@ -403,7 +403,7 @@ select stream, page, cast(unnest(range(taken)) as int) as pos, unnest(items[1:ta
 
     def run(spark, sf_dir):
         named = table(spark, sf_dir, "conversations").selectExpr(
-            "cast(conv_id as string) as stream", "cast(turn + 1 as int) as page",
+            "cast(conv_id as string) as stream", f"cast(turn + {rule.first} as int) as page",
             "case when length(text) % 13 = 0 then null when length(text) % 9 = 0 then cast(array() as array<bigint>) else sequence(0L, cast(length(text) % 9 - 1 as bigint)) end as items",
             "cast(length(text) % 3 as int) as replies", "length(text) % 7 <> 0 as more",
             "case when length(text) % 11 = 0 then 'no_more' when length(text) % 10 = 0 then '0' else cast(length(text) % 5 as string) end as cursor",

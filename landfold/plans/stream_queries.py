@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import ttl
+from ..operators import paging
+from ..streaming import pages, ttl
 from ..streaming.replay import remove, shared
 from .queries import query, table
 
@@ -45,3 +46,34 @@ def ttl_gets(spark, sf_dir):
         remove(spark, path)
     got = spark.read.schema(ttl.ANSWERS).parquet(out)
     return got.where(f"op = 'get' and key <> '{LAST[1]}'").select("key", F.col("seq").alias("event_id"), "at_ms", "value")
+
+
+#: Of a post's comments: the cap, which replies count against too.
+MOST = 9
+
+
+@query(f"""
+with recursive p as (
+  select conv_id, turn + 1 as page, case when length(text) % 13 = 0 then null else length(text) % 9 end as n, length(text) % 3 as replies, length(text) % 7 <> 0 as more from conversations
+), l as (
+  select conv_id, 1::bigint as page, 0::bigint as got from p where page = 1
+  union all
+  select l.conv_id, l.page + 1, l.got + p.n + p.replies from l join p on p.conv_id = l.conv_id and p.page = l.page where p.n is not null and p.more and l.got < {MOST}
+)
+select cast(l.conv_id as varchar) as stream, l.page::int as page, unnest(range(least(p.n, {MOST} - l.got)))::int as pos, cast(unnest(range(least(p.n, {MOST} - l.got))) as varchar) as item
+from l join p on p.conv_id = l.conv_id and p.page = l.page where p.n > 0 and l.got < {MOST}""")
+def streamed_pages(spark, sf_dir):
+    """Responses landed in any order, and admitted as the loop over a post's comments would have."""
+    n = "length(text) % 9"
+    body = f"""concat('{{"data":{{"comments":', if(length(text) % 13 = 0, 'null', if({n} = 0, '[]', to_json(sequence(0, {n} - 1)))), ',"has_more":', length(text) % 7 <> 0, '}},"replies":', length(text) % 3, '}}')"""
+    landed, out, checkpoint = (shared(spark, f"pages-{x}") for x in ("landed", "kept", "checkpoint"))
+    rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as string) as stream", "cast(turn + 1 as int) as page", "'' as asked", f"{body} as body")
+    rows.repartition(4, F.xxhash64("stream", "page")).write.json(landed)
+    own = pages.session(spark)
+    stream = own.readStream.schema(pages.LANDED).option("maxFilesPerTrigger", 1).json(landed)
+    reads = pages.Said("data.comments", "data.has_more", replies="replies")
+    kept = pages.admitted(reads.read(stream), paging.RULES["xhs", "comments"], MOST)
+    kept.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    for path in (landed, checkpoint):
+        remove(spark, path)
+    return spark.read.schema(pages.KEPT).parquet(out)

@@ -15,7 +15,7 @@ def rule_has_cap(platform, kind):
     return paging.RULES[platform, kind].cap != "none"
 
 
-def loop(pages, platform, kind, most, start=1):
+def loop(pages, platform, kind, most, start):
     """The paging loops one page at a time."""
     out, count, before = [], 0, ""
     for page, items, replies, more, cursor, total in pages:
@@ -31,7 +31,9 @@ def loop(pages, platform, kind, most, start=1):
             break
         if rule.cap == "pages" and rule.fits and (page - start + 1) * rule.size > max(most, rule.size):
             break
-        if platform == "xhs" and (items is None if kind != "search" else not more):
+        if platform == "xhs" and page and (items is None if kind != "search" else not more):
+            break
+        if platform == "bili" and kind.startswith("comments") and cursor is None or name == ("tieba", "creator by url") and not n:
             break
         if kind == "search" and platform != "xhs" and not n or name == ("tieba", "forum") and not n:
             break
@@ -48,7 +50,7 @@ def loop(pages, platform, kind, most, start=1):
         goes_on = {
             "ks": (cursor or "no_more") != "no_more" if kind != "search" else True,
             "wb": (cursor or "") != "0" if kind == "comments" else (total or 0) > page * 10 if kind == "creator" else True,
-            "tieba": page < (total or 0) if kind == "comments" else page < (total or 0) // 10 + 1 if kind == "replies" else bool(more) if kind == "creator" else n > 0,
+            "tieba": page < (total or 0) if kind == "comments" else page < (total or 0) // 10 + 1 if kind == "replies" else bool(more) if kind.startswith("creator") else n > 0,
         }.get(platform, bool(more))
         if name in (("bili", "contacts"), ("bili", "search"), ("dy", "search"), ("zhihu", "search")):
             goes_on = n > 0
@@ -66,11 +68,12 @@ def test_paging_rules(spark, platform, kind):
     rng = random.Random(f"{platform} {kind}")
     landed = {}
     for s in range(25):
-        total = rng.choice([None, 0, 3, 25, 70]) if platform != "tieba" or kind == "creator" else rng.choice([0, 2, 4, 35])
-        landed[f"s{s}"] = [(p, rng.choice([None, [], *([list(range(p * 100, p * 100 + rng.randint(1, 9)))] * 8)]), rng.choice([None, 0, 2]), rng.choice([True] * 6 + [False, None]), rng.choice(["a", "b", "c", "d", "0", "no_more", None]), total) for p in range(1, rng.randint(2, 9))]
+        total = rng.choice([None, 0, 3, 25, 70]) if platform != "tieba" or kind.startswith("creator") else rng.choice([0, 2, 4, 35])
+        landed[f"s{s}"] = [(p, rng.choice([None, [], *([list(range(p * 100, p * 100 + rng.randint(1, 9)))] * 8)]), rng.choice([None, 0, 2]), rng.choice([True] * 6 + [False, None]), rng.choice(["a", "b", "c", "d", "0", "no_more", None]), total) for p in range(paging.RULES[platform, kind].first, rng.randint(2, 9))]
     rows = [(s, *p) for s, pages in landed.items() for p in pages]
     df = spark.createDataFrame(rows, PAGES).repartition(3)
-    for most, start in ((7, 1), (20, 2)) if rule_has_cap(platform, kind) else ((0, 1),):
+    first = paging.RULES[platform, kind].first
+    for most, start in ((7, first), (20, first + 1)) if rule_has_cap(platform, kind) else ((0, first),):
         got = sorted((r.stream, r.page, r.pos, r.item) for r in paging.replay(df, paging.RULES[platform, kind], most, start).collect())
         assert got == sorted((s, *x) for s, pages in landed.items() for x in loop(pages, platform, kind, most, start))
 
