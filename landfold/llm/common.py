@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of every contract here: space and U+0009..U+000D.
@@ -69,3 +72,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def give_back() -> None:
+    """Hand memory that this process no longer uses back to the system: workers are used again by the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)

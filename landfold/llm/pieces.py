@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, utf8
+from .common import cut, give_back, small_batches, utf8
 
 MARK = "▁"
 #: Characters of a unit that goes through the lattice, at most; units that a worker counts at once; the broadcast table's entries; a worker's cache.
@@ -156,7 +156,7 @@ def _last_merge(piece: str, ids: dict[str, int], rank: np.ndarray) -> tuple[int,
 class Follows:
     """Which pieces of a BPE model stay apart when they meet; answers are remembered, in bounded number."""
 
-    MOST = 2_000_000
+    MOST = 400_000
 
     def __init__(self, model: Model):
         self.rank, self.left, self.right = (x.tolist() for x in (model.rank, model.left, model.right))
@@ -274,6 +274,8 @@ def _grouped(model: Model | None, scores: dict[int, float]):
             held = now.slice(last)
         if held is not None and len(held):
             yield made(*arrays(held), follows)
+        follows = held = None
+        give_back()
 
     return run
 
@@ -325,6 +327,8 @@ def unit_counts(docs: DataFrame, model: Model) -> DataFrame:
                     yield done()
                     found.clear()
         yield done()
+        found.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -477,6 +481,7 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of texts whose units are all in the table."""
+        give_back()
         encoder = Encoder(load(path), table.value)
         for b in batches:
             texts = b.column("text").to_pylist()
