@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import closing
@@ -52,7 +53,9 @@ class Database:
         scheme, _, rest = path.rpartition(":")
         if scheme not in ("", "file"):
             raise ValueError(f"{path} is not a path of a shared file system")
-        return Database("sqlite3", {"database": "/" + rest.lstrip("/") if scheme else rest, "timeout": 600})
+        path = "/" + rest.lstrip("/") if scheme else rest
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        return Database("sqlite3", {"database": path, "timeout": 600})
 
     def connect(self):
         return importlib.import_module(self.module).connect(**self.arguments)
