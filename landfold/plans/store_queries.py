@@ -1,11 +1,12 @@
-"""Queries that put the test tables into a database batch by batch, and read them back."""
+"""Queries that put the test tables into a database batch by batch, or into workbooks, and read them back."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import keyed
-from ..sources import database
+from ..sources import database, workbook
 from ..streaming.replay import shared
 from .queries import query, table
 
@@ -56,3 +57,11 @@ def database_titled(spark, sf_dir):
     batches = [b.selectExpr("user_id", "if(title = 'view', '', title) as title", "liked_count", "add_ts", "seq") for b in _items(spark, sf_dir)]
     db = stored(spark, "posts", batches, ["user_id"], ["seq"], keyed.DOUYIN_CONTENT)
     return database.scan(spark, db, "posts", "user_id long, title string, liked_count double, add_ts long")
+
+
+@query("select cast(doc_id as varchar) as doc_id, lang, nullif(source, '') as source, cast(n_chars as varchar) as n_chars, case when length(text) > 2000 then 'TRUE' else 'FALSE' end as long from documents")
+def workbook_rows(spark, sf_dir):
+    """Documents' attributes as workbooks of 300 rows, and the rows that are read from these."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", (F.length("text") > 2000).alias("long"))
+    rows = workbook.found(workbook.books(df, "doc_id", "documents", 300)).where("cells is not null")
+    return rows.select(*(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(df.columns)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import workbook
+
 #: Platform codes and the folder names that writers use.
 PLATFORMS = {"xhs": "xhs", "dy": "douyin", "ks": "kuaishou", "bili": "bilibili", "wb": "weibo", "tieba": "tieba", "zhihu": "zhihu"}
 EXTENSIONS = ("json", "jsonl", "csv", "xlsx", "xls")
@@ -38,15 +40,9 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*(c.removeprefix("﻿") for c in df.columns))
 
 
-def xlsx(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """A workbook's sheet; needs openpyxl, and is read by the driver (sheets are small)."""
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl, which isn't installed") from e
-    frame = pd.read_excel(path, sheet_name=sheet, dtype=object)
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).map(lambda v: v if v is None else str(v)), ", ".join(f"`{c}` string" for c in frame.columns))
+def xlsx(spark: SparkSession, path: str, sheet: int | str = 0, limit: int | None = None) -> DataFrame:
+    """A workbook's sheet as text columns; the first rows of it with a limit."""
+    return workbook.scan(spark, path, sheet, limit)
 
 
 def catalogue(spark: SparkSession, root: str, platform: str | None = None, kind: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import text
+from . import workbook
 
 LAYOUT = ["platform", "crawler_type", "item_type", "crawl_date"]
 
@@ -55,22 +55,22 @@ def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **optio
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 100_000) -> None:
-    """A sheet per frame that has rows, nulls as '', columns as wide as their longest value within bounds. Bounded: a frame
-    beyond most_rows is refused, not cut."""
-    try:
-        import pandas as pd
-        from openpyxl.utils import get_column_letter
-    except ImportError as e:
-        raise RuntimeError("writing workbooks needs openpyxl, which isn't installed") from e
-    with pd.ExcelWriter(path) as book:
-        for name, df in sheets.items():
-            if (n := df.count()) > most_rows:
-                raise ValueError(f"{name} has {n} rows; a workbook takes {most_rows}")
-            if n:
-                flat = _flat(df)
-                flat.toPandas().fillna("").to_excel(book, sheet_name=name, index=False)
-                for i, width in enumerate(text.widths(flat).first(), 1):
-                    book.sheets[name].column_dimensions[get_column_letter(i)].width = width
+    """One workbook with a sheet per frame that has rows, nulls as empty cells, columns as wide as their longest value within
+    bounds. Bounded: a frame beyond most_rows is refused, not cut. For more rows see workbook.books."""
+    made, spark = {}, None
+    for name, df in sheets.items():
+        spark = df.sparkSession
+        rows = _flat(df).limit(most_rows + 1).collect()
+        if len(rows) > most_rows:
+            raise ValueError(f"{name} has more than {most_rows} rows, which a workbook takes")
+        if rows:
+            made[name] = df.columns, [tuple(r) for r in rows]
+    if spark is None or not made:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(workbook.made(made))
+    out.close()
 
 
 def write_media(df: DataFrame, root: str, put: Callable[[str, bytes], None] | None = None) -> None:
