@@ -347,81 +347,107 @@ def _hash(unit: str) -> int:
     return xxhash.xxh3_64_intdigest(utf8(unit)) - (1 << 63)
 
 
-def _packed(units: DataFrame, kind: str) -> DataFrame:
-    """h, ids (packed) in order of h."""
+def _kind(model: Model) -> str:
+    """What an id is packed as."""
+    return "uint16" if len(model.surface) <= 1 << 16 else "int32"
+
+
+def _decoded(model: Model, ids: np.ndarray) -> bytes:
+    return b"".join([model.surface[i] for i in ids.tolist()])
+
+
+def _packed(units: DataFrame, model: Model) -> DataFrame:
+    """h, ids (packed), odd (what the ids decode to, where that isn't the unit) in order of h."""
+    path, kind = model.path, _kind(model)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(path)
         for b in batches:
-            h, ids = [_hash(u) for u in b.column("unit").to_pylist()], b.column("ids")
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([np.asarray(x.values).astype(kind).tobytes() for x in ids], pa.binary())], ["h", "ids"])
+            texts, each = b.column("unit").to_pylist(), [np.asarray(x.values) for x in b.column("ids")]
+            raw = [_decoded(m, x) for x in each]
+            odd = [None if x == utf8(u.replace(MARK, " ")) else x for u, x in zip(texts, raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([_hash(u) for u in texts], pa.int64()), pa.array([x.astype(kind).tobytes() for x in each], pa.binary()), pa.array(odd, pa.binary())], ["h", "ids", "odd"])
 
-    return units.select("unit", "ids").mapInArrow(pack, "h long, ids binary").orderBy("h")
+    return units.select("unit", "ids").mapInArrow(pack, "h long, ids binary, odd binary").orderBy("h")
 
 
 class Table:
     """Packed ids by a unit's hash: sorted hashes, where each one's ids begin, and all ids, as plain bytes that workers read in place."""
 
-    def __init__(self, rows: pa.Table, kind: str):
-        self.kind, self.hashes = kind, rows.column("h").to_numpy().tobytes()
+    def __init__(self, rows: pa.Table):
+        self.hashes = rows.column("h").to_numpy().tobytes()
         parts = rows.column("ids").chunks
         sizes = np.concatenate([np.empty(0, np.int64), *(np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in parts if len(c))])
         self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes()
         self.ids = b"".join(self._data(c) for c in parts if len(c))
+        odd = rows.filter(rows.column("odd").is_valid())
+        self.odd: dict[int, bytes] = dict(zip(odd.column("h").to_pylist(), odd.column("odd").to_pylist(), strict=True))
 
     @staticmethod
     def _data(c: pa.BinaryArray) -> bytes:
         at = np.frombuffer(c.buffers()[1], np.int32)
         return c.buffers()[2][int(at[c.offset]) : int(at[c.offset + len(c)])].to_pybytes()
 
-    def get(self, units: list[str]) -> list[bytes | None]:
-        """Each unit's ids as 32-bit numbers; None where there is no entry."""
+    def get(self, units: list[str]) -> tuple[list[bytes | None], dict[str, bytes]]:
+        """Each unit's packed ids, None where there is no entry, and which of them decode to something else."""
         hashes, ends = np.frombuffer(self.hashes, np.int64), np.frombuffer(self.ends, np.int32)
         if not len(hashes) or not units:
-            return [None] * len(units)
-        h = np.fromiter((_hash(u) for u in units), np.int64, len(units))
+            return [None] * len(units), {}
+        digest = xxhash.xxh3_64_intdigest
+        h = (np.fromiter([digest(u.encode("utf-8", "surrogatepass")) for u in units], np.uint64, len(units)) ^ np.uint64(1 << 63)).view(np.int64)
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        cut_out = zip(ends[at].tolist(), ends[at + 1].tolist(), (hashes[at] == h).tolist(), strict=True)
-        return [np.frombuffer(self.ids[x:y], self.kind).astype(np.int32).tobytes() if ok else None for x, y, ok in cut_out]
+        ids = self.ids
+        got = [ids[x:y] if ok else None for x, y, ok in zip(ends[at].tolist(), ends[at + 1].tolist(), (hashes[at] == h).tolist(), strict=True)]
+        odd = {units[i]: self.odd[x] for i, x in enumerate(h.tolist()) if x in self.odd} if self.odd else {}
+        return got, odd
 
 
 class Encoder:
-    """Encodes texts by the table, with what was looked up first kept, in bounded number. A unit's ids are decoded when they are first seen."""
+    """Encodes texts by the table, with what was looked up first kept, in bounded number, and the rest for the texts at hand."""
 
     def __init__(self, model: Model, table: Table):
-        self.model, self.table, self.split = model, table, re.compile(model.split).findall
-        self.ids: dict[str, bytes] = {}  # the units that came first, CACHED of them
-        self.extra: dict[str, bytes] = {}  # others of the texts at hand
+        self.model, self.table, self.split, self.kind = model, table, re.compile(model.split).findall, _kind(model)
+        self.ids: dict[str, bytes] = {}  # packed ids: of the units that came first, CACHED of them, and of the texts at hand
+        self.extra: list[str] = []  # those that go with the texts
         self.odd: dict[str, bytes] = {}  # units that their ids don't decode to, with what they do decode to
 
-    def _direct(self, unit: str) -> bytes:
+    def _direct(self, unit: str) -> np.ndarray:
         """By the library; a line feed is never merged and keeps the unit from the mark that the library puts first."""
-        return np.array(_processor(self.model.path).encode("\n" + unit)[2:], np.int32).tobytes()
+        return np.array(_processor(self.model.path).encode("\n" + unit)[2:], np.int32)
 
-    def keep(self, unit: str, ids: bytes) -> None:
-        (self.ids if len(self.ids) < CACHED else self.extra)[unit] = ids
-        raw = b"".join([self.model.surface[i] for i in np.frombuffer(ids, np.int32).tolist()])
+    def _keep(self, unit: str, ids: bytes) -> None:
+        if len(self.ids) >= CACHED:
+            self.extra.append(unit)
+        self.ids[unit] = ids
+
+    def learn(self, unit: str, ids: np.ndarray) -> None:
+        """A unit that isn't in the table."""
+        self._keep(unit, ids.astype(self.kind).tobytes())
+        raw = _decoded(self.model, ids)
         if raw != utf8(unit.replace(MARK, " ")):
             self.odd[unit] = raw
 
     def look_up(self, each: list[list[str]]) -> set[str]:
         """Fill the cache for these units; gives those that the table lacks."""
+        for u in self.extra:
+            self.ids.pop(u, None)
+            self.odd.pop(u, None)
         self.extra.clear()
-        if len(self.odd) > CACHED:
-            self.odd = {u: raw for u, raw in self.odd.items() if u in self.ids}
         new = list(set().union(*each) - self.ids.keys())
         lacking = set()
-        for u, ids in zip(new, self.table.get(new), strict=True):
-            if ids is None and (len(u) > LONGEST or u.startswith(2 * MARK)):
-                ids = self._direct(u)
-            if ids is None:
-                lacking.add(u)
+        got, odd = self.table.get(new)
+        for u, ids in zip(new, got, strict=True):
+            if ids is not None:
+                self._keep(u, ids)
+            elif len(u) > LONGEST or u.startswith(2 * MARK):
+                self.learn(u, self._direct(u))
             else:
-                self.keep(u, ids)
+                lacking.add(u)
+        self.odd |= odd
         return lacking
 
     def encode(self, units: list[str]) -> np.ndarray:
-        first, extra = self.ids, self.extra
-        return np.frombuffer(b"".join([first[u] if u in first else extra[u] for u in units]), np.int32)
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, units)), self.kind).astype(np.int32)
 
     def decode(self, units: list[str]) -> str:
         """The text that the units' ids stand for: what each decodes to, joined, without the first mark's space."""
@@ -476,8 +502,7 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
     units = encoded_units(docs, model)
 
     kept, rest = most_frequent(units, table_units)
-    kind = "uint16" if len(model.surface) <= 1 << 16 else "int32"
-    table = spark.sparkContext.broadcast(Table(_packed(kept, kind).toArrow(), kind))
+    table = spark.sparkContext.broadcast(Table(_packed(kept, model).toArrow()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of texts whose units are all in the table."""
@@ -519,7 +544,7 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
             encoder.look_up(each)
             for row in b.column("more").to_pylist():
                 for x in row:
-                    encoder.keep(x["unit"], np.array(x["ids"], np.int32).tobytes())
+                    encoder.learn(x["unit"], np.array(x["ids"], np.int32))
             yield _rows(encoder, b.column("id").to_pylist(), texts, each)
 
     return done.unionByName(lacking.select("id", *key, "text").join(told, key).select("id", "text", "more").mapInArrow(finish, OUT))
