@@ -156,7 +156,7 @@ def _last_merge(piece: str, ids: dict[str, int], rank: np.ndarray) -> tuple[int,
 class Follows:
     """Which pieces of a BPE model stay apart when they meet; answers are remembered, in bounded number."""
 
-    MOST = 400_000
+    MOST = 1_000_000
 
     def __init__(self, model: Model):
         self.rank, self.left, self.right = (x.tolist() for x in (model.rank, model.left, model.right))
@@ -169,7 +169,7 @@ class Follows:
                 a, b = by_text.get(s[:at]), by_text.get(s[at:])
                 if a is not None and b is not None:
                     self.merged[a, b] = self.rank[i]
-        self.known: dict[int, bool] = {}
+        self.keys, self.answers = np.empty(0, np.int64), np.empty(0, bool)  # of pairs, in order
 
     def _apart(self, a: int, b: int) -> bool:
         """Undo the merges of both pieces, the latest first: whatever meets at the border must not have merged before that."""
@@ -190,16 +190,15 @@ class Follows:
     def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For arrays of neighbours (-1: a character without a piece)."""
         keys, at = np.unique((a.astype(np.int64) + 1) << 32 | (b.astype(np.int64) + 1), return_inverse=True)
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        known, out = self.known, np.empty(len(keys), bool)
-        for n, key in enumerate(keys.tolist()):
-            ok = known.get(key)
-            if ok is None:
-                x, y = (key >> 32) - 1, (key & 0xFFFFFFFF) - 1
-                ok = known[key] = x < 0 or y < 0 or self._apart(x, y)
-            out[n] = ok
-        return out[at]
+        if len(self.keys) > self.MOST:
+            self.keys, self.answers = self.keys[:0], self.answers[:0]
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
+        told = [x < 0 or y < 0 or self._apart(x, y) for x, y in zip(((keys[new] >> 32) - 1).tolist(), ((keys[new] & 0xFFFFFFFF) - 1).tolist(), strict=True)]
+        self.keys, self.answers = np.insert(self.keys, place[new], keys[new]), np.insert(self.answers, place[new], told)
+        return self.answers[np.searchsorted(self.keys, keys)][at]
 
 
 #: All edges of a unit by end position: length and id of the piece (-1: byte pieces, in raw), score, pieces that may stand before it (null: any).
