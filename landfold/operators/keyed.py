@@ -186,7 +186,8 @@ class Store:
     def _publish(self, rows: DataFrame, rest: dict[str, str], number: int) -> None:
         """The next version: buckets of these rows, and the rest as they are. Older versions go but for the last, which may still be read."""
         folder = f"data-{uuid.uuid4().hex}"
-        rows.withColumn(BUCKET, self._bucket()).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        # in order of the keys, so that the bounds of row groups tell which may hold one
+        rows.withColumn(BUCKET, self._bucket()).sortWithinPartitions(BUCKET, *self.keys).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         made = (s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/{folder}")))
         buckets = rest | {n.split("=")[1]: folder for n in made if n.startswith(f"{BUCKET}=")}
         out = self._fs.create(self._at(f"{self.path}/.new-{folder}"))
@@ -202,13 +203,28 @@ class Store:
                 self._fs.delete(self._at(f"{self.path}/{n}"), True)
 
     def find(self, limit: int = 0, **equal) -> DataFrame | None:
-        """Rows equal in all the given columns; 0 is no limit. None for a store that has not been written."""
-        rows = self.read()
-        if rows is None:
+        """Rows equal in all the given columns; 0 is no limit. None for a store that has not been written.
+
+        With all keys given only their bucket is read, and in it the row groups whose bounds hold the key.
+        """
+        v = self._names("v")
+        if not v:
             return None
-        rows = rows.where(_conjunction(equal))
+        version = self._version(v[-1])
+        rows = self._read(version, self._bucket_of(version, equal))
+        rows = rows.drop(*(c for c in rows.columns if c.startswith(FIRST))).where(_conjunction(equal))
         return rows.limit(limit) if limit else rows
 
+    def _bucket_of(self, version: dict, equal: dict) -> set[int] | None:
+        """The bucket of the given keys; None where they aren't all given. A null key is in none."""
+        if not all(k in equal for k in self.keys):
+            return None
+        if any(equal[k] is None for k in self.keys):
+            return set()
+        kinds = {f.name: f.dataType for f in T.StructType.fromJson(version["schema"])}
+        one = self.spark.range(1).select(*(F.lit(equal[k]).try_cast(kinds[k]).alias(k) for k in self.keys))
+        return {one.select(self._bucket()).first()[0]}
+
 
 def _conjunction(equal: dict):
     cond = F.lit(True)

@@ -210,3 +210,19 @@ def test_thread_page(spark):
     assert tuple(got[1])[1:] == ("77", "题目", "about", "https://tieba.baidu.com/p/77", "2024-01-02 03:04", "https://tieba.baidu.com/home/main?id=1", "un", "猫吧", "https://tieba.baidu.com/f?kw=cat", "i.png", "北京", 31, 4)
     assert got[2].note_id == "" and got[2].total_replay_num == 0
     assert [r.thread_id for r in html.extract(spark.createDataFrame([(1, owner)], "id int, html string"), "creator_threads").collect()] == ["1", "3"]
+
+
+def test_a_key_is_looked_for_in_its_bucket_only(spark, tmp_path):
+    store = keyed.Store(spark, str(tmp_path / "s"), ["a", "b"], ["seq"])
+    assert store.find(a=1, b="x") is None
+    rows = [(i % 40, f"k{i % 7}", i) for i in range(400)]
+    store.write(spark.createDataFrame(rows, "a long, b string, seq int"))
+    last = {(a, b): s for a, b, s in rows}
+    whole = len(store.read().inputFiles())
+    for (a, b), s in list(last.items())[:20]:
+        got = store.find(a=a, b=b)
+        assert [tuple(r) for r in got.collect()] == [(a, b, s)] and len(got.inputFiles()) < whole / 8
+    assert len(store.find(a=3).inputFiles()) == whole and store.find(a=3).count() == sum(k[0] == 3 for k in last)
+    assert store.find(a=3, b="k0", seq=-1).count() == 0 and store.find(a=None, b="k0").count() == 0 and store.find(a=99, b="k0").count() == 0
+    plan = store.find(a=3, b="k3")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(a,3)" in plan or "EqualNullSafe(a,3)" in plan
