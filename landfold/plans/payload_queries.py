@@ -571,14 +571,20 @@ _written(
     "csv_row_count", "select count(*) as n from documents", lambda df, path: sinks.write_csv(df, path), lambda spark,
     path: spark.createDataFrame([(files.row_counts(spark, path, "csv"),)], "n long"), "documents", ["doc_id", "text"]
 )
-_written(
-    "catalogued_files", "select 'xhs' as platform, 'csv' as type, 1 as one", lambda df,
-    path: sinks.write_csv(df.coalesce(1), f"{path}/xhs/csv"), lambda spark,
-    path: files.file_stats(files.catalogue(spark, path)).where("type is null and platform is not null").selectExpr("platform", "'csv' as type", "cast(files as int) as one"),
-    "documents", ["doc_id", "lang"]
-)
 
 
+def _by_platform(df, path: str, kind: str) -> None:
+    """A file for each source, below its platform's folder."""
+    for k, folder in enumerate(files.PLATFORMS.values()):
+        df.where(f"cast(substr(source, 4) as int) % 7 = {k}").repartition(1).write.mode("append").format(kind).partitionBy("source").save(f"{path}/{folder}/{kind}")
+
+
+_written(
+    "catalogued_files",
+    f"""select ({list(files.PLATFORMS)})[k + 1] as platform, type, count(*) as files from (select distinct cast(substr(source, 4) as int) % 7 as k, source, case when lang = 'en' then 'csv' else 'json' end as type from documents) group by all""",
+    lambda df, path: [_by_platform(df.where(cond), path, kind) for kind, cond in (("csv", "lang = 'en'"), ("json", "lang <> 'en'"))],
+    lambda spark, path: files.catalogue(spark, path).groupBy("platform", "type").agg(F.count("*").alias("files")), "documents", ["doc_id", "lang", "source"],
+)
 def _script(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("n_chars >= 0")
     page = F.concat(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import joins, keyed, text
+from ..operators import casts, joins, keyed, schemas, text
 from ..session import prepare
 from ..sources import files
 from . import projections as P
@@ -209,13 +209,17 @@ def preview_page(spark, sf_dir):
     return text.preview(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], 50)
 
 
-CODES = [("xhs", "1"), ("xhs", "0"), ("xhs", "7"), ("dy", "0"), ("dy", "1"), ("dy", "2"), ("ks", "F"), ("ks", "M"), ("wb", "f"), ("wb", "m"), ("zhihu", "1"), ("zhihu", "0"), ("zhihu", "-1"), ("tieba", "1"), ("tieba", "2"), ("tieba", "0")]
-LABELS = ["Female", "Male", None, "Unknown", "Male", "Female", "Female", "Male", "Female", "Male", "Male", "Female", "Unknown", "Male", "Female", "Unknown"]
+#: Codes of genders by platform, and what they mean.
+GENDERS = {"xhs": {"1": "Female", "0": "Male"}, "dy": {"1": "Male", "2": "Female", None: "Unknown"}, "ks": {"F": "Female", None: "Male"}, "wb": {"f": "Female", None: "Male"}, "zhihu": {"1": "Male", "0": "Female", None: "Unknown"}, "tieba": {"1": "Male", "2": "Female", None: "Unknown"}}
+CODES = ("0", "1", "2", "F", "M", "f", "m")
+_pick = lambda values, n: f"element_at(array({', '.join(map(repr, values))}), cast({n} + 1 as int))"
+_meant = " ".join(f"when platform = '{p}' and code = '{c}' then '{g}'" if c else f"when platform = '{p}' then '{g}'" for p, each in GENDERS.items() for c, g in each.items())
 
 
-@query("select * from (values " + ", ".join(f"('{p}', '{c}', {'null' if g is None else repr(g)})" for (p, c), g in zip(CODES, LABELS, strict=True)) + ") t(platform, code, gender)")
+@query(f"select *, case {_meant} end as gender from (select doc_id, ({list(GENDERS)})[doc_id % 6 + 1] as platform, ({list(CODES)})[n_chars % 7 + 1] as code from documents)")
 def gender_decode(spark, sf_dir):
-    return prepare(spark).createDataFrame(CODES, "platform string, code string").select("platform", "code", S.gender(F.col("platform"), F.col("code")).alias("gender"))
+    coded = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_pick(GENDERS, 'doc_id % 6')} as platform", f"{_pick(CODES, 'n_chars % 7')} as code")
+    return coded.withColumn("gender", S.gender(F.col("platform"), F.col("code")))
 
 
 @query("select d.doc_id, coalesce(nullif(b.text, ''), nullif(d.text, ''), d.source) as label from documents d left join benchmark b on b.item_id = d.doc_id")
@@ -237,14 +241,53 @@ def variant_union(spark, sf_dir):
     return a.unionByName(b)
 
 
-WANT = [("t", "a", "int"), ("t", "b", "string"), ("t", "c", "bigint"), ("u", "x", "int")]
-HAVE = [("t", "a", "int"), ("t", "b", "int"), ("u", "x", "int"), ("v", "y", "int")]
+#: What the tables were declared as, once.
+DECLARED = {
+    "documents": "doc_id bigint, text string, lang string, source int, n_chars int, title string", "events": "event_id int, ts timestamp, user_id bigint, event_type string, value float, props string",
+    "labels": "doc_id bigint, quality bigint, toxic int",
+}
+DESCRIBED = " union all ".join(f"select '{t}' as table_name, column_name, column_type from (describe select * from {t})" for t in DECLARED)
+_declared = ", ".join(f"('{t}', '{c.split()[0]}', '{c.split()[1]}')" for t, ddl in DECLARED.items() for c in ddl.split(", "))
 
 
-@query("select * from (values ('t', 'b', 'type', 'string', 'int'), ('t', 'c', 'missing', 'bigint', null), ('v', 'y', 'extra', null, 'int')) d(table_name, column_name, difference, want, have)")
+@query(f"""
+with have as (select table_name, column_name, case column_type when 'VARCHAR' then 'string' when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'TIMESTAMP' then 'TS' else column_type end as type from ({DESCRIBED})),
+want as (select * from (values {_declared}) w(table_name, column_name, type))
+select coalesce(w.table_name, h.table_name) as table_name, coalesce(w.column_name, h.column_name) as column_name,
+  case when w.type is null then 'added' when h.type is null then 'removed' when w.type = h.type or h.type = 'TS' then 'same'
+    when (w.type, h.type) in (('int', 'bigint'), ('float', 'double')) then 'widened' when (w.type, h.type) = ('bigint', 'int') then 'narrowed' else 'incompatible' end as difference
+from want w full outer join have h on w.table_name = h.table_name and w.column_name = h.column_name""")
+def schema_drift(spark, sf_dir):
+    got = schemas.drift(prepare(spark), DECLARED, sf_dir).withColumnsRenamed({"table": "table_name", "column": "column_name"})
+    # a time without a zone may be read as either kind of time
+    zone = F.when((F.col("before") == "timestamp") & (F.col("after") == "timestamp_ntz"), "same").otherwise(F.col("difference"))
+    return got.select("table_name", "column_name", zone.alias("difference"))
+
+
+@query(f"""
+with have as (select table_name, column_name, column_type as type from ({DESCRIBED})), more as (select table_name, column_name, type from have where column_name <> 'lang' union all select 'events', 'seq', 'BIGINT')
+select coalesce(a.table_name, b.table_name) as table_name, coalesce(a.column_name, b.column_name) as column_name, case when b.type is null then 'missing' else 'extra' end as difference
+from have a full outer join more b using (table_name, column_name) where a.type is null or b.type is null""")
 def schema_diff(spark, sf_dir):
-    ddl = "table_name string, column_name string, type string"
-    return text.schema_diff(prepare(spark).createDataFrame(WANT, ddl), spark.createDataFrame(HAVE, ddl))
+    """The tables' schemas against those of changed copies."""
+    tables = {t: table(spark, sf_dir, t) for t in DECLARED}
+    changed = {t: df.drop("lang") for t, df in tables.items()} | {"events": tables["events"].withColumn("seq", F.col("event_id"))}
+    told = lambda each: spark.createDataFrame([(t, c, k) for t, df in each.items() for c, k in df.dtypes], "table_name string, column_name string, type string")
+    return text.schema_diff(told(tables), told(changed)).select("table_name", "column_name", "difference")
+
+
+READ_AS = {"n": "smallint", "flag": "boolean", "name": "int", "day": "date"}
+_texts = ["cast(n_chars * 7 as {s}) as n", "case doc_id % 4 when 0 then 'Yes' when 1 then lang when 2 then 'F' end as flag", "substr(source, 4) as name", "case when doc_id % 3 = 0 then concat('2024-', cast(doc_id % 17 + 10 as {s}), '-01') end as day"]
+
+
+@query(f"""
+with t as (select {', '.join(_texts).format(s='varchar')} from documents)
+select 'n' as "column", count(*) as rows, count(*) filter (where n is null) as nulls, count(*) filter (where n is not null and try_cast(n as smallint) is null) as rejects from t
+union all select 'flag', count(*), count(*) filter (where flag is null), count(*) filter (where lower(flag) not in {casts.TRUE + casts.FALSE}) from t
+union all select 'name', count(*), count(*) filter (where name is null), count(*) filter (where name is not null and try_cast(name as int) is null) from t
+union all select 'day', count(*), count(*) filter (where day is null), count(*) filter (where day is not null and try_cast(day as date) is null) from t""")
+def cast_rejects(spark, sf_dir):
+    return casts.reject_counts(table(spark, sf_dir, "documents").selectExpr(*(x.format(s="string") for x in _texts)), READ_AS)
 
 
 @query("select doc_id, keyword from documents, (select unnest(['idiot', ' the ', 'licence', 'de ']) as keyword) where contains(text, keyword)")
@@ -263,9 +306,15 @@ def contact_edges(spark, sf_dir):
     return edges("click", "fans").unionByName(edges("view", "followings"))
 
 
-@query("select unnest(range(date '2024-01-30', date '2024-03-03', interval 1 day))::date as day")
+@query("""
+select d.day::date as day, count(e.event_id) as events from (select unnest(generate_series((select min(ts)::date from events)::timestamp, (select max(ts)::date from events)::timestamp, interval 1 day)) as day) d
+left join events e on e.ts::date = d.day::date group by d.day""")
 def calendar(spark, sf_dir):
-    return files.calendar(prepare(spark), "2024-01-30", "2024-03-02")
+    """All days between the first and the last event, those without events too."""
+    e = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
+    first, last = e.agg(F.min("day"), F.max("day")).first()
+    days = files.calendar(spark, str(first), str(last))
+    return days.join(e, "day", "left").groupBy("day").agg(F.count("event_id").alias("events"))
 
 
 @query("select doc_id, substr(text, 1, 500) as text, source || text as plain from documents")
