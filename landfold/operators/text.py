@@ -12,30 +12,12 @@ def words(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Character pairs of each run of Chinese characters, and words of the rest: where no segmenter is installed."""
+    """Character pairs of each run of Chinese characters, and words of the rest: where no dictionary is at hand (see segments)."""
     runs = F.regexp_extract_all(text, F.lit(r"([一-鿿]+)"))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2))))))
     return F.concat(pairs, words(F.regexp_replace(text, r"[一-鿿]+", " ")))
 
 
-def segments(custom: dict[str, str] | None = None):
-    """A pandas UDF over a dictionary segmenter, if it is installed; its own words are added."""
-    import pandas as pd
-
-    try:
-        import jieba
-    except ImportError as e:
-        raise RuntimeError("jieba isn't installed; use words or bigrams") from e
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        for w in custom or {}:
-            jieba.add_word(w)
-        return texts.map(lambda t: [x for x in jieba.cut(t or "") if x.strip()])
-
-    return run
-
-
 def word_freq(df: DataFrame, tokens: Column, stop: DataFrame | None = None) -> DataFrame:
     """word, n. stop (word) is joined out; Spark broadcasts it if it is small."""
     counted = df.select(F.explode(tokens).alias("word")).where("trim(word) <> ''").groupBy("word").agg(F.count("*").alias("n"))

@@ -654,6 +654,53 @@ put(
 )
 
 
+put(
+    "html_search", "select doc_id, cast(doc_id + k as varchar) as note_id, source as title, lang as \"desc\", source || '吧' as tieba_name, '2024-01-0' || (k + 1) as publish_time from documents, (select unnest(range(2)) as k)",
+    _page(
+        "search",
+        lambda: F.concat(*(
+            F.concat(
+                F.lit("<div class='s_post x'><a data-tid='"), (c("doc_id") + k).cast("string"), F.lit("' href='/p/1'>"), c("source"), F.lit("</a><div class='p_content'>\n "), c("lang"),
+                F.lit("</div><a class='p_forum' href='/f?kw=x'>"), c("source"), F.lit(f"吧</a><font class='p_green p_date'>2024-01-0{k + 1}</font></div>")
+            ) for k in (0, 1, 0)
+        )),
+        ["note_id", "title", "desc", "tieba_name", "publish_time"]
+    )
+)
+put(
+    "html_search_cards", "select doc_id, cast(doc_id as varchar) as note_id, source as title, lang as \"desc\", '昨天' as publish_time from documents",
+    _page(
+        "search",
+        lambda: F.concat(
+            F.lit("<div class='threadcardclass y'>发布于 昨天 <a href='/p/"), c("doc_id").cast("string"), F.lit("?fr=s'>"), c("source"), F.lit("</a><span class='abstract-wrap'>"), c("lang"), F.lit("</span></div>")
+        ),
+        ["note_id", "title", "desc", "publish_time"]
+    )
+)
+put(
+    "html_replies", "select doc_id, 's' || doc_id as comment_id, source as content, lang as user_nickname, cast(doc_id + 1 as varchar) as parent_comment_id from documents where doc_id % 5 <> 0",
+    _page(
+        "replies",
+        lambda: F.concat(
+            F.lit("<ul><li class='lzl_single_post j_lzl_s_p' data-field='{&quot;spid&quot;:&quot;"), F.when(c("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("s"), c("doc_id").cast("string"))),
+            F.lit("&quot;,&quot;showname&quot;:&quot;"), c("lang"), F.lit("&quot;,&quot;pid&quot;:"), (c("doc_id") + 1).cast("string"), F.lit("}'><span class='lzl_content_main'> "), c("source"), F.lit(" </span></li></ul>")
+        ),
+        ["comment_id", "content", "user_nickname", "parent_comment_id"]
+    )
+)
+put(
+    "html_creator", "select doc_id, cast(doc_id as varchar) as user_id, source as nickname, case doc_id % 3 when 0 then 'Male' when 1 then 'Female' else 'Unknown' end as gender, lang as ip_location, cast(n_chars as varchar) as follows, '0' as fans from documents",
+    _page(
+        "creator",
+        lambda: F.concat(
+            F.lit("<p class='space'><a href='/home/main?id="), c("doc_id").cast("string"), F.lit("&amp;un=u'>x</a></p><span class='userinfo_username'>"), c("source"), F.lit("</span><div class='userinfo_userdata'><span class='"),
+            F.expr("element_at(array('userinfo_sex_male', 'userinfo_sex_female', 'none'), cast(doc_id % 3 + 1 as int))"), F.lit("'></span>IP属地:"), c("lang"), F.lit(" 吧龄:3年</div><span class='concern_num'>("), c("n_chars").cast("string"), F.lit(")</span>")
+        ),
+        ["user_id", "nickname", "gender", "ip_location", "follows", "fans"]
+    )
+)
+
+
 put(
     "published_between", "select doc_id from documents where n_chars between 86400 * 0 and 86400 * 1 - 1", lambda spark,
     sf_dir: table(spark, sf_dir, "documents").where(filters.published_between(c("n_chars"), "1970-01-01", "1970-01-01")).select("doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import casts, joins, keyed, schemas, text
+from ..operators import casts, joins, keyed, schemas, segments, text
 from ..session import prepare
 from ..sources import files
 from . import projections as P
@@ -54,6 +54,13 @@ def top20_words(spark, sf_dir):
     return text.top_words(table(spark, sf_dir, "documents"), text.words(F.col("text")), "doc_id", 20, _stop(spark))
 
 
+@query()
+def segmented_words(spark, sf_dir):
+    """Words of runs without spaces, under a dictionary of the texts' own words."""
+    docs = table(spark, sf_dir, "documents")
+    return segments.word_freq(docs, "text", segments.learned(docs, "text", 50_000, 5))
+
+
 @query("select event_id, ts, user_id, event_type, value, props from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
 def dedup_latest(spark, sf_dir):
     return keyed.dedup_latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])

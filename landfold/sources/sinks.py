@@ -50,6 +50,16 @@ def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(arrays, "value string").write.mode(mode).text(path)
 
 
+def write_counts(counted: DataFrame, path: str, most: int = 100_000, mode: str = "overwrite") -> None:
+    """Words with their counts (word, n) as one JSON object, the most frequent first. Bounded: more than `most` words are refused."""
+    n = counted.count()
+    if n > most:
+        raise ValueError(f"{n} words; one object takes {most}")
+    listed = counted.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "word", "n"))).alias("x"))
+    one = listed.select(F.to_json(F.map_from_entries(F.transform("x", lambda e: F.struct(e["word"], e["n"])))).alias("value"))
+    one.coalesce(1).write.mode(mode).text(path)
+
+
 def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
     _flat(df).write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
 
