@@ -1,8 +1,9 @@
 """Media columns: what a stored blob really is and what media lie in it, found by signature.
 
-One Aho-Corasick automaton locates every known magic in the bytes; a validator per format then confirms structure and
-length at that place, so a magic inside other data is not mistaken for a file. `sniff` names the media a blob starts
-with and carves those embedded further on, whatever type was declared.
+One Aho-Corasick automaton locates every known signature in the bytes; a validator per format (see formats: WAV, WebP,
+BMP, PPM, PNG, JPEG, GIF, Ogg, MP4, PDF) then confirms structure and length at that place, so a signature inside other data
+is not mistaken for a file. `sniff` names the media a blob starts with and carves those embedded further on, whatever type was
+declared.
 
 Payloads are stored losslessly in one of four formats, chosen by content: WAV (8-bit PCM), BMP (24-bit), PPM (24-bit)
 and PNG (8-bit RGB, stored rows). Payload lengths are positive multiples of 192, a row of 64 pixels.
@@ -15,10 +16,8 @@ only, whatever other columns are named.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,18 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8
+from .formats import SIGNATURES, Media
 
 ROW = 192
 KINDS = ("wav", "bmp", "ppm", "png")
-#: The formats' magic bytes.
-MAGIC = {b"RIFF": "wav", b"BM": "bmp", b"P6": "ppm", b"\x89PNG\r\n\x1a\n": "png"}
-
-
-class Media(NamedTuple):
-    kind: str
-    start: int
-    length: int  # of the whole file
-    payload: bytes
 
 
 def pad(text: str | None) -> tuple[bytes, int]:
@@ -65,97 +56,27 @@ def store(payload: bytes, kind: str) -> bytes:
     raise ValueError(f"unknown kind: {kind}")
 
 
-def _wav(b: bytes, at: int) -> Media | None:
-    if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
-        return None
-    end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    if end > len(b):
-        return None
-    p, sound, data = at + 12, False, None
-    while p + 8 <= end:
-        n = struct.unpack_from("<I", b, p + 4)[0]
-        if p + 8 + n > end:
-            return None
-        if b[p : p + 4] == b"fmt ":
-            sound = n >= 16 and struct.unpack_from("<H", b, p + 8)[0] == 1 and struct.unpack_from("<H", b, p + 22)[0] == 8
-        elif b[p : p + 4] == b"data":
-            data = b[p + 8 : p + 8 + n]
-        p += 8 + n + n % 2
-    return Media("wav", at, end - at, data) if sound and data is not None else None
-
-
-def _bmp(b: bytes, at: int) -> Media | None:
-    if len(b) < at + 54:
-        return None
-    total, zero, zero2, offset = struct.unpack_from("<IHHI", b, at + 2)
-    head, width, height, planes, bits, packed, size = struct.unpack_from("<IiiHHII", b, at + 14)
-    stride = (width * 3 + 3) // 4 * 4
-    fits = zero == zero2 == packed == 0 and head == 40 and planes == 1 and bits == 24 and width > 0 and height != 0
-    if not fits or at + total > len(b) or offset + stride * abs(height) != total or size not in (0, stride * abs(height)):
-        return None
-    return Media("bmp", at, total, b[at + offset : at + total])
-
-
-_PPM = re.compile(rb"P6\s+(\d{1,9})\s+(\d{1,9})\s+255\s")
-
-
-def _ppm(b: bytes, at: int) -> Media | None:
-    m = _PPM.match(b, at)
-    if not m or not int(m[1]) or not int(m[2]):
-        return None
-    end = m.end() + 3 * int(m[1]) * int(m[2])
-    return Media("ppm", at, end - at, b[m.end() : end]) if end <= len(b) else None
-
-
-def _png(b: bytes, at: int) -> Media | None:
-    p, packed, size = at + 8, [], None
-    while p + 12 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or struct.unpack_from(">I", b, p + 8 + n)[0] != zlib.crc32(b[p + 4 : p + 8 + n]):
-            return None
-        if kind == b"IHDR":
-            width, height, depth, colour, *rest = struct.unpack_from(">IIBBBBB", b, p + 8)
-            size = (3 * width, height) if (depth, colour, *rest) == (8, 2, 0, 0, 0) else None
-        elif kind == b"IDAT":
-            packed.append(b[p + 8 : p + 8 + n])
-        p += 12 + n
-        if kind == b"IEND":
-            if size is None:
-                return None
-            width, height = size
-            unpacker = zlib.decompressobj()
-            try:
-                lines = unpacker.decompress(b"".join(packed), height * (width + 1) + 1)
-            except zlib.error:
-                return None
-            if len(lines) != height * (width + 1) or any(lines[i] for i in range(0, len(lines), width + 1)):
-                return None  # filtered rows are not written here
-            return Media("png", at, p - at, b"".join(lines[i + 1 : i + 1 + width] for i in range(0, len(lines), width + 1)))
-    return None
-
-
-VALIDATE = {"wav": _wav, "bmp": _bmp, "ppm": _ppm, "png": _png}
 _automaton = []
 
 
-def magics(blob: bytes) -> list[tuple[int, str]]:
-    """Places and kinds of all magics, in order."""
+def magics(blob: bytes) -> list[tuple[int, bytes]]:
+    """Places of all signatures, in order."""
     if not _automaton:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for magic, kind in MAGIC.items():
-            a.add_word(magic.decode("latin-1"), (len(magic), kind))
+        for magic in SIGNATURES:
+            a.add_word(magic.decode("latin-1"), magic)
         a.make_automaton()
         _automaton.append(a)
-    return [(end - n + 1, kind) for end, (n, kind) in _automaton[0].iter(blob.decode("latin-1"))]
+    return sorted((end - len(magic) + 1, magic) for end, magic in _automaton[0].iter(blob.decode("latin-1")))
 
 
 def sniff(blob: bytes | None) -> list[Media]:
     """The confirmed media of a blob: files that follow each other or lie in other data, not files within files."""
     out, free = [], 0
-    for at, kind in sorted(magics(blob)) if blob else []:
-        if at >= free and (m := VALIDATE[kind](blob, at)):
+    for at, magic in magics(blob) if blob else []:
+        if at >= free and (m := SIGNATURES[magic](blob, at)) and m.start >= free:
             out.append(m)
             free = m.start + m.length
     return out
