@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -600,3 +601,11 @@ def test_tables_of_frequent_words_need_no_funnel(spark, docs):
         # all above the step that is taken in part
         assert all(n in got for n in [1 + 1000 // (i + 1) for i in range(900)] if got and n > 1.2 * min(got))
     assert pieces.most_frequent(units.limit(0), 5)[1] is False
+
+
+def test_latin_texts_are_split_alike():
+    rng, general, fast = random.Random(1), re.compile(pieces.SPLITS[0]).findall, pieces.splitter(pieces.SPLITS[0])
+    for _ in range(20_000):
+        text = "".join(chr(rng.choice([rng.randrange(256), rng.randrange(32, 127), 32, 0x2581, 0x4E2D if rng.random() < 0.1 else 98])) for _ in range(rng.randint(0, 12)))
+        text = (pieces.MARK + text).replace(" ", pieces.MARK)
+        assert fast(text) == general(text)
