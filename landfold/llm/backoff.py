@@ -17,6 +17,7 @@ fails if one is made again from other rows (after a lost executor, where the row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import cut, small_batches, utf8
 from .mixing import WORDS, n_words
 
 ORDER, ALPHA, LEAST = 2, 0.4, 2
@@ -195,6 +196,28 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return told.groupBy("chunk").applyInArrow(_score(order, words), "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
+def relational_scores(docs: DataFrame) -> DataFrame:
+    """The same for order 2, every step a relation of rows: words exploded, n-grams counted and joined by hash, scores summed.
+
+    The score of a pair is found once for each distinct pair, so a frequent word meets as many rows as it has neighbours; rows
+    of documents are joined with distinct pairs only, and summed by task before they travel. Exact counts, by 64-bit hashes.
+    """
+    words = F.coalesce(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({WORDS})")), F.array().cast("array<string>"))
+    held = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.transform(words, lambda w: F.xxhash64(w)).alias("h")))
+    each = held.select("rid", F.explode(F.transform("h", lambda w, i: F.struct(F.when(i > 0, F.get("h", i - 1)).alias("before"), w.alias("w")))).alias("x")).select("rid", "x.*")
+    pair = F.when(F.col("before").isNotNull(), F.xxhash64("before", "w")).otherwise(F.col("w"))
+    counted = cut(each.groupBy("before", "w").agg(F.count("*").alias("n")))
+    ones = counted.groupBy("w").agg(F.sum("n").alias("n"))
+    total = F.lit(float(held.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]))
+    of = counted.join(ones.select("w", F.col("n").alias("one")), "w").join(ones.select(F.col("w").alias("before"), F.col("n").alias("context")), "before", "left")
+    alone = F.log(F.col("one") / total) + F.when(F.col("before").isNull(), 0.0).otherwise(math.log(ALPHA))
+    scored = of.select(pair.alias("pair"), F.when(F.col("before").isNotNull() & (F.col("n") >= LEAST), F.log(F.col("n") / F.col("context"))).otherwise(alone).alias("score"))
+    summed = each.select("rid", pair.alias("pair")).join(scored, "pair").groupBy("rid").agg(F.sum("score").alias("score"))
+    n = F.size("h").cast("long")
+    whole = held.join(summed, "rid", "left").select("doc_id", n.alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("s"))
+    return whole.select("doc_id", "n_words", F.round("s", 6).alias("log_score"), F.round(F.col("s") / F.greatest("n_words", F.lit(1)), 6).alias("mean_log_score"))
+
+
 ORACLE = f"""
 with split as (
   select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}'), []) as words from documents

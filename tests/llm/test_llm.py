@@ -609,3 +609,9 @@ def test_latin_texts_are_split_alike():
         text = "".join(chr(rng.choice([rng.randrange(256), rng.randrange(32, 127), 32, 0x2581, 0x4E2D if rng.random() < 0.1 else 98])) for _ in range(rng.randint(0, 12)))
         text = (pieces.MARK + text).replace(" ", pieces.MARK)
         assert fast(text) == general(text)
+
+
+def test_backoff_as_rows_gives_the_same(spark, docs, empty):
+    every(backoff.relational_scores, empty)
+    near = lambda df: sorted((repr(r.doc_id), r.n_words, round(r.log_score, 5), round(r.mean_log_score, 5)) for r in df.collect())
+    assert near(backoff.relational_scores(docs)) == near(backoff.backoff_scores(docs))
