@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of every contract here: space and U+0009..U+000D.
 SEPARATORS = "\\x20\\x09-\\x0D"
@@ -70,6 +71,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_name(c: str) -> Column:
+    """A column of any name."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

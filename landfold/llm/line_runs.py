@@ -162,10 +162,12 @@ def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     light = spark.read.schema(f"{LIGHT}, batch int").parquet(path)
     lines = light.agg(F.coalesce(F.sum(F.size("h1")), F.lit(0))).first()[0]
     store = LineRuns(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines // BUCKET_LINES)))
-    for i in range(batches):
-        store.add(light.where(F.col("batch") == i))
-    repeated = cut(store.keys(LEAST_DOCS).select(*KEY, "last"))
-    store.drop()
+    try:
+        for i in range(batches):
+            store.add(light.where(F.col("batch") == i))
+        repeated = cut(store.keys(LEAST_DOCS).select(*KEY, "last"))
+    finally:
+        store.drop()
     each = light.select("id", "t1", "t2", F.inline(F.arrays_zip("h1", "h2"))).join(repeated, KEY).where("last <> id")
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in KEY)))
     out = cut(each.select("id", "t1", "t2", digest.alias("d")).groupBy("id", "t1", "t2").agg(F.collect_set("d").alias("gone")))
@@ -219,13 +221,14 @@ def drop_repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     def kept(texts: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([t if d is None else _report(t, set(d))[2].decode("utf-8", "surrogatepass") for t, d in zip(texts, gone, strict=True)], dtype=object)
 
-    plain, hit = _judged(docs, batches)
+    names = docs.columns  # others than these three go by place, whatever they are called
+    plain, hit = _judged(docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"__{i}" for i, c in enumerate(names))), batches)
     text = kept("row.text", "gone")
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns = {c: F.col(f"row.`{c}`") for c in plain.columns}
     columns["text"] = F.col("__text")
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         columns["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)
-    return plain.unionByName(hit.withColumn("__text", text).select(*(v.alias(c) for c, v in columns.items())))
+    return plain.unionByName(hit.withColumn("__text", text).select(*(v.alias(c) for c, v in columns.items()))).toDF(*names)
 
 
 ORACLE = rf"""

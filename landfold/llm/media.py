@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import by_name, utf8
 from .formats import SIGNATURES, Media
 
 ROW = 192
@@ -130,6 +130,6 @@ def sniff_column(df: DataFrame, blob: str, declared: str | None = None) -> DataF
         return pd.Series([None if b is None else [{"kind": m.kind, "start": m.start, "length": m.length, "content": carve(bytes(b), m)} for m in sniff(bytes(b))] for b in blobs], dtype=object)
 
     given = F.col(declared) if declared else F.lit(None).cast("string")
-    found = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("media", "corrected_type")), run(F.col(blob)).alias("media"), given.alias("corrected_type"))
+    found = df.select(*(by_name(c) for c in df.columns if c not in ("media", "corrected_type")), run(F.col(blob)).alias("media"), given.alias("corrected_type"))
     first = F.get("media", F.lit(0))
     return found.withColumn("corrected_type", F.coalesce(F.when(first["start"] == 0, first["kind"]), F.col("corrected_type")))

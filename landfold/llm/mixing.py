@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, cut
+from .common import SEPARATORS, by_name, cut
 
 WEIGHTS, CAP, BLOCK, BALE, SHARD_WORDS, WARD, SALTS, SEED = (5, 2, 1), 3, 16, 1_024, 1_000_000, 1_024, 64, 42
 WORDS = f"[^{SEPARATORS}]+"
@@ -137,7 +137,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORDS})")), F.lit(1), F.col("__mix_part")), " ")
     texts = F.concat(F.array_repeat(F.col("text"), F.col("__mix_full").cast("int")), F.when(F.col("__mix_part") > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
     taken = keyed.join(plan, on).withColumn("__mix_text", F.explode(texts))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("__mix_text")}
+    columns = {c: by_name(c) for c in docs.columns} | {"text": F.col("__mix_text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length("__mix_text").cast(docs.schema["n_chars"].dataType)
     return taken.select(*(v.alias(c) for c, v in columns.items()))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom, probe
-from .common import cut, partitions, utf8
+from .common import by_name, cut, partitions, utf8
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -377,7 +377,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         cls = np.array([text_class(t) for t in texts], np.int64)
         return pd.DataFrame({"cls": cls, "maybe": probe(leaving.value, _hash_pair(cls, ids.to_numpy()))})
 
-    kept = [F.col(f"`{c}`") for c in docs.columns]
+    kept = [by_name(c) for c in docs.columns]
     judged = docs.select(*kept, number.alias("__dup_id"), judge("text", number).alias("__dup_m"))
     going = gone.select(F.col("cls").alias("__dup_cls"), F.col("id").alias("__dup_id"), F.col("gone").alias("__dup_gone"))
     doubtful = judged.where("__dup_m.maybe").withColumn("__dup_cls", F.col("__dup_m.cls")).join(going, ["__dup_cls", "__dup_id"], "left")

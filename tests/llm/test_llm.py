@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from landfold.llm import ann, backoff, line_runs, media, mixing, passages, pieces, simhash, token_counts, toxicity
 from landfold.llm.components import connected_components
@@ -615,3 +616,11 @@ def test_backoff_as_rows_gives_the_same(spark, docs, empty):
     every(backoff.relational_scores, empty)
     near = lambda df: sorted((repr(r.doc_id), r.n_words, round(r.log_score, 5), round(r.mean_log_score, 5)) for r in df.collect())
     assert near(backoff.relational_scores(docs)) == near(backoff.backoff_scores(docs))
+
+
+def test_stages_take_columns_of_any_name(spark, docs):
+    odd = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumnsRenamed({"extra": "a.b", "lang": "x`y z"}).withColumn("__1", F.lit(1))
+    for stage in (line_runs.drop_repeated, mixing.mixed_documents, simhash.drop_near_duplicates):
+        got = stage(odd)
+        assert got.columns == odd.columns and got.dtypes == odd.dtypes
+        assert {(r["a.b"], r["x`y z"], r["__1"]) for r in got.collect()} == {("e", "en", 1)}
