@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, small_batches
+from .common import MOST_PARTS, cut, partitions, small_batches
 
 #: Rows of a tile's two sides, query rows multiplied at once within it, components added up in float32, and pairs computed at once.
 QUERY_BLOCK, ROW_BLOCK, STRIP, STRETCH, PAIRS = 2_048, 8_192, 128, 1_024, 4_096
@@ -172,8 +172,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     rows = first.withColumns({"query": F.lit(False), "g": F.explode(F.sequence(F.lit(0), F.lit(down - 1))), "h": F.pmod(dealt, F.lit(across))})
     asks = coded.where(F.col("vec_id") % every == 0).withColumns({"query": F.lit(True), "g": F.pmod(dealt, F.lit(down)).cast("int"), "h": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))})
     both = rows.unionByName(asks).select(tile, "query", "uid", "vec_id", "code", "step", "error", "length")
-    found = both.groupBy("tile").applyInArrow(_tile(k), PAIR)
     n = partitions(vectors)
+    found = both.repartition(max(n, min(MOST_PARTS, across * down)), "tile").groupBy("tile").applyInArrow(_tile(k), PAIR)  # a tile's size is bounded
     pairs = found.repartition(n, "query_uid").sortWithinPartitions("query_uid", F.desc("high")).mapInArrow(_survivors(k), "query_uid long, query_id long, uid long, vec_id long")
     vector = kept.select("uid", "v")
     scored = pairs.join(vector, "uid").join(vector.select(F.col("uid").alias("query_uid"), F.col("v").alias("q")), "query_uid").select("query_uid", "query_id", "vec_id", "q", "v")
