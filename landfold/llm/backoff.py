@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, utf8
+from .common import cut, partitions, small_batches, utf8
 from .mixing import WORDS, n_words
 
 ORDER, ALPHA, LEAST = 2, 0.4, 2
@@ -192,8 +192,9 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = docs.agg(F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()[0]
     buckets = max(8, -(-order * words // BUCKET_GRAMS))
-    told = docs.mapInArrow(_ask(order, buckets), PART).groupBy("bucket").applyInArrow(_total, "chunk string, bucket int, data binary")
-    return told.groupBy("chunk").applyInArrow(_score(order, words), "doc_id long, n_words long, log_score double, mean_log_score double")
+    n = partitions(docs, 2.0)  # texts and keys, packed, are about as large as the input's files
+    told = docs.mapInArrow(_ask(order, buckets), PART).repartition(n, "bucket").groupBy("bucket").applyInArrow(_total, "chunk string, bucket int, data binary")
+    return told.repartition(n, "chunk").groupBy("chunk").applyInArrow(_score(order, words), "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 def relational_scores(docs: DataFrame) -> DataFrame:
