@@ -380,6 +380,16 @@ PAGES = """select cast(conv_id as varchar) as stream, cast(turn + {first} as int
   cast(length(text) % 60 as bigint) as total from conversations"""
 
 
+def _pages(spark, sf_dir: str, first: int):
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "cast(conv_id as string) as stream", f"cast(turn + {first} as int) as page",
+        "case when length(text) % 13 = 0 then null when length(text) % 9 = 0 then cast(array() as array<bigint>) else sequence(0L, cast(length(text) % 9 - 1 as bigint)) end as items",
+        "cast(length(text) % 3 as int) as replies", "length(text) % 7 <> 0 as more",
+        "case when length(text) % 11 = 0 then 'no_more' when length(text) % 10 = 0 then '0' else cast(length(text) % 5 as string) end as cursor",
+        "cast(length(text) % 60 as bigint) as total",
+    )
+
+
 def _paged(name: tuple[str, str], rule: paging.Paging, most: int) -> None:
     """The rule over conversations as pages; in SQL the loop itself, a page a step."""
     used, on = (x.replace(" div ", " // ") for x in (rule.used, rule.goes_on))
@@ -402,14 +412,7 @@ with recursive p as (
 select stream, page, cast(unnest(range(taken)) as int) as pos, unnest(items[1:taken]) as item from l where taken > 0"""
 
     def run(spark, sf_dir):
-        named = table(spark, sf_dir, "conversations").selectExpr(
-            "cast(conv_id as string) as stream", f"cast(turn + {rule.first} as int) as page",
-            "case when length(text) % 13 = 0 then null when length(text) % 9 = 0 then cast(array() as array<bigint>) else sequence(0L, cast(length(text) % 9 - 1 as bigint)) end as items",
-            "cast(length(text) % 3 as int) as replies", "length(text) % 7 <> 0 as more",
-            "case when length(text) % 11 = 0 then 'no_more' when length(text) % 10 = 0 then '0' else cast(length(text) % 5 as string) end as cursor",
-            "cast(length(text) % 60 as bigint) as total",
-        )
-        return paging.replay(named, rule, most)
+        return paging.replay(_pages(spark, sf_dir, rule.first), rule, most)
 
     put("paging_" + "_".join(name).replace(" ", "_"), sql, run)
 
@@ -418,6 +421,33 @@ for _name, _rule in paging.RULES.items():
     _paged(_name, _rule, 40 if _rule.cap == "pages" else 9)
 
 
+#: One loop of each kind of cap, said anew: whether a page is used, whether the loop goes on after it, what is taken, whether it is asked for.
+LOOPS = {
+    ("bili", "comments"): (9, "p.cursor is not null", "p.more", "least(p.n, 9 - l.got)", "l.got < 9"),
+    ("bili", "comments with replies"): (9, "p.cursor is not null", "p.more", "least(p.n, 9)", "true"),
+    ("ks", "comments"): (9, "true", "coalesce(p.cursor, 'no_more') <> 'no_more'", "least(p.n, 9 - l.got)", "l.got < 9"),
+    ("wb", "search"): (40, "p.n > 0", "true", "p.n", "p.page * 10 <= 40"),
+    ("wb", "creator"): (0, "p.items is not null", "p.total > p.page * 10", "p.n", "true"),
+    ("tieba", "creator"): (40, "true", "p.more", "p.n", "(p.page - 1) * 20 < 40"),
+    ("zhihu", "comments"): (0, "p.n > 0 and coalesce(p.cursor, '') <> p.before", "p.more", "p.n", "true"),
+}
+
+
+def _looped(name: tuple[str, str], most: int, used: str, on: str, take: str, asked: str) -> None:
+    sql = f"""
+with recursive p as (select *, coalesce(len(items), 0) as n, coalesce(lag(cursor) over (partition by stream order by page), '') as before from ({PAGES.format(first=1)})), l as (
+  select stream, 1 as page, 0::bigint as got from p where page = 1
+  union all
+  select l.stream, l.page + 1, l.got + p.n + {"p.replies" if name == ("ks", "comments") else "0"} from l join p on p.stream = l.stream and p.page = l.page where {used} and {on} and {asked}
+)
+select l.stream, l.page, cast(unnest(range({take})) as int) as pos, unnest(p.items[1:{take}]) as item from l join p on p.stream = l.stream and p.page = l.page where {used} and {asked} and {take} > 0"""
+    put("loop_" + "_".join(name).replace(" ", "_"), sql, lambda spark, sf_dir: paging.replay(_pages(spark, sf_dir, 1), paging.RULES[name], most))
+
+
+for _name, _told in LOOPS.items():
+    _looped(_name, *_told)
+
+
 def _scalar(name: str, base: str, key: str, fn, sql: str) -> None:
     """Register a function of a table's rows: fn gives columns by name, sql the same ones."""
 
