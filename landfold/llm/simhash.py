@@ -291,8 +291,9 @@ def _settled(judged: DataFrame, ids: DataFrame, sets) -> DataFrame:
 
     Links are trees in large groups, so a refused link may part classes that are near to others of the group. Groups with
     a refused link between components are decided by a prefix filter: two sets of this similarity share a shingle among
-    the rarest of each. In each list of a shingle, some leads meet all members of other components and leave; GROWTH times
-    as many follow, until the members left are of one component. So every pair of the group is decided or connected.
+    the rarest of each. At first GROWTH members of a group, those whose shingles are the commonest in it, meet all members of
+    other components. Then, in each list of a shingle, some leads do so and leave; GROWTH times as many follow, until the
+    members left are of one component. So every pair of the group is decided or connected.
     """
     linked = connected_components(judged.where("near").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("cls"), "root")
     ends = judged.select(F.col("x").alias("cls")).unionByName(judged.select(F.col("y").alias("cls"))).distinct()
@@ -309,6 +310,19 @@ def _settled(judged: DataFrame, ids: DataFrame, sets) -> DataFrame:
     # shingles of one text come first in the order, and are in no list
     ranked = each.join(seen, ["grp", "shingle"]).withColumn("place", F.row_number().over(own.orderBy("times", "shingle"))).withColumn("alone", F.col("n") - F.count("*").over(own))
     lists, leading = ranked.where("place + alone <= n - (4 * n + 4) div 5 + 1").select("grp", "shingle", "cls", "n"), GROWTH
+
+    def after(meet: DataFrame, open_: DataFrame) -> DataFrame:
+        """open_ when the pairs in meet (cls, other) are decided."""
+        met = cut(meet.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct())
+        merged = connected_components(_named(_judged(met, held).where("near"), open_)).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        return cut(open_.join(merged, "root", "left").select("cls", F.coalesce("now", "root").alias("root")))
+
+    # first the members whose shingles most others have: copies of one text are often near to it and not to each other
+    common = each.join(seen, ["grp", "shingle"]).groupBy("cls", "grp", "n").agg((F.sum("times") / F.col("n")).alias("shared"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("shared"), "cls"))
+    hubs = cut(common.withColumn("place", place).where(F.col("place") <= GROWTH).join(open_, "cls").select("grp", F.struct("cls", "root", "n").alias("l")))
+    sized = held.select("cls", "grp", F.size("s").alias("n")).join(open_, "cls")
+    open_ = after(sized.join(hubs, "grp").where("root <> l.root and 5 * least(n, l.n) >= 4 * greatest(n, l.n)").select("cls", F.col("l.cls").alias("other")), open_)
     while True:
         known = cut(lists.join(open_, "cls"))
         live = known.groupBy("grp", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp", "shingle")
@@ -317,9 +331,7 @@ def _settled(judged: DataFrame, ids: DataFrame, sets) -> DataFrame:
             return settled.unionByName(open_)
         leads = known.groupBy("grp", "shingle", F.pmod(F.xxhash64("cls"), F.lit(leading)).alias("part")).agg(F.min(F.struct("cls", "root", "n")).alias("l")).select("grp", "shingle", "l")
         meet = known.join(leads, ["grp", "shingle"]).where("root <> l.root and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
-        met = cut(meet.select(F.least("cls", "l.cls").alias("x"), F.greatest("cls", "l.cls").alias("y")).distinct())
-        merged = connected_components(_named(_judged(met, held).where("near"), open_)).select(F.col("node").alias("root"), F.col("root").alias("now"))
-        open_ = cut(open_.join(merged, "root", "left").select("cls", F.coalesce("now", "root").alias("root")))
+        open_ = after(meet.select("cls", F.col("l.cls").alias("other")), open_)
         lists = known.join(leads.select("grp", "shingle", F.col("l.cls").alias("cls")), ["grp", "shingle", "cls"], "left_anti").select("grp", "shingle", "cls", "n")
         leading *= GROWTH
 
