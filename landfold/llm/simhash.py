@@ -340,7 +340,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id (a null one is smaller than all).
 
     Texts of the same words are one class. Classes are near if their five-word shingles have a Jaccard similarity of
-    LEAST_SIMILARITY; pairs to be compared come from links among VIEWS fingerprints (measured on the test tables: 96 of
+    LEAST_SIMILARITY; pairs to be compared come from links among VIEWS fingerprints (measured on the test tables: about 95 of
     100 pairs at or above the limit, and all where texts are equal). Groups are the components (see _settled). Of rows that
     are alike in doc_id and words one stays. Columns as they were, whatever their names (other than "__dup_" ones).
     """
