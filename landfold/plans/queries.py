@@ -271,16 +271,29 @@ def schema_drift(spark, sf_dir):
     return got.select("table_name", "column_name", zone.alias("difference"))
 
 
+#: The given tables, but for one each, that both sides of a difference have; changes of their columns in the second one.
+TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_changed = {"documents": "* exclude (lang)", "events": "*, event_id as seq", "labels": "* replace (cast(toxic as varchar) as toxic)", "embeddings": "* replace (cast(embedding as double[]) as embedding)", "customer": "* exclude (c_name), c_name as name"}
+_described = lambda each: " union all ".join(f"select '{name}' as table_name, column_name, column_type from (describe select {columns} from {t})" for name, t, columns in each)
+_typed = "case column_type when 'VARCHAR' then 'string' when 'FLOAT[]' then 'array<float>' when 'DOUBLE[]' then 'array<double>' when 'INTEGER' then 'int' else lower(column_type) end as type"
+
+
 @query(f"""
-with have as (select table_name, column_name, column_type as type from ({DESCRIBED})), more as (select table_name, column_name, type from have where column_name <> 'lang' union all select 'events', 'seq', 'BIGINT')
-select coalesce(a.table_name, b.table_name) as table_name, coalesce(a.column_name, b.column_name) as column_name, case when b.type is null then 'missing' else 'extra' end as difference
-from have a full outer join more b using (table_name, column_name) where a.type is null or b.type is null""")
+with a as (select table_name, column_name, {_typed} from ({_described([(t, t, "*") for t in (*TABLES, "region")])})),
+b as (select table_name, column_name, {_typed} from ({_described([*((t, t, _changed.get(t, "*")) for t in TABLES), ("area", "region", "*")])}))
+select coalesce(a.table_name, b.table_name) as table_name, coalesce(a.column_name, b.column_name) as column_name,
+  case when b.type is null then 'missing' when a.type is null then 'extra' else 'type' end as difference, a.type as want, b.type as have
+from a full outer join b on a.table_name = b.table_name and a.column_name = b.column_name where a.type is distinct from b.type""")
 def schema_diff(spark, sf_dir):
-    """The tables' schemas against those of changed copies."""
-    tables = {t: table(spark, sf_dir, t) for t in DECLARED}
-    changed = {t: df.drop("lang") for t, df in tables.items()} | {"events": tables["events"].withColumn("seq", F.col("event_id"))}
-    told = lambda each: spark.createDataFrame([(t, c, k) for t, df in each.items() for c, k in df.dtypes], "table_name string, column_name string, type string")
-    return text.schema_diff(told(tables), told(changed)).select("table_name", "column_name", "difference")
+    """The tables' schemas against those of changed copies: columns that went, came and are of another type, and a table of another name."""
+    tables = {t: table(spark, sf_dir, t) for t in (*TABLES, "region")}
+    changed = {t: df for t, df in tables.items() if t != "region"} | {
+        "area": tables["region"], "documents": tables["documents"].drop("lang"), "events": tables["events"].withColumn("seq", F.col("event_id")), "labels": tables["labels"].withColumn("toxic", F.col("toxic").cast("string")),
+        "embeddings": tables["embeddings"].withColumn("embedding", F.col("embedding").cast("array<double>")), "customer": tables["customer"].withColumnRenamed("c_name", "name"),
+    }
+    # a time without a zone may be read as either kind of time
+    told = lambda each: spark.createDataFrame([(t, c, k.replace("timestamp_ntz", "timestamp")) for t, df in each.items() for c, k in df.dtypes], "table_name string, column_name string, type string")
+    return text.schema_diff(told(tables), told(changed))
 
 
 READ_AS = {"n": "smallint", "flag": "boolean", "name": "int", "day": "date"}

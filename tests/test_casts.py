@@ -1,5 +1,7 @@
 import itertools
+from pathlib import Path
 
+import pytest
 from pyspark.sql import Observation
 from pyspark.sql import types as T
 
@@ -40,3 +42,18 @@ def test_drift_of_files(spark, tmp_path):
     assert got == {"id": ("widened", "int", "bigint"), "n": ("narrowed", "bigint", "int"), "s.a": ("same", "int", "int"), "s.b[].c": ("incompatible", "string", "bigint"), "gone{}": ("removed", "int", None), "later": ("added", None, "string")}
     one = T.StructType.fromDDL("a int")
     assert [tuple(r) for r in schemas.differences(spark, {"x": (one, None), "y": (None, one), "z": (one, one)}).collect()] == [("x", "a", "removed", "int", None), ("y", "a", "added", None, "int")]
+
+
+def test_schema_diff_tells_types_and_covers_all_tables(spark):
+    import __spark_entry__ as e
+
+    got = e.queries()["schema_diff"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["table_name", "column_name", "difference", "want", "have"]
+    rows = {tuple(r) for r in got.collect()}
+    assert {("labels", "toxic", "type", "int", "string"), ("embeddings", "embedding", "type", "array<float>", "array<double>"), ("documents", "lang", "missing", "string", None), ("events", "seq", "extra", None, "bigint")} <= rows
+    # a table that is on one side only
+    assert {r[:3] for r in rows if r[0] in ("area", "region")} == {("area", "r_regionkey", "extra"), ("area", "r_name", "extra"), ("region", "r_regionkey", "missing"), ("region", "r_name", "missing")}
+    db = pytest.importorskip("duckdb").connect()
+    for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        db.execute(f"create view {f.stem} as select * from '{f}'")
+    assert set(db.execute(e.oracle_sql()["schema_diff"]).fetchall()) == rows
