@@ -2,9 +2,8 @@
 
 Texts are split into units that no piece spans (runs of one kind of character, with the spaces before them). Each distinct
 unit is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, the edges of a unit
-come together, and a fold over its end positions (Spark's `aggregate`) keeps the best path to each. The table of encoded
-units then answers every text: it is broadcast up to about TABLE_UNITS entries, the most frequent ones by a histogram of
-counts; units beyond are joined.
+come together, and a fold over its end positions keeps the best path to each. The table of encoded units then answers every text:
+it is broadcast up to about TABLE_UNITS entries, the most frequent ones by a histogram of counts; units beyond are joined.
 
 For unigram models the best path is the one with the highest sum of scores (ties: the longer last piece). For BPE models,
 whose scores are merge ranks, that would be another segmentation than merging gives. There the lattice also carries which
@@ -29,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,158 +154,151 @@ def _last_merge(piece: str, ids: dict[str, int], rank: np.ndarray) -> tuple[int,
 
 
 class Follows:
-    """Which pieces of a BPE model stay apart when they meet; answers are remembered, in bounded number."""
-
-    MOST = 1_000_000
+    """Which pieces of a BPE model stay apart when they meet."""
 
     def __init__(self, model: Model):
-        self.rank, self.left, self.right = (x.tolist() for x in (model.rank, model.left, model.right))
+        self.rank, self.left, self.right = (x.astype(np.int64) for x in (model.rank, model.left, model.right))
         by_text = {model.surface[i]: i for _, i, _ in model.pieces}
         # every way in which two pieces make a third: as many as pieces have characters
-        self.merged = {}
+        merged = {}
         for _, i, _ in model.pieces:
             s = model.surface[i]
             for at in range(1, len(s)):
                 a, b = by_text.get(s[:at]), by_text.get(s[at:])
                 if a is not None and b is not None:
-                    self.merged[a, b] = self.rank[i]
-        self.keys, self.answers = np.empty(0, np.int64), np.empty(0, bool)  # of pairs, in order
-
-    def _apart(self, a: int, b: int) -> bool:
-        """Undo the merges of both pieces, the latest first: whatever meets at the border must not have merged before that."""
-        rank, limit, strict = self.rank, 1 << 62, False
-        while True:
-            joined = self.merged.get((a, b))
-            if joined is not None and (joined < limit or (joined == limit and not strict)):
-                return False
-            inner_a, inner_b = self.right[a], self.left[b]
-            if inner_a == a and inner_b == b:
-                return True
-            # of equal merges the one further left comes first
-            if inner_b == b or (inner_a != a and rank[a] > rank[b]):
-                limit, strict, a = rank[a], True, inner_a
-            else:
-                limit, strict, b = rank[b], False, inner_b
+                    merged[a << 32 | b] = model.rank[i]
+        keys = np.fromiter(merged, np.int64, len(merged))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.ranks = np.append(np.fromiter(merged.values(), np.int64, len(merged))[order], 0)
 
     def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For arrays of neighbours (-1: a character without a piece)."""
-        keys, at = np.unique((a.astype(np.int64) + 1) << 32 | (b.astype(np.int64) + 1), return_inverse=True)
-        if len(self.keys) > self.MOST:
-            self.keys, self.answers = self.keys[:0], self.answers[:0]
-        place = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
-        told = [x < 0 or y < 0 or self._apart(x, y) for x, y in zip(((keys[new] >> 32) - 1).tolist(), ((keys[new] & 0xFFFFFFFF) - 1).tolist(), strict=True)]
-        self.keys, self.answers = np.insert(self.keys, place[new], keys[new]), np.insert(self.answers, place[new], told)
-        return self.answers[np.searchsorted(self.keys, keys)][at]
-
-
-#: All edges of a unit by end position: length and id of the piece (-1: byte pieces, in raw), score, pieces that may stand before it (null: any).
-ENDS = "array<array<struct<n: int, id: int, score: double, raw: array<int>, before: array<int>>>>"
+        """For arrays of neighbours (-1: a character without a piece). Undo the merges of both pieces, the latest first:
+        whatever meets at the border must not have merged before that."""
+        out, rank = np.ones(len(a), bool), self.rank
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        a, b = a[at], b[at]
+        limit, strict = np.full(len(at), 1 << 62), np.zeros(len(at), bool)
+        while len(at):
+            key = a << 32 | b
+            place = np.searchsorted(self.keys, key)
+            joined = self.ranks[place]
+            apart = (self.keys[place] != key) | (joined > limit) | ((joined == limit) & strict)
+            out[at[~apart]] = False
+            inner_a, inner_b = self.right[a], self.left[b]
+            go = np.flatnonzero(apart & ((inner_a != a) | (inner_b != b)))
+            at, a, b, inner_a, inner_b = at[go], a[go], b[go], inner_a[go], inner_b[go]
+            # of equal merges the one further left comes first
+            strict = (inner_b == b) | ((inner_a != a) & (rank[a] > rank[b]))
+            limit = np.where(strict, rank[a], rank[b])
+            a, b = np.where(strict, inner_a, a), np.where(strict, b, inner_b)
+        return out
 
 
-#: An edge as one number: where it begins, its length, and the piece's id and 1 (0: none).
-START, LENGTH = 1 << 40, 1 << 32
+#: An edge as one number: where it begins, its length, and the piece's id and 1 (0: none). Edges that are folded at once, about.
+START, LENGTH, FOLDED = 1 << 40, 1 << 32, 100_000
 
 
-def _grouped(model: Model | None, scores: dict[int, float]):
-    """From edges (uid, unit, edge), in order, to (unit, ends ENDS). The unit stands in the first row of each only."""
-    kind = pa.list_(pa.struct([("n", pa.int32()), ("id", pa.int32()), ("score", pa.float64()), ("raw", pa.list_(pa.int32())), ("before", pa.list_(pa.int32()))]))
+def _folded(model: Model | None, scores: dict[int, float], names: list[str]):
+    """From edges (unit and what goes with it, edge), in order, to (those, ids, score): the best path of each unit, null where
+    there is none. The unit stands in the first row of each only. The fold goes over end positions, for many units at once:
+    its state is the best path to each, as its last edge."""
     table = np.zeros(max([0, *scores]) + 2)
     for i, v in scores.items():
         table[i] = v
     table[-1] = -1e9
-
-    def made(uid: np.ndarray, unit: pa.Array, s: np.ndarray, n: np.ndarray, piece: np.ndarray, follows: Follows | None) -> pa.RecordBatch:
-        first = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]]))
-        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(uid))))
-        begin, end = word * (LONGEST + 1) + s, word * (LONGEST + 1) + s + n
-        order = np.lexsort((n, end))
-        begin, end, n, piece, word = begin[order], end[order], n[order], piece[order], word[order]
-        units = unit.drop_null()
-        if follows is None:
-            before = pa.nulls(len(end), pa.list_(pa.int32()))
-        else:
-            lo, hi = np.searchsorted(end, begin, "left"), np.searchsorted(end, begin, "right")
-            count = hi - lo
-            right = np.repeat(np.arange(len(end)), count)
-            left = np.arange(len(right)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            ok = follows.allowed(piece[left], piece[right])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(right[ok], minlength=len(end)))]).astype(np.int32)
-            opening = pa.array(begin == word * (LONGEST + 1))
-            before = pa.ListArray.from_arrays(ends, piece[left[ok]].astype(np.int32), mask=opening)
-        raw = pa.nulls(len(end), pa.list_(pa.int32()))
-        bare = np.flatnonzero(piece < 0)
-        if len(bare) and model is not None and model.bytes_at:
-            texts, lists = units.to_pylist(), [None] * len(end)
-            for i in bare.tolist():
-                at = int(begin[i] - word[i] * (LONGEST + 1))
-                lists[i] = [model.bytes_at[x] for x in utf8(texts[word[i]][at])]
-            raw = pa.array(lists, pa.list_(pa.int32()))
-        keep = np.ones(len(end), bool) if model is not None and model.bytes_at else piece >= 0
-        edges = pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(table[piece]), raw, before], fields=list(kind.value_type))
-        length = np.maximum.reduceat(end, np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))) - np.arange(len(first)) * (LONGEST + 1)
-        at = np.concatenate([[0], np.cumsum(length)])  # where each unit's end positions start
-        slot = at[word] + end - word * (LONGEST + 1) - 1
-        inner = np.concatenate([[0], np.cumsum(np.bincount(slot[keep], minlength=at[-1]))]).astype(np.int32)
-        ends = pa.ListArray.from_arrays(at.astype(np.int32), pa.ListArray.from_arrays(inner, edges.filter(pa.array(keep))))
-        return pa.RecordBatch.from_arrays([units, ends.cast(pa.list_(kind))], ["unit", "ends"])
+    by_byte = model.bytes_at if model is not None else None
+
+    def made(t: pa.Table, follows: Follows | None) -> pa.RecordBatch:
+        unit, edge = t.column("unit").combine_chunks(), t.column("edge").to_numpy()
+        first = np.flatnonzero(unit.is_valid().to_numpy(zero_copy_only=False))
+        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(edge))))
+        s, n, piece = edge // START, edge % START // LENGTH, edge % LENGTH - 1
+        begin, wide = word * (LONGEST + 1) + s, s + n
+        last = np.maximum.reduceat(wide, first) + np.arange(len(first)) * (LONGEST + 1)
+        state, total = np.full(len(first) * (LONGEST + 1), -1), np.zeros(len(first) * (LONGEST + 1))  # by place: the best path's last edge, its score
+        order = np.argsort(wide, kind="stable")
+        bounds = np.searchsorted(wide[order], np.arange(1, int(wide.max()) + 2))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            e = order[lo:hi]
+            before = state[begin[e]]
+            opens = s[e] == 0
+            ok = opens | (before >= 0)
+            if by_byte is None:
+                ok &= piece[e] >= 0
+            e, before, opens = e[ok], before[ok], opens[ok]
+            if follows is not None:
+                ok = opens | follows.allowed(piece[before], piece[e])
+                e = e[ok]
+            score = total[begin[e]] + table[piece[e]]
+            best = np.lexsort((n[e], score, word[e]))
+            e, score = e[best], score[best]
+            top = np.append(word[e][1:] != word[e][:-1], True)[: len(e)]
+            place = begin[e[top]] + n[e[top]]
+            state[place], total[place] = e[top], score[top]
+        found = state[last] >= 0
+        taken, at = np.zeros(len(edge), bool), last[found]
+        while len(at):  # back along each path
+            e = state[at]
+            taken[e] = True
+            at = begin[e][s[e] > 0]
+        e = np.flatnonzero(taken)  # one edge at most begins at a place, so these are in order
+        ids, size = piece[e], np.ones(len(e), np.int64)
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            texts = unit.take(pa.array(first[word[e[bare]]])).to_pylist()
+            raw = [[by_byte[x] for x in utf8(u[at])] for u, at in zip(texts, s[e[bare]].tolist(), strict=True)]
+            size[bare] = [len(x) for x in raw]
+            ids = np.repeat(ids, size)
+            ids[ids < 0] = np.concatenate(raw)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(word[e], size, len(first)))]).astype(np.int32)
+        given = [t.column(c).take(pa.array(first)).combine_chunks() for c in names]
+        lists = pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)), mask=pa.array(~found))
+        return pa.RecordBatch.from_arrays([*given, lists, pa.array(total[last], mask=~found)], [*names, "ids", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         follows = None if model is None or model.rank is None else Follows(model)
-        held: pa.Table | None = None
-
-        def arrays(t: pa.Table):
-            t = t.combine_chunks()
-            edge = t.column("edge").to_numpy()
-            return t.column("uid").to_numpy(), t.column("unit").combine_chunks(), edge // START, edge % START // LENGTH, edge % LENGTH - 1
-
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            now = pa.Table.from_batches([b])
-            now = now if held is None else pa.concat_tables([held, now])
-            uid = now.column("uid").to_numpy()
-            if not len(uid):
+            held.append(b)
+            if sum(map(len, held)) < FOLDED:
                 continue
-            last = len(uid) - int(np.argmin((uid == uid[-1])[::-1])) if uid[0] != uid[-1] else 0
+            now = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(now.column("unit").is_valid().to_numpy())[-1])
             if last:
-                yield made(*arrays(now.slice(0, last)), follows)
-            held = now.slice(last)
-        if held is not None and len(held):
-            yield made(*arrays(held), follows)
+                yield made(now.slice(0, last), follows)
+                held = now.slice(last).combine_chunks().to_batches()
+        if sum(map(len, held)):
+            yield made(pa.Table.from_batches(held), follows)
         follows = held = None
         give_back()
 
     return run
 
 
-#: The fold: the state after each end position is the best path to it, or null.
-FOLD = """
-aggregate(ends, array(named_struct('score', cast(0 as double), 'n', 0, 'id', -1, 'ids', cast(array() as array<int>))),
-  (acc, edges) -> concat(acc, array(array_max(transform(
-    filter(edges, x -> acc[size(acc) - x.n] is not null and (x.before is null or array_contains(x.before, acc[size(acc) - x.n].id))),
-    x -> named_struct('score', acc[size(acc) - x.n].score + x.score, 'n', x.n, 'id', x.id,
-                      'ids', concat(acc[size(acc) - x.n].ids, coalesce(x.raw, array(x.id)))))))),
-  acc -> element_at(acc, -1))"""
-
-
 def lattice_encode(units: DataFrame, pieces: DataFrame, scores: dict[int, float], longest: int = 16, model: Model | None = None) -> DataFrame:
     """From distinct units (unit string, of 1 to LONGEST characters) and pieces (piece string, id int) to (unit, ids, score).
 
     scores: of the ids. Units that no path covers have null ids. model: gives byte pieces and, if it is BPE, what may follow.
+    Other columns of units go with them. All rows of a unit stay in order: nothing here moves them.
     """
-    numbered = units.select("unit", F.monotonically_increasing_id().alias("uid"))
-    starts = numbered.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    starts = starts.select("uid", F.when(F.col("s") == 0, F.col("unit")).alias("unit"), "s", F.expr(f"substring(unit, s + 1, {longest})").alias("rest"))
+    names = units.columns
+    starts = units.select("*", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    starts = starts.select(*[F.when(F.col("s") == 0, F.col(c)).alias(c) for c in names], "s", F.expr(f"substring(unit, s + 1, {longest})").alias("rest"))
     # no piece is longer than the longest one that begins with the same three characters
     heads = pieces.where("length(piece) > 2").groupBy(F.substring("piece", 1, 3).alias("head")).agg(F.max(F.length("piece")).alias("most"))
     starts = starts.withColumn("head", F.substring("rest", 1, 3)).join(F.broadcast(heads), "head", "left")  # fewer than pieces
-    spans = starts.select("uid", "unit", "s", "rest", F.explode(F.sequence(F.lit(1), F.least(F.length("rest"), F.coalesce("most", F.lit(2))))).alias("n"))
-    spans = spans.select("uid", F.when(F.col("n") == 1, F.col("unit")).alias("unit"), "s", "n", F.expr("substring(rest, 1, n)").alias("piece"))
-    edges = spans.join(F.broadcast(pieces.select("piece", "id")), "piece", "left").where("id is not null or n = 1")  # a vocabulary has a fixed size
-    edges = edges.select("uid", "unit", F.expr(f"s * {START}L + n * {LENGTH}L + coalesce(id, -1) + 1").alias("edge"))
-    grouped = edges.mapInArrow(_grouped(model, scores), f"unit string, ends {ENDS}")
-    return grouped.withColumn("best", F.expr(FOLD)).select("unit", "best.ids", "best.score")
+    spans = starts.select(*names, "s", "rest", F.explode(F.sequence(F.lit(1), F.least(F.length("rest"), F.coalesce("most", F.lit(2))))).alias("length"))
+    spans = spans.select(*[F.when(F.col("length") == 1, F.col(c)).alias(c) for c in names], "s", "length", F.expr("substring(rest, 1, length)").alias("span"))
+    # by a number, which is looked up faster than a string; whether the strings are equal is seen after
+    known = pieces.select("piece", "id", F.xxhash64("piece").alias("key"))
+    several, keys = known.agg(F.count("*"), F.count_distinct("key")).first()
+    key = F.xxhash64 if several == keys else F.col
+    known = known.withColumn("key", key("piece"))
+    edges = spans.withColumn("key", key("span")).join(F.broadcast(known), "key", "left").where("piece = span or length = 1")  # a vocabulary has a fixed size
+    edges = edges.select(*names, F.expr(f"s * {START}L + length * {LENGTH}L + if(piece = span, id, -1) + 1").alias("edge"))
+    kinds = ", ".join(f"{c} {k}" for c, k in units.dtypes)
+    return edges.mapInArrow(_folded(model, scores, names), f"{kinds}, ids array<int>, score double")
 
 
 def splitter(split: str):
@@ -338,8 +331,9 @@ def unit_counts(docs: DataFrame, model: Model) -> DataFrame:
         split, found = splitter(model.split), Counter()
 
         def done() -> pa.RecordBatch:
-            keep = {u: n for u, n in found.items() if len(u) <= LONGEST and not u.startswith(2 * MARK)}
-            return pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array(keep.values(), pa.int64())], ["unit", "n"])
+            units, n = pa.array(found, pa.string()), pa.array(found.values(), pa.int64())
+            keep = pc.and_(pc.less_equal(pc.utf8_length(units), LONGEST), pc.invert(pc.starts_with(units, 2 * MARK)))
+            return pa.RecordBatch.from_arrays([units.filter(keep), n.filter(keep)], ["unit", "n"])
 
         for b in batches:
             for t in b.column("text").to_pylist():
@@ -360,8 +354,13 @@ def encoded_units(docs: DataFrame, model: Model) -> DataFrame:
     counted = cut(unit_counts(docs, model))
     pieces = spark.createDataFrame([(p, i) for p, i, _ in model.pieces], "piece string, id int")
     longest = max(len(p) for p, _, _ in model.pieces)
-    got = lattice_encode(counted, pieces, {i: v for _, i, v in model.pieces}, longest, model)
-    return cut(got.select("unit", "ids").join(counted, "unit"))
+    got = lattice_encode(counted, pieces, {i: v for _, i, v in model.pieces}, longest, model).select("unit", "n", "ids")
+    # edges are small and of one size, so their number bounds a batch; to ask for its bytes at each of them takes long
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        return cut(got)
+    finally:
+        small_batches(spark)
 
 
 def _hash(unit: str) -> int:
@@ -388,6 +387,8 @@ def _packed(units: DataFrame, model: Model) -> DataFrame:
             raw = [_decoded(m, x) for x in each]
             odd = [None if x == utf8(u.replace(MARK, " ")) else x for u, x in zip(texts, raw, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([_hash(u) for u in texts], pa.int64()), pa.array([x.astype(kind).tobytes() for x in each], pa.binary()), pa.array(odd, pa.binary())], ["h", "ids", "odd"])
+        texts = each = raw = odd = None
+        give_back()
 
     return units.select("unit", "ids").mapInArrow(pack, "h long, ids binary, odd binary").orderBy("h")
 
@@ -536,6 +537,8 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
             ok = [i for i, u in enumerate(each) if not lacking or lacking.isdisjoint(u)]
             ids = b.column("doc_id").to_pylist()
             yield _rows(encoder, [ids[i] for i in ok], [texts[i] for i in ok], [each[i] for i in ok])
+        encoder = texts = each = None
+        give_back()
 
     done = docs.mapInArrow(whole, OUT)
     if not rest:

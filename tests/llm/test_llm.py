@@ -624,3 +624,18 @@ def test_stages_take_columns_of_any_name(spark, docs):
         got = stage(odd)
         assert got.columns == odd.columns and got.dtypes == odd.dtypes
         assert {(r["a.b"], r["x`y z"], r["__1"]) for r in got.collect()} == {("e", "en", 1)}
+
+
+def test_neighbours_of_pieces_are_told_without_memory(spark):
+    """Which pieces stay apart is what merging says, and a worker holds no answers: its memory doesn't grow with what it is asked."""
+    import public_tokenizers
+
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    sp, follows, rng = pieces._processor(model.path), pieces.Follows(model), np.random.default_rng(2)
+    held = lambda: {k: np.size(v) for k, v in vars(follows).items()}
+    before, text = held(), {i: p for p, i, _ in model.pieces if p.isalpha()}
+    a, b = (rng.choice(list(text), 3000) for _ in range(2))
+    got = follows.allowed(a.astype(np.int64), b.astype(np.int64))
+    assert held() == before and 0 < got.sum() < len(got)
+    assert got.tolist() == [sp.encode("\n" + text[x] + text[y])[2:] == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert follows.allowed(np.array([-1, a[0]]), np.array([b[0], -1])).all()
