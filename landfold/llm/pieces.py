@@ -455,7 +455,8 @@ class Encoder:
             self.ids.pop(u, None)
             self.odd.pop(u, None)
         self.extra.clear()
-        new = list(set().union(*each) - self.ids.keys())
+        known = self.ids
+        new = [u for u in set().union(*each) if u not in known]  # a set less the cache's keys would go through the whole cache
         lacking = set()
         got, odd = self.table.get(new)
         for u, ids in zip(new, got, strict=True):

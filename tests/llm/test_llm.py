@@ -639,3 +639,20 @@ def test_neighbours_of_pieces_are_told_without_memory(spark):
     assert held() == before and 0 < got.sum() < len(got)
     assert got.tolist() == [sp.encode("\n" + text[x] + text[y])[2:] == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     assert follows.allowed(np.array([-1, a[0]]), np.array([b[0], -1])).all()
+
+
+def test_lattice_takes_counts_along_and_the_cache_is_not_walked(spark):
+    table = spark.createDataFrame([("a", 0), ("ab", 1), ("b", 2)], "piece string, id int")
+    units = spark.createDataFrame([("ab", 7), ("ba", 3), ("x", 1)], "unit string, n long")
+    got = {r.unit: (r.n, r.ids) for r in pieces.lattice_encode(units, table, {0: -1.0, 1: -1.0, 2: -1.0}).collect()}
+    assert got == {"ab": (7, [1]), "ba": (3, [2, 0]), "x": (1, None)}
+
+    class Cache(dict):
+        def keys(self):
+            raise AssertionError("all of the cache is walked for each batch")
+
+    import public_tokenizers
+
+    encoder = pieces.Encoder(pieces.load(public_tokenizers.path("piece_bpe_32k.model")), pieces.Table(pa.table({"h": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "odd": pa.array([], pa.binary())})))
+    encoder.ids = Cache(known=b"")
+    assert encoder.look_up([["known", "new"]]) == {"new"}
