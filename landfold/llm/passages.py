@@ -408,9 +408,13 @@ def align(jobs: list[Job], ways: dict[int, bytes] | None = None) -> list[Found |
     length in both, and equal words. An equal word gains 1; one that differs, or is in one text only, costs 1. The band
     is BAND + spread to both sides. None where no alignment suffices. ways: gets the steps (1 equal, 4 differing, 2 and 3
     in the first or second text only) of those that may have gaps."""
-    near = [_within_reach(j) for j in jobs]
-    hopeful = [not _hopeless(n) for n in near]
-    out = [(_one_diagonal(j) or _straight(j, n)) if ok else None for j, n, ok in zip(jobs, near, hopeful, strict=True)]
+    out: list[Found | None] = [_one_diagonal(j) for j in jobs]
+    hopeful = [False] * len(jobs)
+    for k, x in enumerate(out):  # what else there is in reach matters only where one diagonal doesn't have almost all
+        if x is None:
+            near = _within_reach(jobs[k])
+            hopeful[k] = not _hopeless(near)
+            out[k] = _straight(jobs[k], near) if hopeful[k] else None
     rest = sorted((k for k, x in enumerate(out) if x is None and hopeful[k]), key=lambda k: (jobs[k][3] // 16, len(jobs[k][0])))
     while rest:
         take = [rest.pop(0)]

@@ -656,3 +656,12 @@ def test_lattice_takes_counts_along_and_the_cache_is_not_walked(spark):
     encoder = pieces.Encoder(pieces.load(public_tokenizers.path("piece_bpe_32k.model")), pieces.Table(pa.table({"h": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "odd": pa.array([], pa.binary())})))
     encoder.ids = Cache(known=b"")
     assert encoder.look_up([["known", "new"]]) == {"new"}
+
+
+def test_a_settled_diagonal_asks_for_no_reach(monkeypatch):
+    words = np.random.default_rng(3).integers(0, 1 << 40, 120).astype(np.uint64)
+    job = (words, np.concatenate([words[:7] + np.uint64(1), words]), 7, 0)
+    want = passages.shared([job], [(0, 119)])
+    assert want == [[(0, 120, 7, 120, 120)]]
+    monkeypatch.setattr(passages, "_within_reach", lambda j: pytest.fail("words in reach are looked for in vain"))
+    assert passages.shared([job], [(0, 119)]) == want
