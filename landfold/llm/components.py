@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if _settled(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # cut between the stars: what both sides of a join are made of would else be worked out for each of them
+        large = cut(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(_lowest(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = _lowest(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())

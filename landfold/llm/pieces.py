@@ -526,6 +526,7 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
 
     kept, rest = most_frequent(units, table_units)
     table = spark.sparkContext.broadcast(Table(_packed(kept, model).toArrow()))
+    give_back()  # the driver needs its copy no more
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of texts whose units are all in the table."""

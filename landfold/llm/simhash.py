@@ -273,11 +273,11 @@ def _among(pairs: DataFrame):
 
 
 def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, near: whether the shingles of the two classes are similar enough."""
+    """The pairs (x, y and what they bring), with near: whether the shingles of the two classes are similar enough."""
     one = pairs.join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x")
     two = one.join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
-    return two.select("x", "y", (common >= LEAST_SIMILARITY * (F.size("sx") + F.size("sy") - common)).alias("near"))
+    return two.select(*pairs.columns, (common >= LEAST_SIMILARITY * (F.size("sx") + F.size("sy") - common)).alias("near"))
 
 
 def _named(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -312,9 +312,9 @@ def _settled(judged: DataFrame, ids: DataFrame, sets) -> DataFrame:
     lists, leading = ranked.where("place + alone <= n - (4 * n + 4) div 5 + 1").select("grp", "shingle", "cls", "n"), GROWTH
 
     def after(meet: DataFrame, open_: DataFrame) -> DataFrame:
-        """open_ when the pairs in meet (cls, other) are decided."""
-        met = cut(meet.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct())
-        merged = connected_components(_named(_judged(met, held).where("near"), open_)).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        """open_ when the pairs in meet (of members a and b: cls, root) are decided. Pairs bring their roots, which aren't looked up again."""
+        met = cut(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().selectExpr("a.cls x", "b.cls y", "a.root a", "b.root b"))
+        merged = connected_components(_judged(met, held).where("near").select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("now"))
         return cut(open_.join(merged, "root", "left").select("cls", F.coalesce("now", "root").alias("root")))
 
     # first the members whose shingles most others have: copies of one text are often near to it and not to each other
@@ -322,7 +322,7 @@ def _settled(judged: DataFrame, ids: DataFrame, sets) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("shared"), "cls"))
     hubs = cut(common.withColumn("place", place).where(F.col("place") <= GROWTH).join(open_, "cls").select("grp", F.struct("cls", "root", "n").alias("l")))
     sized = held.select("cls", "grp", F.size("s").alias("n")).join(open_, "cls")
-    open_ = after(sized.join(hubs, "grp").where("root <> l.root and 5 * least(n, l.n) >= 4 * greatest(n, l.n)").select("cls", F.col("l.cls").alias("other")), open_)
+    open_ = after(sized.join(hubs, "grp").where("root <> l.root and 5 * least(n, l.n) >= 4 * greatest(n, l.n)").select(F.struct("cls", "root").alias("a"), F.struct("l.cls", "l.root").alias("b")), open_)
     while True:
         known = cut(lists.join(open_, "cls"))
         live = known.groupBy("grp", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp", "shingle")
@@ -331,7 +331,7 @@ def _settled(judged: DataFrame, ids: DataFrame, sets) -> DataFrame:
             return settled.unionByName(open_)
         leads = known.groupBy("grp", "shingle", F.pmod(F.xxhash64("cls"), F.lit(leading)).alias("part")).agg(F.min(F.struct("cls", "root", "n")).alias("l")).select("grp", "shingle", "l")
         meet = known.join(leads, ["grp", "shingle"]).where("root <> l.root and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
-        open_ = after(meet.select("cls", F.col("l.cls").alias("other")), open_)
+        open_ = after(meet.select(F.struct("cls", "root").alias("a"), F.struct("l.cls", "l.root").alias("b")), open_)
         lists = known.join(leads.select("grp", "shingle", F.col("l.cls").alias("cls")), ["grp", "shingle", "cls"], "left_anti").select("grp", "shingle", "cls", "n")
         leading *= GROWTH
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Hashed feature space, and the prefix lengths that count as features besides the word.
 DIM, PREFIXES = 1 << 20, (3, 4, 5, 6, 7)
 #: Labelled rows that the model is fitted on, at most: toxic and other ones.
@@ -175,4 +177,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows graded 1 or above; columns as they were."""
-    return docs.where(grade(train(docs, labels))("text")["grade"] < 1)
+    model = train(docs, labels)
+    give_back()  # the sample is needed no more
+    return docs.where(grade(model)("text")["grade"] < 1)

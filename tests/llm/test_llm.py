@@ -665,3 +665,15 @@ def test_a_settled_diagonal_asks_for_no_reach(monkeypatch):
     assert want == [[(0, 120, 7, 120, 120)]]
     monkeypatch.setattr(passages, "_within_reach", lambda j: pytest.fail("words in reach are looked for in vain"))
     assert passages.shared([job], [(0, 119)]) == want
+
+
+def test_driver_gives_back_what_it_has_broadcast(spark, monkeypatch):
+    import public_tokenizers
+
+    gave = []
+    monkeypatch.setattr(pieces, "give_back", lambda: gave.append("pieces"))
+    pieces.encode_pieces(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(toxicity, "give_back", lambda: gave.append("toxicity"))
+    rows = [(i, "bad vile words" if i % 2 else "good kind words") for i in range(8)]
+    toxicity.drop_toxic(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert gave == ["pieces", "toxicity"]
