@@ -42,6 +42,8 @@ REACH, BAND, GAP = 64, 12, 0.1
 MOST_DRIFT, MOST_WORDS = 64, 50_000
 #: Steps that an alignment of several pairs keeps, at most (a longer pair goes alone).
 STEP_CELLS = 4 << 20
+#: Of which so many are compared at once.
+ROW_CELLS = 1 << 18
 #: Text whose seeds are sorted at once, and spans that are cut from one copy of a text.
 CHUNK_BYTES, SPANS = 4 << 20, 1_000
 SEEDS = "h long, doc long, place int, source long, source_place int"
@@ -322,42 +324,50 @@ def _banded(jobs: list[Job], ways: list[bytes] | None = None) -> list[Found | No
         lo, hi = max(0, first), min(rows + w, first + len(b))
         if hi > lo:
             right[k, lo:hi], valid[k, lo:hi] = b[lo - first : hi - first], True
-    sizes, ramp = np.array([len(a) for a, *_ in jobs]), np.arange(w, dtype=np.int32)
-    score, steps = np.zeros((n, w), np.int32), np.zeros((rows + 1, n, w), np.int8)
-    top, top_row, top_cell = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    up, every = np.zeros((n, w), np.int32), np.arange(n)
-    for i in range(1, rows + 1):
-        inside = valid[:, i - 1 : i - 1 + w] & (i <= sizes)[:, None]
-        same = right[:, i - 1 : i - 1 + w] == left[:, i - 1, None]
-        both = score + np.where(same, 1, -1).astype(np.int32)
-        up[:, :-1] = score[:, 1:]
-        best = np.maximum(np.maximum(both, up - 1), 0) * inside
-        run = np.maximum.accumulate(best + ramp, axis=1) - ramp  # words of the other text left out
-        score = run * inside
-        steps[i] = np.where(score <= 0, 0, np.where(run > best, 3, np.where(best == both, np.where(same, 1, 4), 2)))
-        cell = score.argmax(axis=1)
-        now = score[every, cell]
-        better = now > top
-        top[better], top_row[better], top_cell[better] = now[better], i, cell[better]
+    # scores of all rows are kept; which step led to each is asked of those on the way back only
+    kind = np.int16 if rows + w < 1 << 14 else np.int32
+    sizes, ramp = np.array([len(a) for a, *_ in jobs]), np.arange(w, dtype=kind)
+    scores = np.zeros((n, rows + 1, w), kind)
+    windows, within = (np.lib.stride_tricks.sliding_window_view(x, w, axis=1) for x in (right, valid))
+    for at in range(0, rows, block := max(1, ROW_CELLS // (n * w))):
+        some = slice(at, min(at + block, rows))
+        inside = -(within[:, some] & (np.arange(some.start, some.stop) < sizes[:, None])[:, :, None]).astype(kind)
+        gain = (windows[:, some] == left[:, some, None]).astype(kind) * kind(2)
+        for i in range(some.stop - at):
+            less = scores[:, at + i] - kind(1)
+            best = less + gain[:, i]
+            np.maximum(best[:, :-1], less[:, 1:], out=best[:, :-1])
+            np.maximum(best, 0, out=best)
+            best &= inside[:, i]
+            best += ramp
+            np.maximum.accumulate(best, axis=1, out=best)  # words of the other text left out
+            best -= ramp
+            np.bitwise_and(best, inside[:, i], out=scores[:, at + i + 1])
     out: list[Found | None] = []
     ways = [] if ways is None else ways
-    for k, (_, _, shift, _) in enumerate(jobs):
-        if top[k] <= 0:
+    for k, (a, b, shift, _) in enumerate(jobs):
+        i, c = divmod(int(scores[k].argmax()), w)
+        own = memoryview(scores[k].reshape(-1))
+        if own[i * w + c] <= 0:
             out.append(None)
             ways.append(b"")
             continue
-        way = steps[:, k].tobytes()
-        i, c, equal, kinds = int(top_row[k]), int(top_cell[k]), 0, bytearray()
+        equal, kinds, first, a, b = 0, bytearray(), width - shift, a.tolist(), b.tolist()
         end_a, end_b = i, i + c - width + shift
-        while kind := way[i * w + c]:
-            kinds.append(kind)
-            if kind == 3:
+        while (score := own[i * w + c]) > 0:
+            same = a[i - 1] == b[i - 1 + c - first]
+            both = own[(i - 1) * w + c] + (1 if same else -1)
+            best = max(both, own[(i - 1) * w + c + 1] - 1 if c + 1 < w else -1, 0)
+            if score > best:
+                kinds.append(3)
                 c -= 1
-            elif kind == 2:
-                i, c = i - 1, c + 1
-            else:
-                equal += kind == 1
+            elif best == both:
+                kinds.append(1 if same else 4)
+                equal += same
                 i -= 1
+            else:
+                kinds.append(2)
+                i, c = i - 1, c + 1
         start_b = i + c - width + shift
         out.append((i, end_a - i, start_b, end_b - start_b, equal))
         ways.append(bytes(kinds[::-1]))

@@ -677,3 +677,28 @@ def test_driver_gives_back_what_it_has_broadcast(spark, monkeypatch):
     rows = [(i, "bad vile words" if i % 2 else "good kind words") for i in range(8)]
     toxicity.drop_toxic(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
     assert gave == ["pieces", "toxicity"]
+
+
+def test_banded_alignment_is_the_plain_one_in_blocks_of_any_size(monkeypatch):
+    rng = np.random.default_rng(11)
+
+    def plain(a, b, shift, spread):
+        """The largest score of a local alignment whose places in b are within the band around a's."""
+        width, best = passages.BAND + spread, {}
+        for i in range(len(a)):
+            for j in range(max(0, i + shift - width), min(len(b), i + shift + width + 1)):
+                both = best.get((i - 1, j - 1), 0) + (1 if a[i] == b[j] else -1)
+                best[i, j] = max(0, both, best.get((i - 1, j), 0) - 1, best.get((i, j - 1), 0) - 1)
+        return max(best.values(), default=0)
+
+    jobs = []
+    for n in (1, 30, 61, 150):
+        a = rng.integers(1, 40, n).astype(np.uint64)
+        b = np.delete(np.where(rng.random(n) < 0.1, np.uint64(99), a), rng.integers(0, n, n // 20))
+        jobs += [(a, b, 0, 0), (a, np.concatenate([a[:5], b]), 5, 3), (a, b, -7, 0)]
+    jobs.append((jobs[0][0], np.full(3, 77, np.uint64), 0, 0))
+    ways = []
+    want = passages._banded(jobs, ways)
+    assert [0 if w is None else 2 * w[4] - len(way) for w, way in zip(want, ways, strict=True)] == [plain(*j) for j in jobs] and want[-1] is None
+    monkeypatch.setattr(passages, "ROW_CELLS", 1)
+    assert passages._banded(jobs) == want
