@@ -53,19 +53,26 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def word_hashes(text: str | None) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     words = utf8(text).lower().split()
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
-def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-mer that is smallest among each `window` consecutive ones (fewer than 256). Where one k-mer
-    is chosen over and over in a row (a word said many times), only its first and last place in the row count."""
-    if len(words) < k:
-        return np.empty(0, np.int32), np.empty(0, np.uint64)
-    n = len(words) - k + 1
+def kmers(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive words."""
+    n = max(0, len(words) - k + 1)
     h = np.zeros(n, np.uint64)
     for i in range(k):
-        h = (h ^ words[i : i + n]) * _ODD
+        h ^= words[i : i + n]
+        h *= _ODD
         h ^= h >> np.uint64(29)
+    return h
+
+
+def minimizers(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the k-mer (of those hashed in h) that is smallest among each `window` consecutive ones (fewer than
+    256). Where one k-mer is chosen over and over in a row (a word said many times), only its first and last place in the row count."""
+    if not len(h):
+        return np.empty(0, np.int32), np.empty(0, np.uint64)
+    n = len(h)
     width, low = min(n, window), np.uint64(255)
     least = (h & ~low) | (np.arange(n, dtype=np.uint64) & low)
     have = 1
@@ -74,16 +81,25 @@ def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.n
         least = np.minimum(least[:-step], least[step:])
         have += step
     start = np.arange(len(least), dtype=np.int64)
-    at = np.unique(start + (((least & low).astype(np.int64) - start) & 255))
+    at = start + (((least & low).astype(np.int64) - start) & 255)  # never goes back
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     same = h[at[1:]] == h[at[:-1]]
     at = at[~(np.concatenate([[False], same]) & np.concatenate([same, [False]]))]
     return at.astype(np.int32), h[at]
 
 
+def seeds_of_all(each: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of the seeds of each text, given its words; the lowest bit of a hash tells LONG ones. The texts' k-mers are hashed together."""
+    words, at = np.concatenate([np.empty(0, np.uint64), *each]), 0
+    short_hashes, long_hashes = kmers(words, K), kmers(words, LONG)
+    for n in map(len, each):
+        short, long = minimizers(short_hashes[at : at + max(0, n - K + 1)], WINDOW), minimizers(long_hashes[at : at + max(0, n - LONG + 1)], LONG_WINDOW)
+        yield np.concatenate([short[0], long[0]]), np.concatenate([short[1] & ~np.uint64(1), long[1] | np.uint64(1)])
+        at += n
+
+
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's seeds; the lowest bit of a hash tells LONG ones."""
-    short, long = minimizers(words, K, WINDOW), minimizers(words, LONG, LONG_WINDOW)
-    return np.concatenate([short[0], long[0]]), np.concatenate([short[1] & ~np.uint64(1), long[1] | np.uint64(1)])
+    return next(seeds_of_all([words]))
 
 
 def _length(h: np.ndarray) -> np.ndarray:
@@ -116,8 +132,10 @@ def _chunk_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["h", "doc", "place", "source", "source_place"]
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-        order = np.lexsort((p, d, h))
+        turn = sorted(range(len(docs)), key=docs.__getitem__)
+        h, p = (np.concatenate([x[i] for i in turn]) for x in (hashes, places))
+        d = np.repeat(np.array([docs[i] for i in turn], np.int64), [len(places[i]) for i in turn])
+        order = np.argsort(h, kind="stable")  # documents are in order, and so are the places of each kind of seed
         h, d, p = h[order], d[order], p[order]
         ends = np.concatenate([[True], h[1:] != h[:-1]]) | np.concatenate([h[1:] != h[:-1], [True]]) if len(h) else np.empty(0, bool)
         none = pa.nulls(int(ends.sum()), pa.int64()), pa.nulls(int(ends.sum()), pa.int32())
@@ -126,9 +144,9 @@ def _chunk_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((links[:, 0].view(np.uint64) * _ODD).view(np.int64)), *_packed(links)], names)
 
     for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            at, h = seeds(word_hashes(t))
-            docs.append(np.full(len(at), i, np.int64))
+        texts = b.column("text").to_pylist()
+        for i, t, (at, h) in zip(b.column("doc_id").to_pylist(), texts, seeds_of_all([word_hashes(t) for t in texts]), strict=True):
+            docs.append(i)
             places.append(at)
             hashes.append(h)
             size += len(t)

@@ -702,3 +702,11 @@ def test_banded_alignment_is_the_plain_one_in_blocks_of_any_size(monkeypatch):
     assert [0 if w is None else 2 * w[4] - len(way) for w, way in zip(want, ways, strict=True)] == [plain(*j) for j in jobs] and want[-1] is None
     monkeypatch.setattr(passages, "ROW_CELLS", 1)
     assert passages._banded(jobs) == want
+
+
+def test_k_mers_of_texts_hashed_together_are_those_of_each():
+    rng = np.random.default_rng(4)
+    each = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 3, 5, 19, 20, 300, 0, 41)]
+    for words, (places, hashes) in zip(each, passages.seeds_of_all(each), strict=True):
+        at, h = passages.seeds(words)
+        assert places.tolist() == at.tolist() and hashes.tolist() == h.tolist() and (len(at) > 0) == (len(words) >= passages.K)
