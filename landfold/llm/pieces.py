@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, small_batches, utf8
@@ -348,11 +348,17 @@ def unit_counts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def piece_frame(spark: SparkSession, model: Model) -> DataFrame:
+    """piece, id. From Arrow, as rows of the driver's own: a list of Python's would take workers of another kind, which stay."""
+    names, ids, _ = zip(*model.pieces, strict=True)
+    return spark.createDataFrame(pa.table({"piece": pa.array(names, pa.string()), "id": pa.array(ids, pa.int32())}))
+
+
 def encoded_units(docs: DataFrame, model: Model) -> DataFrame:
     """unit, n, ids of every distinct unit of docs, through the lattice."""
     spark = docs.sparkSession
     counted = cut(unit_counts(docs, model))
-    pieces = spark.createDataFrame([(p, i) for p, i, _ in model.pieces], "piece string, id int")
+    pieces = piece_frame(spark, model)
     longest = max(len(p) for p, _, _ in model.pieces)
     got = lattice_encode(counted, pieces, {i: v for _, i, v in model.pieces}, longest, model).select("unit", "n", "ids")
     # edges are small and of one size, so their number bounds a batch; to ask for its bytes at each of them takes long
@@ -406,9 +412,9 @@ class Table:
         self.odd: dict[int, bytes] = dict(zip(odd.column("h").to_pylist(), odd.column("odd").to_pylist(), strict=True))
 
     @staticmethod
-    def _data(c: pa.BinaryArray) -> bytes:
+    def _data(c: pa.BinaryArray) -> pa.Buffer:
         at = np.frombuffer(c.buffers()[1], np.int32)
-        return c.buffers()[2][int(at[c.offset]) : int(at[c.offset + len(c)])].to_pybytes()
+        return c.buffers()[2][int(at[c.offset]) : int(at[c.offset + len(c)])]
 
     def get(self, units: list[str]) -> tuple[list[bytes | None], dict[str, bytes]]:
         """Each unit's packed ids, None where there is no entry, and which of them decode to something else."""

@@ -390,6 +390,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"cls": cls, "maybe": probe(leaving.value, _hash_pair(cls, ids.to_numpy()))})
 
     kept = [by_name(c) for c in docs.columns]
+    # said not to be deterministic, so that no filter asks it once more below: two at a time take two workers of a task
+    judge = judge.asNondeterministic()
     judged = docs.select(*kept, number.alias("__dup_id"), judge("text", number).alias("__dup_m"))
     going = gone.select(F.col("cls").alias("__dup_cls"), F.col("id").alias("__dup_id"), F.col("gone").alias("__dup_gone"))
     doubtful = judged.where("__dup_m.maybe").withColumn("__dup_cls", F.col("__dup_m.cls")).join(going, ["__dup_cls", "__dup_id"], "left")

@@ -710,3 +710,14 @@ def test_k_mers_of_texts_hashed_together_are_those_of_each():
     for words, (places, hashes) in zip(each, passages.seeds_of_all(each), strict=True):
         at, h = passages.seeds(words)
         assert places.tolist() == at.tolist() and hashes.tolist() == h.tolist() and (len(at) > 0) == (len(words) >= passages.K)
+
+
+def test_a_task_of_the_pipeline_takes_one_worker(spark, docs):
+    """The near-duplicate stage asks Python once between exchanges, and the pieces come without Python."""
+    import public_tokenizers
+
+    plan = simhash.drop_near_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("judge(") == 3  # one for each branch of the union
+    frame = pieces.piece_frame(spark, pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+    assert "LocalRelation" in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert frame.dtypes == [("piece", "string"), ("id", "int")] and frame.count() > 30_000
