@@ -382,8 +382,13 @@ def _decoded(model: Model, ids: np.ndarray) -> bytes:
     return b"".join([model.surface[i] for i in ids.tolist()])
 
 
+#: Bits of a hash that say in which run of the table it is.
+TOP = 8
+
+
 def _packed(units: DataFrame, model: Model) -> DataFrame:
-    """h, ids (packed), odd (what the ids decode to, where that isn't the unit) in order of h."""
+    """h, ids (packed), odd (what the ids decode to, where that isn't the unit): those with the same TOP bits of h together, in
+    order of h. To sort by all of h, Spark would first pack every unit once more, to learn how the hashes lie."""
     path, kind = model.path, _kind(model)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +401,15 @@ def _packed(units: DataFrame, model: Model) -> DataFrame:
         texts = each = raw = odd = None
         give_back()
 
-    return units.select("unit", "ids").mapInArrow(pack, "h long, ids binary, odd binary").orderBy("h")
+    return units.select("unit", "ids").mapInArrow(pack, "h long, ids binary, odd binary").repartition(F.shiftright("h", 64 - TOP)).sortWithinPartitions("h")
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """What _packed gives in order of h: its runs are put in order, nothing is copied."""
+    top = rows.column("h").to_numpy() >> (64 - TOP)
+    at = np.flatnonzero(np.append(True, top[1:] != top[:-1])[: len(top)])
+    runs = sorted(zip(top[at].tolist(), at.tolist(), np.diff(np.append(at, len(top))).tolist(), strict=True))
+    return pa.concat_tables([rows.slice(0, 0), *(rows.slice(start, n) for _, start, n in runs)])
 
 
 class Table:
@@ -430,23 +443,39 @@ class Table:
         return got, odd
 
 
+class Read(NamedTuple):
+    """A text as the cache knows it: packed ids by unit, and where None stands, and for which unit; all units, joined."""
+
+    ids: list[bytes | None]
+    at: list[int]
+    units: list[str]
+    text: str
+
+
 class Encoder:
     """Encodes texts by the table, with what was looked up first kept, in bounded number, and the rest for the texts at hand."""
 
     def __init__(self, model: Model, table: Table):
         self.model, self.table, self.split, self.kind = model, table, splitter(model.split), _kind(model)
-        self.ids: dict[str, bytes] = {}  # packed ids: of the units that came first, CACHED of them, and of the texts at hand
-        self.extra: list[str] = []  # those that go with the texts
+        self.ids: dict[str, bytes] = {}  # packed ids of the units that came first, CACHED of them
+        self.fresh: dict[str, bytes] = {}  # and of those that the cache lacked, for the texts at hand
         self.odd: dict[str, bytes] = {}  # units that their ids don't decode to, with what they do decode to
 
+    def read(self, text: str | None) -> Read:
+        """Text by text, while its units are at hand: each is asked for once."""
+        units = units_of(text, self.split)
+        ids = list(map(self.ids.get, units))
+        at = [i for i, x in enumerate(ids) if x is None]
+        return Read(ids, at, [units[i] for i in at], "".join(units))
+
     def _direct(self, unit: str) -> np.ndarray:
         """By the library; a line feed is never merged and keeps the unit from the mark that the library puts first."""
         return np.array(_processor(self.model.path).encode("\n" + unit)[2:], np.int32)
 
     def _keep(self, unit: str, ids: bytes) -> None:
-        if len(self.ids) >= CACHED:
-            self.extra.append(unit)
-        self.ids[unit] = ids
+        self.fresh[unit] = ids
+        if len(self.ids) < CACHED:
+            self.ids[unit] = ids
 
     def learn(self, unit: str, ids: np.ndarray) -> None:
         """A unit that isn't in the table."""
@@ -456,12 +485,13 @@ class Encoder:
             self.odd[unit] = raw
 
     def look_up(self, each: list[list[str]]) -> set[str]:
-        """Fill the cache for these units; gives those that the table lacks."""
-        for u in self.extra:
-            self.ids.pop(u, None)
-            self.odd.pop(u, None)
-        self.extra.clear()
+        """Find what the cache lacks of these units; gives those that the table lacks."""
         known = self.ids
+        if self.odd:
+            for u in self.fresh:
+                if u not in known:
+                    self.odd.pop(u, None)
+        self.fresh.clear()
         new = [u for u in set().union(*each) if u not in known]  # a set less the cache's keys would go through the whole cache
         lacking = set()
         got, odd = self.table.get(new)
@@ -475,25 +505,29 @@ class Encoder:
         self.odd |= odd
         return lacking
 
-    def encode(self, units: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, units)), self.kind).astype(np.int32)
+    def encode(self, read: Read) -> np.ndarray:
+        for i, u in zip(read.at, read.units, strict=True):
+            read.ids[i] = self.fresh[u]
+        return np.frombuffer(b"".join(read.ids), self.kind).astype(np.int32)
 
-    def decode(self, units: list[str]) -> str:
+    def decode(self, read: Read) -> str:
         """The text that the units' ids stand for: what each decodes to, joined, without the first mark's space."""
-        if self.odd and not self.odd.keys().isdisjoint(units):
-            raw = b"".join([self.odd[u] if u in self.odd else utf8(u.replace(MARK, " ")) for u in units])
-            return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
-        text = "".join(units).replace(MARK, " ")
+        text = read.text.replace(MARK, " ")
+        if self.odd:
+            units = self.split(read.text)
+            if not self.odd.keys().isdisjoint(units):
+                raw = b"".join([self.odd[u] if u in self.odd else utf8(u.replace(MARK, " ")) for u in units])
+                return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
 OUT = "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean"
 
 
-def _rows(encoder: Encoder, doc_ids: list, texts: list[str | None], each: list[list[str]]) -> pa.RecordBatch:
-    ids = [encoder.encode(units) for units in each]
+def _rows(encoder: Encoder, doc_ids: list, texts: list[str | None], each: list[Read]) -> pa.RecordBatch:
+    ids = [encoder.encode(x) for x in each]
     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    back = [encoder.decode(units) for units in each]
+    back = [encoder.decode(x) for x in each]
     digest = [hashlib.sha256(utf8(t)).hexdigest() for t in back]
     same = [x == (t or "").replace(MARK, " ") for x, t in zip(back, texts, strict=True)]
     flat = np.concatenate([np.empty(0, np.int32), *ids])
@@ -531,7 +565,7 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
     units = encoded_units(docs, model)
 
     kept, rest = most_frequent(units, table_units)
-    table = spark.sparkContext.broadcast(Table(_packed(kept, model).toArrow()))
+    table = spark.sparkContext.broadcast(Table(_in_order(_packed(kept, model).toArrow())))
     give_back()  # the driver needs its copy no more
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,9 +574,9 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
         encoder = Encoder(load(path), table.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            each = [units_of(t, encoder.split) for t in texts]
-            lacking = encoder.look_up(each)
-            ok = [i for i, u in enumerate(each) if not lacking or lacking.isdisjoint(u)]
+            each = [encoder.read(t) for t in texts]
+            lacking = encoder.look_up([x.units for x in each])
+            ok = [i for i, x in enumerate(each) if not lacking or lacking.isdisjoint(x.units)]
             ids = b.column("doc_id").to_pylist()
             yield _rows(encoder, [ids[i] for i in ok], [texts[i] for i in ok], [each[i] for i in ok])
         encoder = texts = each = None
@@ -572,8 +606,8 @@ def encode_pieces(docs: DataFrame, path: str, table_units: int = TABLE_UNITS) ->
         encoder = Encoder(load(path), table.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            each = [units_of(t, encoder.split) for t in texts]
-            encoder.look_up(each)
+            each = [encoder.read(t) for t in texts]
+            encoder.look_up([x.units for x in each])
             for row in b.column("more").to_pylist():
                 for x in row:
                     encoder.learn(x["unit"], np.array(x["ids"], np.int32))

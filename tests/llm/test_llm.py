@@ -721,3 +721,32 @@ def test_a_task_of_the_pipeline_takes_one_worker(spark, docs):
     frame = pieces.piece_frame(spark, pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
     assert "LocalRelation" in frame._jdf.queryExecution().optimizedPlan().toString()
     assert frame.dtypes == [("piece", "string"), ("id", "int")] and frame.count() > 30_000
+
+
+def test_pieces_are_packed_once_and_asked_once(spark):
+    """No sort that packs all units twice, and one question to the cache for each unit of a text."""
+    import public_tokenizers
+
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    name = lambda i: "▁x" + "abcdefghij"[i % 10] + "abcdefghij"[i // 10 % 10] * (1 + i // 100)
+    packed = pieces._packed(spark.createDataFrame([(name(i), [i]) for i in range(3000)], "unit string, ids array<int>"), model)
+    assert "rangepartitioning" not in packed._jdf.queryExecution().executedPlan().toString()
+    got = pieces._in_order(packed.toArrow())
+    h = got.column("h").to_pylist()
+    assert h == sorted(h) and dict(zip(h, got.column("ids").to_pylist(), strict=True)) == {pieces._hash(name(i)): np.array([i], "uint16").tobytes() for i in range(3000)}
+    assert len(pieces._in_order(got.slice(0, 0))) == 0
+
+    class Cache(dict):
+        asked = 0
+
+        def get(self, unit):
+            self.asked += 1
+            return super().get(unit)
+
+    encoder = pieces.Encoder(model, pieces.Table(got))
+    encoder.ids = Cache()
+    for seen in range(2):
+        read = encoder.read("".join(name(i)[1:] + " " for i in range(40))[:-1])
+        assert encoder.ids.asked == 40 * (seen + 1) and len(read.units) == (0 if seen else 40)
+        assert encoder.look_up([read.units]) == set() and encoder.encode(read).tolist() == list(range(40))
+        assert encoder.decode(read) == pieces._decoded(model, np.arange(40)).decode("utf-8", "replace")[1:]  # not the units: told as such
