@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every contract here: space and U+0009..U+000D.
@@ -17,6 +17,8 @@ SEPARATORS = "\\x20\\x09-\\x0D"
 BATCH_BYTES = 1 << 20
 #: Of a part of a shuffle, about, and how many parts a size may ask for.
 PART_BYTES, MOST_PARTS = 256 << 20, 20_000
+#: Of a frame of a few numbers a row, what one task reads back.
+ROWS_A_TASK = 1 << 18
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -53,6 +55,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """cut, for rows of a few numbers: as many tasks read them back as the rows ask for, not as many as wrote them."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-seen.get["n"] // ROWS_A_TASK)))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner take the shuffle and checkpoint files that only dead frames hold; by itself it waits until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(df: DataFrame, times: float = 1.0) -> int:
     """How many parts a shuffle of `times` the planned size of df should have: as the session says, or more, so that a part
     has about PART_BYTES. A size that the planner doesn't know (it then says an absurd one) asks for no more."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import narrow, sweep
 
 MAX_ROUNDS = 60
 
@@ -25,14 +25,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """From edges(a long, b long) to (node, root): root is the smallest node reachable. Null ends and loops are ignored;
     nodes without an edge don't occur. No neighbour list is ever gathered: hot nodes meet in joins that AQE may split.
     """
-    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
+    e = narrow(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
     for _ in range(MAX_ROUNDS):
         if _settled(e):
+            sweep(e.sparkSession)
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         # cut between the stars: what both sides of a join are made of would else be worked out for each of them
-        large = cut(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(_lowest(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = narrow(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(_lowest(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = _lowest(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = narrow(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
